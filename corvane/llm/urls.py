@@ -77,8 +77,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 def train(labelled: DataFrame) -> list[float]:
     """Weights by bucket, the intercept last. labelled: columns url and label, small by contract."""
     buckets = ngram_buckets(host_of(F.col("url")), path_of(F.col("url")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("b"), i).cast("double"))
-    rows = labelled.select(F.col("label").cast("double").alias("label"), buckets.alias("b")).select("label", array_to_vector(dense).alias("features"))
+    every = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    dense = let(buckets, lambda b: F.transform(every, lambda i: F.array_contains(b, i).cast("double")))
+    rows = labelled.select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"))
     model = LogisticRegression(maxIter=30, regParam=0.01, standardization=False).fit(rows.coalesce(1))
     return [float(x) for x in model.coefficients] + [float(model.intercept)]
 
