@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import oracles, quality, secrets, urls
+from corvane.llm import oracles, packing, quality, secrets, tokenfile, urls
+from corvane.llm.common import Scratch
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,17 +21,36 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", s["n_assign"].alias("n_assign"), s["n_access"].alias("n_access"), s["n_hex"].alias("n_hex"), F.sha2(s["base_spans"], 256).alias("base_sha256"), s["spans"].alias("spans"), s["n_linked"].alias("n_linked"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file of the public tokenizers package, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "tokens").path("store")
+    tokenfile.write_store(read(spark, sf_dir, "documents"), store, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    back = tokenfile.read_store(spark, store)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op5_quality, op9_urls)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_files, op5_quality, op6_packing, op9_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
