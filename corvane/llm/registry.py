@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import oracles, packing, quality, secrets, tokenfile, urls
+from corvane.llm import oracles, packing, quality, secrets, tokenfile, toxicity, urls
 from corvane.llm.common import Scratch
 
 
@@ -35,6 +35,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held_out))
+    t = F.col("toxicity")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), t["score"].alias("score"), t["predicted"].alias("predicted"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -50,7 +58,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_files, op5_quality, op6_packing, op9_urls)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op9_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
