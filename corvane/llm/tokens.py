@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -18,22 +19,37 @@ from tokenizers import Tokenizer
 #: Entries of the memo of one Python worker; it starts afresh beyond, which costs time but changes no result.
 MEMO_ENTRIES = 1_000_000
 
+#: Longest piece that is cut further; longer ones go to the library.
+LONGEST_PIECE = 64
+
 #: Characters outside ASCII, Latin letters and common punctuation; control characters and U+0130 count as outside too.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]")
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+WORD = re.compile(f"[{LETTERS}]+")
+#: Punctuation and digits, with one white space at most, before letters: always a place to cut. An apostrophe is not.
+BEFORE_WORD = re.compile(rf"[^{LETTERS}\s']+[\t\n\r]?(?=[{LETTERS}])")
 SPACE_AFTER_WORD = re.compile(r"(?<=[^\t\n\r ]) ")
 DOUBLE_SPACE = ("  ", "\n ", "\t ", "\r ")
 
 
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable, else
+    the next character from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class Memo(dict):
     """Piece -> its ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, encode: Callable[[str], bytes], before: str):
+    def __init__(self, encode: Callable[[str, str], bytes], before: str):
         self.encode, self.before = encode, before
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        found = self[piece] = self.encode(self.before + piece)
+        found = self[piece] = self.encode(self.before, piece)
         return found
 
 
@@ -49,7 +65,9 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.pieces = self._pieces(made.get("normalizer"), made.get("pre_tokenizer") or {})
-        self.first, self.rest = Memo(self._whole, ""), Memo(self._whole, " " if self.pieces == "spaced" else "")
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.first = Memo(self._piece, "")
+        self.rest = Memo(self._piece, " ") if self.pieces == "spaced" else self.first
 
     @staticmethod
     def _pieces(normalizer: dict | None, pre: dict) -> str:
@@ -66,6 +84,24 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A run of letters, perhaps after a space, is one unit of the merges."""
+        found = [t.id for t in self.model.tokenize("".join(map(self.characters.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _piece(self, before: str, piece: str) -> bytes:
+        """A piece, cut where the pre-tokenizer is sure to cut, so that its words are found in the memo."""
+        if len(piece) > LONGEST_PIECE:
+            return self._whole(before + piece)
+        memo = self.rest if before else self.first
+        word = WORD.match(piece)
+        if word and word.end() == len(piece):
+            return self._word(before + piece)
+        cut = word or BEFORE_WORD.match(piece)
+        if cut:
+            return memo[cut[0]] + self.first[piece[cut.end() :]]
+        return self._whole(before + piece)
+
     def ids(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit numbers; a null or empty text has none."""
         if not text:
