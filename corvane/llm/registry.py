@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import oracles, packing, quality, secrets, tokenfile, toxicity, urls
+from corvane.llm import neardup, oracles, packing, quality, secrets, tokenfile, toxicity, urls
 from corvane.llm.common import Scratch
 
 
@@ -57,8 +57,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op9_urls)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
