@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import neardup, oracles, packing, quality, secrets, tokenfile, toxicity, urls
+from corvane.llm import decontam, neardup, oracles, packing, quality, secrets, tokenfile, toxicity, urls
 from corvane.llm.common import Scratch
 
 
@@ -53,6 +53,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    leak = F.col("leak")
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", leak["item_id"].alias("item_id"), F.round(leak["question_overlap"], 6).alias("question_overlap"), F.round(leak["answer_overlap"], 6).alias("answer_overlap"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -62,7 +68,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op7_decontam, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
