@@ -3,14 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corvane.llm import decontam, neardup, packing, quality, secrets
+from corvane.llm.common import Scratch
+from corvane.llm.registry import tokenizer_path
 
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no quality rule."""
+    return quality.assess(docs, result="quality_verdict").where("quality_verdict.kept").drop("quality_verdict")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest doc_id; doc_id is the key of documents."""
+    found = neardup.groups(docs, size=5, percent=80)
+    copies = found.where("not kept").select(F.col("doc_id").alias("copy_id"))
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.scan(docs, benchmark, result="benchmark_leaks").where(F.size("benchmark_leaks") == 0).drop("benchmark_leaks")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret and n_chars to match."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, with their ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality rules", good),
+    ("MinHash near-dedup", distinct),
+    ("benchmark decontamination", uncontaminated),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
+
+#: Tokenizer ids cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written as Parquet in the shared folder and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), str(k))
     return docs

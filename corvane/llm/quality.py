@@ -41,7 +41,7 @@ THRESHOLDS = [
     Rule("capitals", "upper_ratio", None, 0.6),
     Rule("bullet_lines", "bullet_ratio", None, 0.9),
     Rule("ellipsis_lines", "ellipsis_ratio", None, 0.3),
-    Rule("repeated_lines", "dup_line_ratio", None, 0.3),
+    Rule("repeated_lines", "dup_line_ratio", None, 0.5),
     Rule("repeated_words", "repeat_ratio", None, 0.5),
 ]
 

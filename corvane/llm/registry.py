@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, neardup, oracles, packing, quality, secrets, tokenfile, toxicity, urls
+from corvane.llm import decontam, licenses, neardup, oracles, packing, preference, quality, secrets, tokenfile, toxicity, urls
 from corvane.llm.common import Scratch
 
 
@@ -43,6 +43,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), t["score"].alias("score"), t["predicted"].alias("predicted"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.recognise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = F.col("licence")
+    return found.select("doc_id", F.array_join(F.array_sort(of["licences"]), ",").alias("licences"), of["n_matches"].alias("n_matches"), of["n_sentences"].alias("n_sentences"), of["n_known"].alias("n_known"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -59,6 +65,14 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", leak["item_id"].alias("item_id"), F.round(leak["question_overlap"], 6).alias("question_overlap"), F.round(leak["answer_overlap"], 6).alias("answer_overlap"))
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.with_rejected(preference.turns_of(read(spark, sf_dir, "conversations")))
+    p = F.col("preference")
+    spans = lambda name: F.array_join(F.transform(p[name], lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(name)
+    found = preference.format_pairs(pairs)
+    return found.select("conv_id", p["n_common"].alias("n_common"), p["prompt"].alias("prompt"), p["chosen"].alias("chosen"), p["rejected"].alias("rejected"), spans("chosen_mask"), spans("rejected_mask"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -67,9 +81,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+QUERIES = (op1_secrets, op2_token_files, op3_toxicity, op4_licenses, op5_quality, op6_packing, op7_decontam, op8_preference, op9_urls, op10_neardup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_token_files, op3_toxicity, op5_quality, op6_packing, op7_decontam, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.sql()

@@ -135,8 +135,30 @@ def scan(text: Column) -> Column:
     return _scan(text)
 
 
+def redacted_text(text: str | None, mark: str) -> str | None:
+    """A text with mark in place of each run of overlapping spans; null stays null."""
+    if not text:
+        return text
+    base = base_spans(text)
+    out, at = [], 0
+    for start, end in sorted(s for found in (base | linked_spans(text, base)).values() for s in found):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret of the text column replaced by mark; other columns and rows stay as they are."""
+
+    @F.arrow_udf("string")
+    def _redact(texts: pa.Array) -> pa.Array:
+        return pa.array([redacted_text(x, mark) for x in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(text, _redact(F.col(text)))
+
+
 def scan_documents(docs: DataFrame, text: str = "text", result: str = "secrets") -> DataFrame:
     """docs with a struct column `result`; an input column of that name is replaced. Rows stay as they are, repeated
     rows and null ids included; null and empty texts have no spans; an empty table gives an empty table."""
     return docs.withColumn(result, scan(F.col(text)))
-
