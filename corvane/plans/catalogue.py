@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.plans import histograms
 from corvane.queries import ORACLES, QUERIES, query, table
 
 
@@ -21,7 +22,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing_summary(spark, sf_dir)
+    return histograms.flagship_spectrum_sample(spark, sf_dir)
 
 
 def queries() -> dict:
