@@ -8,8 +8,8 @@ every node outside the bucket's largest component with all nodes of other compon
 need no look: a link there changes nothing.) Both comparisons run in blocks of bounded size and in two passes. The
 first compares signatures batch by batch and drops a pair as soon as the posterior chance of its similarity reaching
 the threshold falls under MISS; it emits only which nodes have a pair left. The second brings those nodes' full sets
-and verifies each pair left exactly. A pair is looked at in the first band that it shares and in no other. So all that
-is shuffled or emitted grows with the rows, however large a group of copies is.
+and verifies each pair left exactly. The second comparison looks at a pair in the first band that it shares and in no
+other. So all that is shuffled or emitted grows with the rows, however large a group of copies is.
 """
 
 from __future__ import annotations
@@ -143,8 +143,8 @@ class Block:
         own = self.sides[side]
         return np.frombuffer(b"".join(r[name] for r in own), kind).reshape(len(own), -1)
 
-    def left(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (asking, asked) of different components that are first met in this band and survive all batches."""
+    def left(self, percent: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (asking, asked) of different components that survive all batches; once: and are first met here."""
         if not all(self.sides):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         s, t = self.column(0, "signature", np.uint8), self.column(1, "signature", np.uint8)
@@ -155,14 +155,14 @@ class Block:
             j = np.flatnonzero(of[1] != of[0][i])
             for k, least in enumerate(fewest_matches(percent)):
                 j = j[(t[j, : BATCH * (k + 1)] == s[i, : BATCH * (k + 1)]).sum(1) >= least]
-            same = d[j] == b[i]
-            j = j[same.argmax(1) == self.sides[0][i]["band"]] if len(j) else j
+            if once and len(j):
+                j = j[(d[j] == b[i]).argmax(1) == self.sides[0][i]["band"]]
             found.append((np.full(len(j), i), j))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def links(self, percent: int) -> Iterator[dict]:
+    def links(self, percent: int, once: bool) -> Iterator[dict]:
         """One exactly verified link for each asking node and component that it has a link to."""
-        asking, asked = self.left(percent)
+        asking, asked = self.left(percent, once)
         for i in np.unique(asking):
             me = self.sides[0][i]
             own = np.frombuffer(me["shingles"], np.uint64)
@@ -197,15 +197,15 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return ask.unionByName(hear)
 
 
-def compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+def compared(rows: DataFrame, percent: int, once: bool, exact: bool) -> DataFrame:
     """Run every block: (band, bucket, node) of nodes with a pair left, or exactly verified links (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] if exact else [("band", pa.int32()), ("bucket", pa.int64()), ("node", pa.int64())])
 
     def finish(rows: list[dict]) -> list[dict]:
         block = Block(rows)
         if exact:
-            return list(block.links(percent))
-        ends = zip(block.sides, block.left(percent), strict=True)
+            return list(block.links(percent, once))
+        ends = zip(block.sides, block.left(percent, once), strict=True)
         return [{"band": r["band"], "bucket": r["bucket"], "node": r["node"]} for own, at in ends for r in map(own.__getitem__, np.unique(at))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +227,22 @@ def compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint" if exact else "band int, bucket bigint, node bigint")
 
 
-def verified(rows: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+def verified(rows: DataFrame, nodes: DataFrame, full: DataFrame, percent: int, once: bool, scratch: Scratch, tag: str) -> DataFrame:
     """Links between nodes that ask in rows (band, bucket, node, component, asks, n_asking, n_nodes) and others of their
     bucket. nodes has bands and signature, full has shingles."""
     light = nodes.select("node", "bands", "signature")
-    left = scratch.write(compared(in_blocks(rows.join(light, "node")), percent, exact=False), f"{tag}-left").distinct()
+    left = scratch.write(compared(in_blocks(rows.join(light, "node")), percent, once, exact=False), f"{tag}-left").distinct()
     heavy = rows.join(left, ["band", "bucket", "node"], "left_semi").join(light, "node").join(full, "node")
-    return scratch.write(compared(in_blocks(heavy), percent, exact=True), f"{tag}-links")
+    return scratch.write(compared(in_blocks(heavy), percent, once, exact=True), f"{tag}-links")
+
+
+def led_once(shared: DataFrame) -> DataFrame:
+    """Rows that compare every leader with every node of its buckets (band, bucket, node, n_nodes, leader), each pair in
+    the first bucket that it shares under that leader."""
+    first = F.min(F.struct("band", "bucket", "n_nodes")).alias("at")
+    pairs = shared.where("node <> leader").groupBy("leader", "node").agg(first).select("leader", "node", "at.*")
+    row = lambda node, asks: [F.col("band"), F.col("bucket"), F.col(node).alias("node"), F.col(node).alias("component"), F.lit(asks).alias("asks"), F.lit(1).cast("long").alias("n_asking"), F.col("n_nodes")]
+    return pairs.select(row("node", False)).unionAll(pairs.select(row("leader", True)).distinct())
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -255,16 +264,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     nodes = scratch.write(classes.select(node, "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "bands", "signature"), "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    order = F.xxhash64("bucket", "node")
-    buckets = members.groupBy("band", "bucket").agg(F.count("*").alias("n_nodes"), F.min_by("node", order).alias("leader")).where("n_nodes > 1")
+    buckets = members.groupBy("band", "bucket").agg(F.count("*").alias("n_nodes"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("n_nodes > 1")
     shared = scratch.write(members.join(buckets, ["band", "bucket"]), "buckets")
 
     near = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
     texts = source.join(near, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("hash")))
     full = scratch.write(sets(texts.select("node", "text"), size), "sets")
 
-    led = shared.select("band", "bucket", "node", F.col("node").alias("component"), (F.col("node") == F.col("leader")).alias("asks"), F.lit(1).cast("long").alias("n_asking"), "n_nodes")
-    links = verified(led, nodes, full, percent, scratch, "led")
+    led = led_once(shared)
+    links = verified(led, nodes, full, percent, False, scratch, "led")
     labels = components(links, scratch, "led-parts")
 
     placed = shared.select("band", "bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
@@ -272,7 +280,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     split = sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n_nodes")).where("most < n_nodes")
     outside = placed.join(split, ["band", "bucket"]).select("band", "bucket", "node", "component", (F.col("component") != F.col("largest")).alias("asks"), (F.col("n_nodes") - F.col("most")).alias("n_asking"), "n_nodes")
     outside = scratch.write(outside, "outside")
-    more = verified(outside, nodes, full, percent, scratch, "outside")
+    more = verified(outside, nodes, full, percent, True, scratch, "outside")
     labels = components(links.unionAll(more), scratch, "parts")
 
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
