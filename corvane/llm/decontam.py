@@ -33,8 +33,10 @@ RETRIEVE_AT = 0.5
 OVERLAP = 0.6
 GRAM = 5
 #: Blocks of an index, and items of one index; both bound the memory of a task.
-BLOCKS = 32
+BLOCKS = 128
 INDEX_ITEMS = 2_000
+#: Rounding that the bounds allow for.
+SLACK = 1e-4
 MEMO_ENTRIES = 500_000
 
 WORD = re.compile(r"[a-z0-9ß-öø-ɏͰ-\U0010ffff]+")
@@ -89,7 +91,7 @@ class Index:
         self.docs = np.asarray([i for x in postings for i, _ in x], np.int64)
         self.scores = np.asarray([v for x in postings for _, v in x])
         self.block = max(1, -(-len(counts) // BLOCKS))
-        self.block_most = np.zeros((len(postings) + 1, BLOCKS))  # the last row is for words that no item has
+        self.block_most = np.zeros((len(postings) + 1, BLOCKS), np.float32)  # the last row is for words that no item has
         for term, own in enumerate(postings):
             for i, score in own:
                 self.block_most[term, i // self.block] = max(self.block_most[term, i // self.block], score)
@@ -97,7 +99,7 @@ class Index:
 
 def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All (item, score) with a score of threshold or more, in order of item; terms are distinct."""
-    open_ = index.block_most[terms].sum(0) >= threshold - 1e-9
+    open_ = index.block_most[terms].sum(0) >= threshold - SLACK
     if not open_.any():
         return []
     first, count = index.first[terms], index.first[terms + 1] - index.first[terms]
@@ -169,11 +171,11 @@ class Scanner:
         at = np.flatnonzero(ids >= 0)
         cell = np.unique(at // STRIDE * len(self.index.block_most) + ids[at])
         half, term = cell // len(self.index.block_most), cell % len(self.index.block_most)
-        bound = np.zeros((halves + 1, BLOCKS))
+        bound = np.zeros((halves + 1, BLOCKS), np.float32)
         if len(cell):
             first = np.flatnonzero(np.diff(half, prepend=-1))
             bound[half[first]] = np.add.reduceat(self.index.block_most[term], first, axis=0)
-        return np.flatnonzero((bound[:-1] + bound[1:]).max(1) >= RETRIEVE_AT - 1e-6)
+        return np.flatnonzero((bound[:-1] + bound[1:]).max(1) >= RETRIEVE_AT - SLACK)
 
     def verified(self, item: Item, near: list[int]) -> tuple[float, float] | None:
         """Overlap of question and answer with the words near a window, if both are enough."""
