@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 
 def uniform_bin(x: Column, low: float, high: float, bins: int, close_top: bool = False) -> Column:
-    """1-based bin of [low, high) in equal steps, 0 below and bins + 1 above; close_top puts high in the last bin."""
+    """1-based bin of [low, high) in equal steps, 0 below and bins + 1 above; close_top puts high in the last bin. Null
+    and NaN have no bin."""
     k = F.floor((x - low) * (bins / (high - low))).cast("int") + 1
     top = F.when(x == high, F.lit(bins)) if close_top else F.when(x == high, F.lit(bins + 1))
-    return F.when(x < low, 0).otherwise(F.coalesce(top, F.when(x > high, bins + 1).otherwise(F.least(k, F.lit(bins))))).cast("int")
+    inside = F.coalesce(top, F.when(x > high, bins + 1).otherwise(F.least(k, F.lit(bins))))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < low, 0).otherwise(inside)).cast("int")
 
 
 def edge_bin(x: Column, edges: list[float]) -> Column:
     """Number of edges at or below x, for edges of any width: 0 below the first, len(edges) from the last on."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x))
+    return F.when(x.isNotNull(), F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x)))
 
 
 def bin_low(k: Column, low: float, high: float, bins: int) -> Column:
@@ -27,7 +29,8 @@ def bin_low(k: Column, low: float, high: float, bins: int) -> Column:
 
 def clamp_scale(x: Column, mean: Column | float, std: Column | float, low: float, high: float) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.least(F.greatest(F.try_divide(x - lit(mean), lit(std)), F.lit(float(low))), F.lit(float(high)))
+    scaled = F.try_divide(x - lit(mean), lit(std))
+    return F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(float(low))), F.lit(float(high))))
 
 
 def guarded(a: Column, b: Column, default: float = 0.0) -> Column:

@@ -218,9 +218,7 @@ def flat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("decay_graph", "WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS node, CASE WHEN l_orderkey > 3 THEN l_orderkey // 3 END AS parent FROM lineitem), t(node, last) AS (SELECT node, node FROM n WHERE parent IS NULL UNION ALL SELECT n.node, t.last FROM n JOIN t ON n.parent = t.node) SELECT last, count(*) AS n FROM t GROUP BY 1")
 def decay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = items(spark, sf_dir).select(F.col("l_orderkey").alias("node")).distinct().withColumn("parent", F.when(F.col("node") > 3, F.expr("node div 3")))
-    whole = graph.terminal_copies(n.join(n.select(F.col("node").alias("parent")), "parent", "left_semi").unionByName(n.where("parent is null")))
-    roots = n.where("parent is null").select(F.col("node").alias("last"))
-    return whole.join(roots, "last", "left_semi").groupBy("last").agg(F.count("*").alias("n"))
+    return graph.terminal_copies(n).groupBy("last").agg(F.count("*").alias("n"))
 
 
 @query("graph_collect", "WITH n AS (SELECT DISTINCT l_orderkey AS node, l_orderkey // 3 AS parent FROM lineitem) SELECT count(*) AS leaves, sum(node)::BIGINT AS total FROM n WHERE node NOT IN (SELECT parent FROM n)")
