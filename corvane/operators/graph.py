@@ -24,11 +24,11 @@ def edges(nodes: DataFrame, key: list[str], index: str, mothers: str) -> DataFra
     return nodes.select(*key, F.explode(mothers).alias("mother"), F.col(index).alias("daughter"))
 
 
-def terminal_copies(nodes: DataFrame, parent: str = "parent", node: str = "node", rounds: int = 62) -> DataFrame:
+def terminal_copies(nodes: DataFrame, parent: str = "parent", node: str = "node") -> DataFrame:
     """(node, last): the end of each node's chain of parents, by pointer jumping, so a chain of length n takes log2(n)
-    rounds. Nodes whose chain ends in a cycle, or at a parent that is not in the table, are left out."""
+    rounds, and more never help. Nodes whose chain ends in a cycle, or at a parent that is not in the table, are left out."""
     at = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("last"))
-    for _ in range(rounds):
+    for _ in range(nodes.count().bit_length() + 1):
         step = at.select(F.col("node").alias("last"), F.col("last").alias("next"))
         found = at.join(step, "last").select("node", F.col("next").alias("last"), (F.col("next") != F.col("last")).alias("moved"))
         found = found.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else found.persist()
