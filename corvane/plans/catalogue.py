@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.plans import histograms, nested, relational, statistics  # noqa: F401 (registers its queries)
+from corvane.plans import histograms, more, nested, relational, statistics  # noqa: F401 (registers its queries)
 from corvane.queries import ORACLES, QUERIES, query, table
 
 
