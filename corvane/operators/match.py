@@ -33,6 +33,24 @@ def nearest(pairs: DataFrame, candidate: list[str], order: list[Column]) -> Data
     return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def priority_match(candidates: DataFrame, objects: DataFrame, event: list[str], candidate: str, index: str, anchors: list[tuple[str, str, float]]) -> DataFrame:
+    """(event, candidate, object, dr_1, dr_2, ...): the object that each candidate takes. A candidate has several axes,
+    the anchors (eta column, phi column, radius), in order of priority; a distance counts only inside its radius. The
+    object nearest to the first axis wins, then to the second, and so on; one without a distance comes after any with
+    one, and the lower index decides between equals. An object may serve several candidates."""
+    found = []
+    for k, (eta, phi, radius) in enumerate(anchors):
+        axis = candidates.select(*event, candidate, F.col(eta).alias("eta"), F.col(phi).alias("phi")).dropna()
+        pairs = near_pairs(axis, objects.select(*event, index, "eta", "phi"), event, radius)
+        found.append(pairs.select(*event, candidate, F.col(f"{index}_b").alias("object"), F.lit(k).alias("anchor"), "dr"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    names = [f"dr_{k + 1}" for k in range(len(anchors))]
+    rows = every.groupBy(*event, candidate, "object").agg(*[F.min(F.when(F.col("anchor") == k, F.col("dr"))).alias(n) for k, n in enumerate(names)])
+    return nearest(rows, [*event, candidate], [*[F.asc_nulls_last(n) for n in names], F.col("object")])
+
+
 def completed(matched: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     """matched, and the rows of others that no match used, as candidates of their own."""
     return matched.unionByName(others.join(matched.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -91,6 +91,25 @@ def match_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.near_pairs(p, p, ["event"], 0.8).where("vec_id < vec_id_b").groupBy("vec_id").agg(F.count("*").alias("near"), (F.max("pt_b") > 12).alias("hard"))
 
 
+NEAR_SQL = "sqrt((c.eta - {eta}) ^ 2 + (" + DPHI_SQL.format(d="(c.phi - {phi})") + ") ^ 2)"
+
+
+@query(
+    "match_priority",
+    f"""
+    WITH p AS ({POINT_SQL}), d AS (
+      SELECT c.event, c.vec_id, o.vec_id AS object, {NEAR_SQL.format(eta="o.eta", phi="o.phi")} AS d1, sqrt((c.x4 - o.eta) ^ 2 + ({DPHI_SQL.format(d="(c.x4 - o.phi)")}) ^ 2) AS d2
+      FROM p c JOIN p o ON c.event = o.event AND c.label < 3 AND o.label >= 3),
+    r AS (SELECT event, vec_id, object, CASE WHEN d1 < 0.3 THEN d1 END AS d1, CASE WHEN d2 < 0.6 THEN d2 END AS d2 FROM d WHERE d1 < 0.3 OR d2 < 0.6)
+    SELECT event, vec_id, object, round(d1, 6) AS dr_1, round(d2, 6) AS dr_2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d1 NULLS LAST, d2 NULLS LAST, object) AS k FROM r) WHERE k = 1
+    """,
+)
+def match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    found = match.priority_match(p.where("label < 3"), p.where("label >= 3"), ["event"], "vec_id", "vec_id", [("eta", "phi", 0.3), ("x4", "x4", 0.6)])
+    return found.select("event", "vec_id", "object", r6("dr_1", "dr_1"), r6("dr_2", "dr_2"))
+
+
 @query("cone_semi", f"WITH p AS ({POINT_SQL}) SELECT event, count(*) AS kept FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.event = a.event AND b.label = 1 AND sqrt((a.eta - b.eta) ^ 2 + ({DPHI_SQL.format(d='(a.phi - b.phi)')}) ^ 2) < 0.5) GROUP BY 1")
 def cone_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
