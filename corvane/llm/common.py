@@ -29,12 +29,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tags: set[str] = set()
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(tag))
+        self.tags.add(tag)
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, tag: str) -> None:
@@ -42,6 +44,12 @@ class Scratch:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path(tag))
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.tags.discard(tag)
+
+    def keep_only(self, *tags: str) -> None:
+        """Free all tables but these."""
+        for tag in sorted(self.tags - set(tags)):
+            self.drop(tag)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -286,6 +286,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = scratch.write(named.join(smallest, "label").select("digest", "component_id"), "components")
+    scratch.keep_only("sketches", "components")
     found = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
