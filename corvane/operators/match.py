@@ -62,21 +62,21 @@ def cone_filter(items: Column, references: Column, radius: float) -> Column:
     return F.filter(items, lambda x: F.exists(references, lambda r: close(x, r)))
 
 
-def closure(start: DataFrame, links: DataFrame, most: int = 100) -> DataFrame:
-    """Nodes that can be reached from start (root, node) over links (a, b) in both directions, to the fixed point. Each
-    round only extends what the last one found, and is checkpointed where a checkpoint folder is set."""
+def closure(start: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes that can be reached from start (root, node) over links (a, b) in both directions, to the fixed point: until
+    no row is new, however long a chain is. Each round only extends what the last one found, and is checkpointed where a
+    checkpoint folder is set."""
     spark = start.sparkSession
     keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = keep(start.select("root", "node").distinct())
-    fresh = seen
-    for _ in range(most):
+    fresh, width = seen, max(seen.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while True:
         found = fresh.join(both, fresh["node"] == both["a"]).select("root", F.col("b").alias("node")).distinct()
         fresh = keep(found.join(seen, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
-            break
-        seen = keep(seen.unionAll(fresh))
-    return seen
+            return seen
+        seen = keep(seen.unionAll(fresh).coalesce(width))
 
 
 def merge_first_wins(rows: DataFrame, event: str, radius: float = 0.01, tolerance: float = 0.01) -> DataFrame:

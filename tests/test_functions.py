@@ -119,6 +119,12 @@ def test_closure_on_a_cycle_and_a_chain(spark):
     assert got == {1: 3, 20: 31}
 
 
+def test_closure_follows_a_chain_of_any_length(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    links = spark.range(110).selectExpr("id as a", "id + 1 as b").coalesce(1)
+    assert match.closure(spark.createDataFrame([(0, 0)], "root long, node long"), links).count() == 111
+
+
 def test_terminal_copies(spark):
     df = spark.createDataFrame([(i, i - 1 if i % 100 else None) for i in range(1, 300)] + [(400, 401), (401, 400)], "node long, parent long").where("node <> 100 or parent is null")
     got = {r.node: r.last for r in graph.terminal_copies(df.fillna({"parent": -1}).replace(-1, None, ["parent"])).collect()}
