@@ -1,7 +1,9 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of test items by block-max WAND.
 
 Items are indexed by their words; an item's score is a share of what its own text scores against it, so one threshold
-holds for short and long items. A passage is a window of words; windows overlap by half. Items lie in blocks, short ones
+holds for short and long items. A passage is a window of words; windows overlap by half. Windows are as long as the items
+they are for: items are classed by length, each class has twice the stride of the one before, and two strides hold any
+item of the class, so one of the windows over an exact copy has half of its score. Items lie in blocks, short ones
 together, and each word has its largest score in each block. A window whose words cannot reach the threshold together in
 any block is passed over without a query: the block-max bound, taken for all windows of a text at once. A query takes
 the bounds again over its distinct words, skips the postings of blocks that stay below the threshold, and scores those
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Words from one window to the next; a window is two strides long.
+#: Words from one window to the next for the shortest class of items; a window is two strides long.
 STRIDE = 64
 #: Share of an item's own score at which a window retrieves it.
 RETRIEVE_AT = 0.5
@@ -68,15 +70,26 @@ class Item(NamedTuple):
     question: list[str]
     answer: list[str]
 
+    @property
+    def words(self) -> list[str]:
+        return self.question if self.question is self.answer else self.question + self.answer
+
+    @property
+    def stride(self) -> int:
+        """Stride of the item's class: the smallest doubling of STRIDE of which two hold all its words."""
+        stride = STRIDE
+        while 2 * stride < len(self.words):
+            stride *= 2
+        return stride
+
 
 class Index:
     """Inverted index with BM25 scores as shares of each item's own score, and the largest score of each block."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [Item(k, *question_and_answer(t or "")) for k, t in items]
-        words = lambda x: x.question if x.question is x.answer else x.question + x.answer
-        self.items = sorted((x for x in self.items if x.question), key=lambda x: len(set(words(x))))
-        counts = [Counter(words(x)) for x in self.items]
+        self.items = sorted((x for x in self.items if x.question), key=lambda x: (x.stride, len(set(x.words))))
+        counts = [Counter(x.words) for x in self.items]
         length = [sum(c.values()) for c in counts]
         mean = sum(length) / max(1, len(length))
         frequency = Counter(w for c in counts for w in c)
@@ -95,18 +108,25 @@ class Index:
         for term, own in enumerate(postings):
             for i, score in own:
                 self.block_most[term, i // self.block] = max(self.block_most[term, i // self.block], score)
+        self.classes: dict[int, range] = {}  # stride -> its items
+        for i, x in enumerate(self.items):
+            self.classes[x.stride] = range(self.classes.get(x.stride, range(i, i)).start, i + 1)
 
 
-def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All (item, score) with a score of threshold or more, in order of item; terms are distinct."""
+def block_max_wand(index: Index, terms: np.ndarray, threshold: float, within: range | None = None) -> list[tuple[int, float]]:
+    """All (item, score) with a score of threshold or more, of all items or those within a range, in order of item; terms
+    are distinct."""
+    within = range(len(index.items)) if within is None else within
     open_ = index.block_most[terms].sum(0) >= threshold - SLACK
+    open_[: within.start // index.block] = False
+    open_[-(-within.stop // index.block) :] = False
     if not open_.any():
         return []
     first, count = index.first[terms], index.first[terms + 1] - index.first[terms]
     at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
     at = at[open_[index.docs[at] // index.block]]
     score = np.bincount(index.docs[at], index.scores[at], len(index.items))
-    return [(int(i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-9)]
+    return [(int(i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-9) if i in within]
 
 
 class Memo(dict):
@@ -151,30 +171,33 @@ class Scanner:
         if not len(ids) or not len(self.index.items):
             return []
         best: dict[int, dict] = {}
-        for k in self.windows(ids):
-            start = STRIDE * int(k)
-            known = np.unique(ids[start : start + 2 * STRIDE])
-            known = known[known >= 0]
-            retrieved = block_max_wand(self.index, known, RETRIEVE_AT)
-            if not retrieved:
-                continue
-            near = ids[max(0, start - STRIDE) : start + 3 * STRIDE].tolist()
-            for i, score in retrieved:
-                found = self.verified(self.index.items[i], near)
-                if found and (i not in best or (-score, start) < (-best[i]["score"], best[i]["start_word"])):
-                    best[i] = {"item_id": self.index.items[i].item_id, "score": score, "question_overlap": found[0], "answer_overlap": found[1], "start_word": start}
+        for stride, own in self.index.classes.items():
+            for k in self.windows(ids, stride, own):
+                start = stride * int(k)
+                known = np.unique(ids[start : start + 2 * stride])
+                known = known[known >= 0]
+                retrieved = block_max_wand(self.index, known, RETRIEVE_AT, own)
+                if not retrieved:
+                    continue
+                near = ids[max(0, start - stride) : start + 3 * stride].tolist()
+                for i, score in retrieved:
+                    found = self.verified(self.index.items[i], near)
+                    if found and (i not in best or (-score, start) < (-best[i]["score"], best[i]["start_word"])):
+                        best[i] = {"item_id": self.index.items[i].item_id, "score": score, "question_overlap": found[0], "answer_overlap": found[1], "start_word": start}
         return sorted(best.values(), key=lambda r: r["item_id"])
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Windows whose bound reaches the threshold in some block. A word counts once for each half of a window."""
-        halves = -(-len(ids) // STRIDE)
+    def windows(self, ids: np.ndarray, stride: int, own: range) -> np.ndarray:
+        """Windows of a class whose bound reaches the threshold in some block of its items. A word counts once for each
+        half of a window."""
+        most = self.index.block_most[:, own.start // self.index.block : -(-own.stop // self.index.block)]
+        halves = -(-len(ids) // stride)
         at = np.flatnonzero(ids >= 0)
-        cell = np.unique(at // STRIDE * len(self.index.block_most) + ids[at])
-        half, term = cell // len(self.index.block_most), cell % len(self.index.block_most)
-        bound = np.zeros((halves + 1, BLOCKS), np.float32)
+        cell = np.unique(at // stride * len(most) + ids[at])
+        half, term = cell // len(most), cell % len(most)
+        bound = np.zeros((halves + 1, most.shape[1]), np.float32)
         if len(cell):
             first = np.flatnonzero(np.diff(half, prepend=-1))
-            bound[half[first]] = np.add.reduceat(self.index.block_most[term], first, axis=0)
+            bound[half[first]] = np.add.reduceat(most[term], first, axis=0)
         return np.flatnonzero((bound[:-1] + bound[1:]).max(1) >= RETRIEVE_AT - SLACK)
 
     def verified(self, item: Item, near: list[int]) -> tuple[float, float] | None:

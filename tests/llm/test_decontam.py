@@ -62,6 +62,19 @@ def test_op7_finds_every_whole_item(spark, sf):
     assert {(d, i) for d, t in docs for i, x in items if x in t} <= got and got
 
 
+def test_exact_copies_of_long_items_are_found_wherever_they_lie():
+    rng = random.Random(4)
+    made = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    items = items_of(30, rng) + [(100 + n, made(n - 20) + ". " + made(20) + ".") for n in (128, 129, 300, 700, 1100, 2000)]
+    items += [(200, made(500) + "."), (201, made(20) + ". " + made(1500) + ".")]
+    scanner = Scanner(items)
+    for k, text in items[30:]:
+        for before in (0, 1, 63, 200, 511, 1500):
+            found = scanner.leaks(f"{made(before)} {text} {made(300)}")
+            assert [(x["item_id"], x["question_overlap"], x["answer_overlap"]) for x in found] == [(k, 1.0, 1.0)]
+    assert scanner.leaks(made(6000)) == []
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "Was it red? It was a red fox.", 1), (None, "was it RED? it was a red fox", 1), (5, "x " * 40000, 1)], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(1, "Was it red? It was a red fox."), (1, "Was it red? It was a red fox."), (2, None), (None, "x x x"), (3, "...")], "item_id long, text string")
