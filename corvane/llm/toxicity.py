@@ -5,8 +5,10 @@ count in the class, and what the discounts free goes to the word's prefix in the
 continuation counts that both classes share: in how many classes a prefix occurs, and how many words continue it. So an
 expression that one class alone has says much, a rare expression little, and an unknown one as much as its prefix.
 
-A text's ratio is the mean over its words of what goes beyond its own median (a text's language and subject move all
-its words alike) by more than a margin, over the text's length and a few words more, which steadies short texts.
+A text's ratio is the mean over its words of what goes beyond its centre by more than a margin, over the text's length
+and a few words more, which steadies short texts. The centre is the median of the text's words that are not themselves
+more than the margin on the toxic side (a text's language and subject move all its words alike), so toxic words cannot
+move it, however many they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SAMPLE_DOCS = 20_000
 MAX_TYPES = 400_000
 PREFIX = 4
 DISCOUNT = 0.75
-#: Nats by which a word's log ratio must leave its text's median to count.
+#: Nats by which a word's log ratio must leave its text's centre to count, and up to which it takes part in the centre.
 MARGIN = 2.0
 #: Words that every text's length is raised by.
 EXTRA_LENGTH = 10
@@ -85,7 +87,8 @@ def normalised(memo: Memo, text: str | None) -> float:
     found = found[~np.isnan(found)]
     if not len(found):
         return 0.0
-    away = found - np.median(found)
+    plain = found[found <= MARGIN]
+    away = found - (np.median(plain) if len(plain) else 0.0)
     return float((np.sign(away) * np.maximum(np.abs(away) - MARGIN, 0)).sum() / (len(found) + EXTRA_LENGTH))
 
 

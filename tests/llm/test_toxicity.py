@@ -40,6 +40,17 @@ def test_normalised_ratio_is_the_mean_beyond_the_margin():
     assert toxicity.normalised(memo, None) == toxicity.normalised(memo, "") == toxicity.normalised(memo, " -- ") == 0.0
 
 
+def test_texts_mostly_of_toxic_words_rank_above_empty_ones():
+    memo = toxicity.Memo(toxicity.Model({"ered": -0.1, "pathetic": 8.1, "loser": 8.0, "the": 0.5, "day": -0.5}, {}, 0.0, 1.0, 0.0))
+    assert toxicity.normalised(memo, "Ered. pathetic loser") > 0.5
+    for n in range(1, 11):
+        bad = ["pathetic", "loser"] * n
+        for ordinary in range(n // 2 + 1):
+            text = " ".join(bad[: n - ordinary] + ["the", "day"][: ordinary % 3] + ["ered"] * max(0, ordinary - 2))
+            assert toxicity.normalised(memo, text) > 0.3
+    assert toxicity.normalised(memo, "the day the day the day") == 0.0
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "you vile fool", "x"), (1, "you vile fool", "x"), (2, None, "x"), (None, "", "x"), (3, "a fine day " * 5000, "x"), (4, "vile vile", "x")], "doc_id long, text string, toxicity string")
     labels = spark.createDataFrame([(1, 1), (4, 1), (3, 0), (2, None), (None, 1), (9, 0)], "doc_id long, toxic int")
