@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontam, neardup, packing, quality, secrets
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, fresh
 from corvane.llm.registry import tokenizer_path
 
 
@@ -16,10 +16,15 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id; doc_id is the key of documents."""
-    found = neardup.groups(docs, size=5, percent=80)
-    copies = found.where("not kept").select(F.col("doc_id").alias("copy_id"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti")
+    """One row of each near-duplicate group, that with the smallest doc_id. Rows are told apart by a number that is
+    written beside them, so null and repeated ids take no other rows along; a null doc_id stays only where its group has
+    no other. Texts without words are groups of their own."""
+    row, scratch = fresh(docs, "row"), Scratch(spark, "distinct")
+    docs = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = neardup.groups(docs, key=row, size=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    kept = found.join(docs.select(row, "doc_id"), row).groupBy("component_id").agg(first[row].alias(row)).select(row)
+    return docs.join(kept, row, "left_semi").drop(row)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

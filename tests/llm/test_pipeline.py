@@ -72,3 +72,14 @@ def test_odd_tables(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() >= 2 or name == "quality rules"
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_distinct_keeps_one_row_of_each_group_with_null_and_repeated_ids(spark, sf):
+    text = " ".join(f"word{i}" for i in range(100))
+    other, third, fourth = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, text), (None, text + " more"), (None, other), (None, "clean and alone"), (5, third), (5, fourth), (4, third), (2, text), (1, text), (None, other), (7, "twice the same row"), (7, "twice the same row"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.distinct(spark, docs, sf)
+    got = sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    assert found.columns == COLUMNS
+    assert got == sorted([(1, text), (None, other), (None, "clean and alone"), (4, third), (5, fourth), (7, "twice the same row"), (8, None), (8, None)], key=str)
