@@ -1,8 +1,11 @@
 """License scans: sentences are mapped to identifiers of known licence sentences, and ordered rules match sequences.
 
-Everything is a Spark SQL expression over the row's own text. A sentence ends at a line break or at . ! ? ; : and white
-space; it is normalised to lower-case letters and digits with single spaces. The sequence of a text's identifiers, with
-a gap wherever sentences are not known, is one string, and each rule is a run of identifiers in it. Rules are tried in
+Everything is a Spark SQL expression over the row's own text. A sentence ends at an empty line or at . ! ? ; : and white
+space, and may end at any other line break: a known sentence may be wrapped over any number of lines of a paragraph, and
+lines that are in no such sentence are sentences of their own. Sentences are normalised to lower-case letters and digits
+with single spaces. The sequence of a text's identifiers, with a gap wherever sentences are not known, is one string, and
+each rule is a run of identifiers in it; copyright lines, the licence's own address and numbers of list entries are
+passed over. Rules are tried in
 their order, and what a rule has matched is taken out before the next one, so a part of a longer notice is not reported
 again.
 """
@@ -77,27 +80,85 @@ RULES = [
     LicenceRule("CC0-1.0", ("cc0-notice",)),
 ]
 
+#: Further sentences of published licence texts; a * stands for any words.
+CANONICAL = {
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-later": "either version 2 of the license or at your option any later version",
+    "gpl3-later": "either version 3 of the license or at your option any later version",
+    "gpl2-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+}
+
+#: Other wordings of known sentences.
+VARIANTS = [
+    ("licensed under the apache license version 2 0 the license", "apache2-notice"),
+    ("the mit license", "mit-title"),
+    ("the mit license mit", "mit-title"),
+    ("mit license mit", "mit-title"),
+]
+
+#: Rules of published texts, tried before the others.
+CANONICAL_RULES = [
+    LicenceRule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    LicenceRule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    LicenceRule("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is")),
+    LicenceRule("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl3-later", "gpl-hope")),
+    LicenceRule("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl2-later", "gpl-hope")),
+    LicenceRule("GPL-2.0-or-later", ("gpl-free", "gpl2-redistribute", "gpl-hope")),
+    LicenceRule("GPL-3.0-or-later", ("gpl-terms", "gpl3-later")),
+    LicenceRule("GPL-2.0-or-later", ("gpl-terms", "gpl2-later")),
+    LicenceRule("GPL-2.0-or-later", ("gpl2-redistribute",)),
+]
+
+#: Sentences that leave no gap between known ones.
+PASSED_OVER = "copyright [a-z0-9 ]+|all rights reserved|https? www apache org licenses license 2 0|[0-9]"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = "_"
 
 
 def tokens() -> dict[str, str]:
     """A token of one width for each identifier, so that a run of identifiers is a piece of a string."""
-    return {name: f"<{i:03d}>" for i, name in enumerate(SENTENCES)}
+    return {name: f"<{i:03d}>" for i, name in enumerate([*SENTENCES, *CANONICAL])}
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones left out."""
-    ended = F.regexp_replace(F.coalesce(text, F.lit("")), rf"([.!?;:])[{SPACE}]+", "$1\n")
-    normal = F.transform(F.split(ended, "[\n\r]+"), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    return F.filter(normal, lambda s: s != "")
+#: Ends of sentences in a normalised text: one that no sentence passes, and a line break inside a paragraph.
+END, WRAP = ".", "|"
+
+
+def lines(text: Column) -> Column:
+    """Normalised text with an END before, after and wherever a sentence ends for sure, and a WRAP at other line breaks;
+    only END for a text without words."""
+    plain = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), UPPER + "\r\x02", LOWER + "\n\x03")
+    ended = F.regexp_replace(plain, f"[.!?;:][{SPACE}]+", "\x02")
+    normal = F.concat(F.lit("\x02"), F.regexp_replace(ended, "[^a-z0-9\n\x02]+", " "), F.lit("\x02"))
+    sure = F.regexp_replace(normal, " ?(?:\x02[ \n\x02]*|\n ?[\n\x02][ \n\x02]*)", END)
+    return F.regexp_replace(F.regexp_replace(sure, " ?\n ?", WRAP), "[.|]*[.][.|]*", END)
+
+
+def with_tokens(text: Column) -> Column:
+    """lines() with tokens in place of known sentences, wrapped or not, longer ones first."""
+    of = tokens()
+    known = sorted([(v, of[k]) for k, v in [*SENTENCES.items(), *CANONICAL.items()]] + [(v, of[k]) for v, k in VARIANTS], key=lambda x: (-len(x[0]), x[0]))
+    pattern = lambda s: f"(?<=[{END}{WRAP}])" + s.replace(" ", f"[ {WRAP}]").replace("*", f"[a-z0-9 {WRAP}]+") + f"(?=[{END}{WRAP}])"
+    table = F.array(*[F.struct(F.lit(s.split("* ")[-1]).alias("part"), F.lit(pattern(s)).alias("pattern"), F.lit(token).alias("token")) for s, token in known])
+
+    def replaced(whole: Column) -> Column:
+        flat = F.translate(whole, WRAP, " ")
+        found = let(flat, lambda f: F.filter(table, lambda k: F.contains(f, k["part"])))
+        return F.aggregate(found, whole, lambda t, k: F.regexp_replace(t, k["pattern"], k["token"]))
+
+    return let(lines(text), replaced)
 
 
 def sequence(found: Column) -> Column:
-    """Tokens of known sentences in order, one gap for each run of others."""
-    known, name = F.array(*map(F.lit, SENTENCES.values())), F.array(*map(F.lit, tokens().values()))
-    ids = F.transform(found, lambda s: F.coalesce(F.get(name, F.array_position(known, s).cast("int") - 1), F.lit(GAP)))
-    return F.regexp_replace(F.array_join(ids, ""), f"{GAP}+", GAP)
+    """Tokens of known sentences in order, one gap for each run of others but those that are passed over."""
+    rest = F.regexp_replace(found, f"[{END}{WRAP}](?:{PASSED_OVER})(?=[{END}{WRAP}])", "")
+    ids = F.translate(F.regexp_replace(rest, f"[{END}{WRAP}][a-z0-9 ]+(?=[{END}{WRAP}])", GAP), END + WRAP, "")
+    return F.regexp_replace(ids, f"{GAP}+", GAP)
 
 
 def matched(ids: Column, rules: list[LicenceRule]) -> Column:
@@ -123,13 +184,15 @@ def recognise(docs: DataFrame, text: str = "text", result: str = "licence", rule
     alike; an empty table gives an empty table."""
 
     def judged(found: Column) -> Column:
+        n_sentences = (F.length(found) - F.length(F.translate(found, END + WRAP, "")) - 1).cast("long")
+
         def of(ids: Column) -> Column:
             known = F.length(F.replace(ids, F.lit(GAP), F.lit("")))
             width = len(next(iter(tokens().values())))
-            end = F.when(known > 0, matched(ids, RULES if rules is None else rules))
+            end = F.when(known > 0, matched(ids, CANONICAL_RULES + RULES if rules is None else rules))
             n_known = F.try_divide(known, F.lit(width)).cast("long")
-            return let(end, lambda e: F.struct(F.coalesce(e["licences"], F.array().cast("array<string>")).alias("licences"), F.coalesce(e["n"], F.lit(0)).cast("long").alias("n_matches"), F.size(found).cast("long").alias("n_sentences"), n_known.alias("n_known")))
+            return let(end, lambda e: F.struct(F.coalesce(e["licences"], F.array().cast("array<string>")).alias("licences"), F.coalesce(e["n"], F.lit(0)).cast("long").alias("n_matches"), n_sentences.alias("n_sentences"), n_known.alias("n_known")))
 
         return let(sequence(found), of)
 
-    return docs.withColumn(result, let(sentences(F.col(text)), judged))
+    return docs.withColumn(result, let(with_tokens(F.col(text)), judged))

@@ -44,6 +44,77 @@ def test_licence_sequences(spark):
     assert licenses.recognise(df.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+APACHE = """# Copyright 2024 Jane Doe
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+BSD = """Copyright (c) 2024, Jane Doe
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %d of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_licences_as_published_with_wrapped_lines(spark):
+    rows = [(MIT, "MIT"), (APACHE, "Apache-2.0"), (BSD % "", "BSD-2-Clause"), (BSD % THIRD, "BSD-3-Clause"), (GPL % (",", 3), "GPL-3.0-or-later"), (GPL % (";", 2), "GPL-2.0-or-later"), (GPL % (";", 3), "GPL-3.0-or-later"), (GPL % (",", 2), "GPL-2.0-or-later")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)] + [(100 + k, t.replace("\n", "\r\n"), x) for k, (t, x) in enumerate(rows)], "doc_id long, text string, expect string")
+    out = licenses.recognise(df.repartition(2)).collect()
+    assert [(r.doc_id, r.licence.licences, r.licence.n_matches) for r in out] == [(r.doc_id, [r.expect], 1) for r in out] and len(out) == 16
+
+
 def shown(turns):
     return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
 
