@@ -1,39 +1,40 @@
-"""Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
-
-Each class counts in how many of its texts a word and a word's prefix occur. A word's likelihood is its discounted
-count in the class, and what the discounts free goes to the word's prefix in the same class, and from there to
-continuation counts that both classes share: in how many classes a prefix occurs, and how many words continue it. So an
-expression that one class alone has says much, a rare expression little, and an unknown one as much as its prefix.
-
-A text's ratio is the mean over its words of what goes beyond its centre by more than a margin, over the text's length
-and a few words more, which steadies short texts. The centre is the median of the text's words that are not themselves
-more than the margin on the toxic side (a text's language and subject move all its words alike), so toxic words cannot
-move it, however many they are.
+"""Toxicity: class-conditional Kneser-Ney models of expressions, compared by length-normalised log-likelihood.
+
+An expression is a word without its outer punctuation, lower-cased; a text counts each of its expressions once. Each
+class has a Kneser-Ney model: discounted counts of its own, and what the discounts free goes by continuation counts that
+both classes share (after how many different expressions one comes, in either class). So a rare expression is smoothed
+by what both classes know of it.
+
+A toxic text is mostly made of ordinary expressions, so its likelihood draws a share TOXIC_SHARE of its expressions from
+the toxic model and the others from the ordinary one. A text's ratio is the sum of log(likelihood in a toxic text /
+likelihood in an ordinary one) of all its expressions over their number. Two things keep it steady: a class with less
+text frees more of its counts, so the toxic model is scaled to give expressions that neither class knows the likelihood
+of the ordinary one; and a ratio counts from that of an average ordinary text, which is also what unknown expressions and
+PRIOR_LENGTH further ones have. So 0 stands for a text of which nothing is known.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import words
+from corvane.llm.common import Scratch
 
-#: Labelled documents of each class that the models are fitted on, at most; chosen by a hash of their text.
+#: Labelled documents of each class that the models are fitted on, at most; chosen by a hash of their key. This bounds
+#: the models, which hold every expression of the sample.
 SAMPLE_DOCS = 20_000
-#: Types of words that the models keep, at most, the most frequent first; other words are known by their prefix.
-MAX_TYPES = 400_000
-PREFIX = 4
-DISCOUNT = 0.75
-#: Nats by which a word's log ratio must leave its text's centre to count, and up to which it takes part in the centre.
-MARGIN = 2.0
-#: Words that every text's length is raised by.
-EXTRA_LENGTH = 10
+DISCOUNT = 0.95
+#: Share of a toxic text's expressions that the toxic model draws.
+TOXIC_SHARE = 0.01
+#: Expressions of an average ordinary text that every text's length is raised by.
+PRIOR_LENGTH = 10
 #: One in so many texts of the sample, by a hash of the text, sets the slope and offset of the score.
 CALIBRATION_SHARE = 4
 MEMO_ENTRIES = 500_000
@@ -42,23 +43,25 @@ EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range
 
 
 class Model(NamedTuple):
-    """Log ratios toxic : ordinary of known words and prefixes, that of unknown prefixes, and the calibration."""
+    """Hashes of known expressions in order, the log ratio toxic : ordinary of each, and the calibration."""
 
-    word: dict[str, float]
-    prefix: dict[str, float]
-    unknown: float
+    known: np.ndarray
+    ratio: np.ndarray
     slope: float
     offset: float
 
 
-def expression(piece: str) -> str:
-    return piece.strip(EDGES).lower()
+def pieces(text: str | None) -> list[bytes]:
+    """Runs without ASCII white space."""
+    return (text or "").encode().split()
+
 
+def expression(piece: bytes) -> str:
+    return piece.decode().strip(EDGES).lower()
 
-def expressions(text: Column) -> Column:
-    """Words without outer punctuation, lower-cased, empty ones left out: expression() as a Column."""
-    inside = F.transform(words(text), lambda w: F.lower(F.trim(w, F.lit(EDGES))))
-    return F.filter(inside, lambda w: w != "")
+
+def hashed(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode())
 
 
 class Memo(dict):
@@ -67,51 +70,61 @@ class Memo(dict):
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, piece: str) -> float:
+    def __missing__(self, piece: bytes) -> float:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        word, m = expression(piece), self.model
-        found = math.nan
+        word, m, found = expression(piece), self.model, math.nan
         if word:
-            found = m.word.get(word)
-            if found is None:
-                found = m.prefix.get(word[:PREFIX], m.unknown)
+            key = np.uint64(hashed(word))
+            at = int(np.searchsorted(m.known, key))
+            found = float(m.ratio[at]) if at < len(m.known) and m.known[at] == key else 0.0
         self[piece] = found
         return found
 
 
 def normalised(memo: Memo, text: str | None) -> float:
     """Length-normalised log-likelihood ratio of a whole text; 0 without any expression."""
-    pieces = (text or "").split()
-    found = np.fromiter(map(memo.__getitem__, pieces), np.float64, len(pieces))
+    own = pieces(text)
+    found = np.fromiter(map(memo.__getitem__, own), np.float64, len(own))
     found = found[~np.isnan(found)]
-    if not len(found):
-        return 0.0
-    plain = found[found <= MARGIN]
-    away = found - (np.median(plain) if len(plain) else 0.0)
-    return float((np.sign(away) * np.maximum(np.abs(away) - MARGIN, 0)).sum() / (len(found) + EXTRA_LENGTH))
-
-
-def kneser_ney(rows: Iterable[tuple[str, int, int]], discount: float = DISCOUNT) -> tuple[dict[str, float], dict[str, float], float]:
-    """Log ratios of words, of prefixes and of unknown prefixes from (word, toxic count, ordinary count)."""
-    rows = list(rows)
-    word = np.asarray([(t, o) for _, t, o in rows], np.float64).reshape(-1, 2)
-    names = sorted({w[:PREFIX] for w, _, _ in rows})
-    at = {p: i for i, p in enumerate(names)}
-    of = np.asarray([at[w[:PREFIX]] for w, _, _ in rows], np.int64)
-    prefix = np.zeros((len(names), 2))
-    np.add.at(prefix, of, word)
-    tokens = np.maximum(word.sum(0), 1)
-    seen_in = (prefix > 0).sum(1, keepdims=True)  # continuation counts, shared by the classes
-    shared = (seen_in + discount) / (seen_in.sum() + discount * (len(names) + 1))
-    freed = np.maximum(np.minimum(prefix, discount).sum(0), discount) / tokens
-    of_prefix = np.maximum(prefix - discount, 0) / tokens + freed * shared
-    unknown = freed * discount / (seen_in.sum() + discount * (len(names) + 1))
-    kinds = np.bincount(of, minlength=len(names))  # words that continue a prefix, shared by the classes
-    freed = np.maximum(np.minimum(word, discount).sum(0), discount) / tokens
-    of_word = np.maximum(word - discount, 0) / tokens + freed * (of_prefix / (kinds[:, None] + 1))[of] if len(rows) else word
-    ratio = lambda x: np.log(x[..., 0]) - np.log(x[..., 1])
-    return dict(zip((w for w, _, _ in rows), ratio(of_word).tolist(), strict=True)), dict(zip(names, ratio(of_prefix).tolist(), strict=True)), float(ratio(unknown))
+    return float(found.sum() / (len(found) + PRIOR_LENGTH))
+
+
+def shared_backoff(contexts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """Likelihood of each expression by the number of those it comes after, and last that of an unknown one."""
+    total, n = max(float(contexts.sum()), 1.0), len(contexts)
+    held = np.maximum(np.append(contexts, 0.0) - discount, 0) / total
+    return held + (1 - held.sum()) / (n + 1)
+
+
+def kneser_ney(counts: np.ndarray, contexts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """Likelihood of each expression, and last of an unknown one, in each class. counts: a row for each expression and a
+    column for each class."""
+    held = np.maximum(np.vstack([counts, np.zeros((1, counts.shape[1]))]) - discount, 0) / np.maximum(counts.sum(0), 1)
+    return held + (1 - held.sum(0)) * shared_backoff(contexts, discount)[:, None]
+
+
+def log_ratios(counts: np.ndarray, contexts: np.ndarray, share: float = TOXIC_SHARE, discount: float = DISCOUNT) -> np.ndarray:
+    """Log ratio of each expression's likelihood in a toxic text to that in an ordinary one, less its mean over ordinary
+    texts that the model does not know: each occurrence counts as if it had not been seen. Columns of counts are the
+    ordinary class and the toxic one."""
+    p = kneser_ney(counts, contexts, discount)
+    even = p[-1, 0] / p[-1, 1]
+    ratio = lambda ordinary: np.log1p(share * (even * p[:-1, 1] / ordinary - 1))
+    ordinary, once_less = counts[:, 0], np.maximum(counts[:, 0] - 1, 0)
+    held = lambda c: np.maximum(c - discount, 0) / max(float(ordinary.sum()), 1.0)
+    still_known = ordinary * (counts.sum(1) > 1)
+    mean = (still_known * ratio(p[:-1, 0] - held(ordinary) + held(once_less))).sum() / max(float(still_known.sum()), 1.0)
+    return ratio(p[:-1, 0]) - mean
+
+
+def fitted(words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, slope: float = 1.0, offset: float = 0.0) -> Model:
+    """Model of expressions (hashes, in any order), without those that no text has."""
+    seen = np.flatnonzero(counts.sum(1) > 0)
+    ratio = log_ratios(counts[seen].astype(np.float64), contexts[seen].astype(np.float64))
+    known = words[seen].view(np.uint64)
+    order = np.argsort(known)
+    return Model(known[order], ratio[order], slope, offset)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -135,29 +148,58 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
+def occurrences(sample: DataFrame) -> DataFrame:
+    """(word, before, y, held) of each expression of each text of sample (text, y, held): hashes of the expression and of
+    the one before it, 0 at the start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y, held in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "held")), strict=True):
+                own = dict.fromkeys(w for w in map(expression, pieces(text)) if w)
+                words = np.fromiter(map(hashed, own), np.uint64, len(own)).view(np.int64)
+                before = np.concatenate([np.zeros(min(1, len(words)), np.int64), words[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(before), pa.array(np.full(len(words), y, np.int32)), pa.array(np.full(len(words), held))], names=["word", "before", "y", "held"])
+
+    return sample.mapInArrow(run, "word bigint, before bigint, y int, held boolean")
+
+
+def counted(sample: DataFrame) -> pa.Table:
+    """(word, fit0, fit1, fit_contexts, all0, all1, all_contexts): texts of each class, and different expressions that
+    come before, without the calibrating texts and with them."""
+    of = {f"{name}{y}": (F.col("y") == y) & part for name, part in (("fit", ~F.col("held")), ("all", F.lit(True))) for y in (0, 1)}
+    pairs = occurrences(sample).groupBy("word", "before").agg(*[F.count_if(test).alias(n) for n, test in of.items()])
+    sums = [F.sum(n).cast("int").alias(n) for n in of]
+    contexts = [F.count_if(F.col(f"{n}0") + F.col(f"{n}1") > 0).cast("int").alias(f"{n}_contexts") for n in ("fit", "all")]
+    return pairs.groupBy("word").agg(*sums, *contexts).toArrow()
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Models from the rows of labels (key, label 0 or 1; others are left out, as are keys without a document). Each
-    class takes at most sample_docs documents; a text that the sample repeats counts once. Without both classes every
-    ratio is 0 and every score is a half."""
+    class takes at most sample_docs documents; a text that the sample repeats counts once. Without both classes, and so
+    from an empty table, no expression is known and every score is a half. Where the calibrating texts are of one class,
+    all texts of the sample calibrate."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").distinct()
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0)
     if len(known.select("y").distinct().collect()) < 2:
-        return Model({}, {}, 0.0, 1.0, 0.0)
+        return nothing
     order = F.xxhash64(F.col("key").cast("string"))
     chosen = known.where("y = 1").orderBy(order, "key").limit(sample_docs).unionAll(known.where("y = 0").orderBy(order, "key").limit(sample_docs))
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "key").groupBy("text", "y").agg(F.min("key").alias("key"))
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_SHARE))).persist()
-    exploded = sample.select("y", "fold", F.explode(F.array_distinct(expressions(F.col("text")))).alias("word"))
-    held = F.col("fold") == 0
-    counts = exploded.groupBy("word").agg(
-        *[F.count_if((F.col("y") == y) & part).alias(f"{name}{y}") for y in (1, 0) for name, part in (("fit", ~held), ("all", F.lit(True)))]
-    )
-    kept = counts.where("all1 + all0 > 1").orderBy(F.desc(F.col("all1") + F.col("all0")), "word").limit(MAX_TYPES).collect()
-    first = Model(*kneser_ney((r["word"], r["fit1"], r["fit0"]) for r in kept if r["fit1"] + r["fit0"]), 1.0, 0.0)
-    ratios = sample.where(held).select("y", ratio(F.col("text"), first).alias("x")).toPandas()
-    sample.unpersist()
-    slope, offset = calibrate(ratios["x"].to_numpy(), ratios["y"].to_numpy())
-    return Model(*kneser_ney((r["word"], r["all1"], r["all0"]) for r in kept), slope, offset)
+    held = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_SHARE)) == 0
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(texts.join(F.broadcast(chosen), "key").groupBy("text", "y").agg(F.first(held).alias("held")), "sample")
+    counts = counted(sample)
+    take = lambda *names: np.stack([counts.column(n).to_numpy() for n in names], 1)
+    words = counts.column("word").to_numpy()
+    first = fitted(words, take("fit0", "fit1"), counts.column("fit_contexts").to_numpy())
+    for tried in (sample.where("held"), sample):
+        ratios = tried.select("y", ratio(F.col("text"), first).alias("x")).toArrow()
+        y = ratios.column("y").to_numpy()
+        if len(np.unique(y)) == 2:
+            break
+    scratch.keep_only()
+    slope, offset = calibrate(ratios.column("x").to_numpy(), y)
+    return fitted(words, take("all0", "all1"), counts.column("all_contexts").to_numpy(), slope, offset)
 
 
 def ratio(text: Column, model: Model) -> Column:
@@ -178,7 +220,8 @@ def ratio(text: Column, model: Model) -> Column:
 
 def score(docs: DataFrame, model: Model, text: str = "text", result: str = "toxicity") -> DataFrame:
     """docs with a struct column `result` of ratio, score (0 to 1) and predicted (1 from a half on); an input column of
-    that name is replaced. Null and empty texts have ratio 0 and the score of the offset. Repeated rows score alike."""
+    that name is replaced. Null and empty texts have ratio 0 and the score of the offset. Repeated rows score alike, and
+    an empty table gives an empty table."""
     x = ratio(F.col(text), model)
     bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * F.col(result) + F.lit(model.offset)))
     s = F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
