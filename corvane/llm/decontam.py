@@ -11,7 +11,8 @@ of the others. An item that a window retrieves is verified: of the word 5-grams
 the window and its neighbours.
 
 The index is broadcast, so it holds at most INDEX_ITEMS items; a larger benchmark is dealt over several indexes, and each
-is one more pass over the documents' words. Each document is judged in its own row: nothing is shuffled.
+is one more pass over the documents' words. Word frequencies and the mean length are those of all items, so the dealing
+changes no score. Each document is judged in its own row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -83,20 +84,33 @@ class Item(NamedTuple):
         return stride
 
 
+class Statistics(NamedTuple):
+    """Of all items of a benchmark, however many indexes they are dealt over."""
+
+    items: int
+    mean_words: float
+    frequency: dict[str, int]
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Statistics:
+        words = [w for w in (normal_words(t or "") for _, t in items) if w]
+        return Statistics(len(words), sum(map(len, words)) / max(1, len(words)), Counter(x for w in words for x in set(w)))
+
+
 class Index:
-    """Inverted index with BM25 scores as shares of each item's own score, and the largest score of each block."""
+    """Inverted index with BM25 scores as shares of each item's own score, and the largest score of each block. Without
+    statistics the items are the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        every = statistics or Statistics.of(items)
         self.items = [Item(k, *question_and_answer(t or "")) for k, t in items]
         self.items = sorted((x for x in self.items if x.question), key=lambda x: (x.stride, len(set(x.words))))
         counts = [Counter(x.words) for x in self.items]
         length = [sum(c.values()) for c in counts]
-        mean = sum(length) / max(1, len(length))
-        frequency = Counter(w for c in counts for w in c)
-        self.terms = {w: i for i, w in enumerate(sorted(frequency))}
+        self.terms = {w: i for i, w in enumerate(sorted({w for c in counts for w in c}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, c in enumerate(counts):
-            score = {w: math.log(1 + (len(counts) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length[i] / mean)) for w, n in c.items()}
+            score = {w: math.log(1 + (every.items - every.frequency[w] + 0.5) / (every.frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length[i] / every.mean_words)) for w, n in c.items()}
             own = math.fsum(score.values())
             for w, s in score.items():
                 postings[self.terms[w]].append((i, s / own))
@@ -161,8 +175,8 @@ class Memo(dict):
 
 
 class Scanner:
-    def __init__(self, items: list[tuple[int, str]]):
-        self.index = Index(items)
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        self.index = Index(items, statistics)
         self.memo = Memo(self.index.terms)
 
     def leaks(self, text: str | None) -> list[dict]:
@@ -216,28 +230,46 @@ LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_o
 LEAKS_DDL = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,start_word:bigint>>"
 
 
-def scanned(text: Column, items: DataFrame) -> Column:
-    """Leaks of each whole text for items (item_id, text), which are few by contract of the caller."""
-    rows = sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0], r[1] or ""))
-    sent = items.sparkSession.sparkContext.broadcast(rows)
+def scanned(text: Column, rows: list[tuple[int, str]], statistics: Statistics) -> Column:
+    """Leaks of each whole text for the items (item_id, text) of one index."""
+    sent = SparkSession.active().sparkContext.broadcast((rows, statistics))
     made: list[Scanner] = []
 
     @F.arrow_udf(LEAKS_DDL)
     def _scan(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Scanner(sent.value))
+            made.append(Scanner(*sent.value))
         return pa.array([made[0].leaks(t) for t in texts.to_pylist()], pa.list_(LEAK))
 
     return _scan(text)
 
 
+def dealt(items: DataFrame, parts: int) -> list[tuple[list[tuple[int, str]], Statistics]]:
+    """Items of each index with the statistics of all items, as far as the index's own words go."""
+
+    @F.arrow_udf("array<string>")
+    def words_of(texts: pa.Array) -> pa.Array:
+        return pa.array([normal_words(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    known = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("part"), words_of("text").alias("words"))
+    n, mean = known.where(F.size("words") > 0).agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(0.0))).first()
+    own = known.select("part", F.explode(F.array_distinct("words")).alias("word"))
+    frequency = own.groupBy("word").agg(F.count("*").alias("n"))
+    of_parts = own.distinct().join(frequency, "word")
+    found = []
+    for p in range(parts):
+        rows = sorted((tuple(r) for r in known.where(F.col("part") == p).select("item_id", "text").collect()), key=lambda r: (r[0], r[1] or ""))
+        found.append((rows, Statistics(n, mean, {r["word"]: r["n"] for r in of_parts.where(F.col("part") == p).collect()})))
+    return found
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", result: str = "leaks", item: str = "item_id", item_text: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
     """docs with an array column `result` of leaked items (item_id, score, question_overlap, answer_overlap, start_word),
     in order of item_id; an input column of that name is replaced. Null and empty texts leak nothing. Items without a
     word or with a null id are left out, and of items with one id the results are kept apart. Repeated rows are judged
-    alike. Without items every array is empty."""
+    alike. Without items every array is empty, and an empty table gives an empty table. index_items bounds an index, not
+    the benchmark, and changes no result: the statistics are those of all items."""
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null").distinct()
     parts = max(1, -(-items.count() // index_items))
-    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    found = [scanned(F.col(text), items.where(own == p)) for p in range(parts)]
+    found = [scanned(F.col(text), *part) for part in dealt(items, parts)]
     return docs.withColumn(result, F.array_sort(F.concat(*found)) if parts > 1 else found[0])

@@ -80,7 +80,17 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "Was it red? It was a red fox."), (1, "Was it red? It was a red fox."), (2, None), (None, "x x x"), (3, "...")], "item_id long, text string")
     out = {r.doc_id: [x.item_id for x in r.leaks] for r in decontam.scan(docs, bench).collect()}
     assert out == {1: [], 2: [], 3: [1], None: [1], 5: []}
-    parts = {r.doc_id: [x.item_id for x in r.leaks] for r in decontam.scan(docs, bench, index_items=1).collect()}
-    assert parts[1] == [] and RETRIEVE_AT < 1
+    assert RETRIEVE_AT < 1 and {r.doc_id: [x.item_id for x in r.leaks] for r in decontam.scan(docs, bench, index_items=1).collect()} == out
     assert [r.leaks for r in decontam.scan(docs, bench.limit(0)).collect()] == [[]] * 5
     assert decontam.scan(docs.limit(0), bench).count() == 0
+
+
+def test_dealing_items_over_several_indexes_changes_nothing(spark):
+    rng = random.Random(6)
+    items = items_of(60, rng) + [(60, None), (61, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join([f"w{rng.randrange(300)}" for _ in range(90)] + items[rng.randrange(60)][1].split()[rng.randrange(3) :] * (n % 4 > 0)) for n in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({r.doc_id: [x.asDict() for x in r.leaks] for r in decontam.scan(docs, bench, index_items=k).collect()} for k in (2000, 5))
+    assert one == many and sum(map(len, one.values())) > 40
+    assert one == {k: decontam.Scanner(items).leaks(t) for k, t in enumerate(texts)}
