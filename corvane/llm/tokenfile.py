@@ -151,37 +151,51 @@ def shards(spark: SparkSession, path: str) -> list:
     return [r.asDict() | {"base": b} for r, b in zip(rows, bases, strict=False)]
 
 
+def indexed_rows(shard: Shard) -> np.ndarray:
+    """Row of every document, in order of its key, as the index has it: the first row of a key comes from the perfect
+    hash and fingerprint, rows that repeat a key follow their first, and rows of null keys, which no index holds, are
+    where they stand."""
+    n, null = len(shard.keys), shard.parts["null"] == 1
+    first = shard.find(shard.keys)
+    if (first[~null] < 0).any():
+        raise ValueError("the index does not know a key that the shard holds")
+    at = np.arange(n)
+    fresh = np.concatenate([[True], (shard.keys[1:] != shard.keys[:-1]) | (null[1:] != null[:-1])])[:n]
+    repeat = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return np.where(null, at, first + repeat)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Every document of a store: key, start (ids of all documents before it), n_tokens and ids (little-endian unsigned
-    32-bit numbers). A task reads one shard, and looks its keys up in the index before it reads their ids."""
+    32-bit numbers). A task reads one shard, and takes the place of each document's ids from the index."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                shard = Shard(f"{path}/{file}")
-                null = shard.parts["null"] == 1
-                first = shard.find(shard.keys)
-                if ((first < 0) & ~null).any() or (shard.keys[first] != shard.keys)[~null].any():
-                    raise ValueError(f"{file}: the index does not know a key that the shard holds")
-                yield from _documents(shard, base, null)
+                yield from _documents(Shard(f"{path}/{file}"), base)
 
     rows = [(r["file"], r["base"]) for r in shards(spark, path)]
     found = spark.createDataFrame(rows, "file string, base bigint")
     return found.repartition(max(1, len(rows))).mapInArrow(read, ROWS_DDL)
 
 
-def _documents(shard: Shard, base: int, null: np.ndarray) -> Iterator[pa.RecordBatch]:
-    row, last = 0, len(shard.keys)
-    while row < last:
+def _documents(shard: Shard, base: int) -> Iterator[pa.RecordBatch]:
+    """Documents at the rows that the index gives; rows that follow each other in the file are read together."""
+    rows, null = indexed_rows(shard), shard.parts["null"] == 1
+    breaks = np.append(np.flatnonzero(np.diff(rows) != 1) + 1, len(rows))
+    at = 0
+    while at < len(rows):
+        row = int(rows[at])
+        together = int(breaks[np.searchsorted(breaks, at, side="right")]) - at
         limit = shard.offsets[row] + READ_BYTES // 4
-        stop = max(row + 1, int(np.searchsorted(shard.offsets, limit, side="right")) - 1)
+        stop = min(row + together, max(row + 1, int(np.searchsorted(shard.offsets, limit, side="right")) - 1))
         ids, start = shard.ids(row, stop - row), shard.offsets[row]
-        at = (shard.offsets[row : stop + 1] - start).astype(np.int32) * 4
-        data = pa.Array.from_buffers(pa.binary(), stop - row, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])
-        keys = pa.array(shard.keys[row:stop], pa.int64(), mask=null[row:stop])
+        ends = (shard.offsets[row : stop + 1] - start).astype(np.int32) * 4
+        data = pa.Array.from_buffers(pa.binary(), stop - row, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
+        own = slice(at, at + stop - row)
         starts = pa.array(shard.offsets[row:stop] + base, pa.int64())
-        yield pa.RecordBatch.from_arrays([keys, starts, pa.array(np.diff(shard.offsets[row : stop + 1]), pa.int64()), data], schema=ROWS)
-        row = stop
+        yield pa.RecordBatch.from_arrays([pa.array(shard.keys[own], pa.int64(), mask=null[own]), starts, pa.array(np.diff(shard.offsets[row : stop + 1]), pa.int64()), data], schema=ROWS)
+        at += stop - row
 
 
 def look_up(keys: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

@@ -57,6 +57,22 @@ def test_store_round_trip_with_nulls_and_repeats(spark, tmp_path):
     assert sorted(r.key for r in tokenfile.look_up(asked, path).collect()) == [3, 3, 9]
 
 
+def test_rows_of_a_store_come_through_its_index(spark, tmp_path):
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame([(k, t) for k, t in ROWS] + [(3, "another"), (None, "none"), (8, "y")], "doc_id long, text string")
+    tokenfile.write_store(docs.coalesce(1), path, BYTE, end_id=0)
+    for r in tokenfile.shards(spark, path):
+        shard = tokenfile.Shard(f"{path}/{r['file']}")
+        assert tokenfile.indexed_rows(shard).tolist() == list(range(len(shard.keys)))
+        rows = shard.parts["row"].copy()
+        if len(rows) > 1:
+            whole = [b.to_pylist() for b in tokenfile._documents(shard, 0)]
+            shard.parts["row"] = np.roll(rows, 1)
+            with pytest.raises(ValueError, match="index"):
+                list(tokenfile._documents(shard, 0))
+            assert sum(map(len, whole)) == len(shard.keys)
+
+
 def test_empty_store(spark, tmp_path):
     path = str(tmp_path / "store")
     tokenfile.write_store(spark.createDataFrame([], "doc_id long, text string"), path, BYTE, end_id=0)
