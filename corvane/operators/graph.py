@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources import shared
+
 #: Mothers that one number holds, three decimal digits each.
 DIGITS, MOST = 1000, 6
 
@@ -24,21 +26,43 @@ def edges(nodes: DataFrame, key: list[str], index: str, mothers: str) -> DataFra
     return nodes.select(*key, F.explode(mothers).alias("mother"), F.col(index).alias("daughter"))
 
 
-def terminal_copies(nodes: DataFrame, parent: str = "parent", node: str = "node") -> DataFrame:
+def terminal_copies(nodes: DataFrame, parent: str = "parent", node: str = "node", kind: str | None = None) -> DataFrame:
     """(node, last): the end of each node's chain of parents, by pointer jumping, so a chain of length n takes log2(n)
-    rounds, and more never help. Nodes whose chain ends in a cycle, or at a parent that is not in the table, are left out."""
-    at = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("last"))
-    for _ in range(nodes.count().bit_length() + 1):
+    rounds, and more never help. With a kind column, the chain ends before a parent of another kind. Nodes whose chain
+    ends in a cycle, or at a parent that is not in the table, are left out."""
+    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), *([F.col(kind).alias("kind")] if kind else []))
+    if kind:
+        above = rows.select(F.col("node").alias("parent"), F.col("kind").alias("kind_above"))
+        rows = rows.join(above, "parent", "left").withColumn("parent", F.when(F.col("kind_above").isNull() | (F.col("kind_above") == F.col("kind")), F.col("parent")))
+    rows = shared.written(rows.select("node", "parent"), "chains")
+    at = rows.select("node", F.coalesce("parent", "node").alias("last"))
+    for _ in range(rows.count().bit_length() + 1):
         step = at.select(F.col("node").alias("last"), F.col("last").alias("next"))
         found = at.join(step, "last").select("node", F.col("next").alias("last"), (F.col("next") != F.col("last")).alias("moved"))
-        found = found.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+        found = shared.written(found, "chains")
         at = found.select("node", "last")
         if found.where("moved").isEmpty():
             break
-    roots = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("last"))
+    roots = rows.where("parent is null").select(F.col("node").alias("last"))
     return at.join(roots, "last", "left_semi").select("node", "last")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every node of links (a, b), label being the smallest node that can be reached in both directions.
+    Each round takes the smallest label of a node and its neighbours, and then that label's label, until none changes."""
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = shared.written(both.distinct(), "edges")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    while True:
+        heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        found = shared.written(lower.join(roots, "label").select("node", "was", F.least("label", "root").alias("label")), "labels")
+        labels = found.select("node", "label")
+        if found.where("label <> was").isEmpty():
+            return labels
+
+
 def final_state(nodes: DataFrame, key: list[str]) -> DataFrame:
     """Nodes (key, node, parent) that no other has as a parent."""
     parents = nodes.where("parent is not null").select(*key, F.col("parent").alias("node")).distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import delta_phi, delta_r
+from corvane.operators.graph import components
+from corvane.operators.order import numbered
 
 
 def near_pairs(a: DataFrame, b: DataFrame, event: list[str], radius: float, eta: str = "eta", phi: str = "phi") -> DataFrame:
@@ -62,21 +62,19 @@ def cone_filter(items: Column, references: Column, radius: float) -> Column:
     return F.filter(items, lambda x: F.exists(references, lambda r: close(x, r)))
 
 
+def near_any(a: DataFrame, b: DataFrame, event: list[str], key: list[str], radius: float) -> DataFrame:
+    """(event, key) of rows of a with a row of b within a distance."""
+    return near_pairs(a, b, event, radius).select(*event, *key).distinct()
+
+
 def closure(start: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes that can be reached from start (root, node) over links (a, b) in both directions, to the fixed point: until
-    no row is new, however long a chain is. Each round only extends what the last one found, and is checkpointed where a
-    checkpoint folder is set."""
-    spark = start.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = keep(start.select("root", "node").distinct())
-    fresh, width = seen, max(seen.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    while True:
-        found = fresh.join(both, fresh["node"] == both["a"]).select("root", F.col("b").alias("node")).distinct()
-        fresh = keep(found.join(seen, ["root", "node"], "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        seen = keep(seen.unionAll(fresh).coalesce(width))
+    """(root, node) of all nodes that can be reached from start (root, node) over links (a, b) in both directions: those
+    of the start's component. A node without links reaches itself."""
+    labels = components(links)
+    named = start.select("root", "node").distinct().join(labels, "node", "left")
+    alone = named.where("label is null").select("root", "node")
+    reached = named.where("label is not null").select("root", "label").distinct().join(labels, "label").select("root", "node")
+    return reached.unionAll(alone)
 
 
 def merge_first_wins(rows: DataFrame, event: str, radius: float = 0.01, tolerance: float = 0.01) -> DataFrame:
@@ -119,17 +117,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
     return out.select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def by_position(frames: list[DataFrame], order: str) -> DataFrame:
-    """Frames side by side by their stored row number column."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, order, "inner")
-    return out
-
-
-def batches(frames: Iterator[DataFrame]) -> DataFrame:
-    """All rows of frames with equal columns."""
-    out = next(frames)
-    for f in frames:
-        out = out.unionByName(f)
+def by_position(frames: list[tuple[DataFrame, list[Column]]]) -> DataFrame:
+    """Frames side by side: the rows that have one place in each frame's own order. Frames of unequal length are an
+    error. The place, from 0, is the column row."""
+    placed = [numbered(df, order, "row") for df, order in frames]
+    sizes = [df.count() for df in placed]
+    if len(set(sizes)) > 1:
+        raise ValueError(f"tables of {sizes} rows cannot stand side by side")
+    out = placed[0]
+    for df in placed[1:]:
+        out = out.join(df, "row")
     return out

@@ -5,32 +5,35 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import order
+
 
 def roc(df: DataFrame, keys: list[str], score: str, truth: Column, weight: Column | None = None) -> DataFrame:
-    """Weighted false and true positive rates at each distinct score, from the highest down. Rows of one score are
-    summed before the window, so it orders distinct scores."""
+    """Weighted false and true positive rates at each distinct score, from the highest down, and those before it. Rows of
+    one score are summed first, and running sums take no window over all scores."""
     w = F.lit(1.0) if weight is None else weight
     sums = df.groupBy(*keys, score).agg(F.sum(F.when(truth, w).otherwise(0.0)).alias("p"), F.sum(F.when(truth, 0.0).otherwise(w)).alias("q"))
-    down, every = Window.partitionBy(*keys).orderBy(F.desc(score)), Window.partitionBy(*keys)
-    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(every))
-    return sums.select(*keys, F.col(score).alias("threshold"), share("q").alias("fpr"), share("p").alias("tpr"))
+    placed = order.running(sums, keys, [F.desc(score)], {"cp": "p", "cq": "q"})
+    share = lambda c, n: F.try_divide(c, F.col(f"{n}_total"))
+    rates = [share(F.col(f"c{c}"), f"c{c}").alias(n) for c, n in (("q", "fpr"), ("p", "tpr"))]
+    before = [share(F.col(f"c{c}") - F.col(c), f"c{c}").alias(n) for c, n in (("q", "fpr_before"), ("p", "tpr_before"))]
+    return placed.select(*keys, F.col(score).alias("threshold"), *rates, *before)
 
 
 def auc(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Area under a curve of roc() by trapezia, from (0, 0)."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    area = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return curve.withColumn("area", area).groupBy(*keys).agg(F.sum("area").alias("auc"))
+    area = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
+    return curve.groupBy(*keys).agg(F.sum(area).alias("auc"))
 
 
 def pruned(curve: DataFrame, keys: list[str], digits: int) -> DataFrame:
     """The first point, from the highest threshold, of each rounded true positive rate."""
-    w = Window.partitionBy(*keys, F.round("tpr", digits)).orderBy(F.desc("threshold"))
-    return curve.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rest = [c for c in curve.columns if c not in keys]
+    first = F.max(F.struct("threshold", *[c for c in rest if c != "threshold"])).alias("__p")
+    return curve.groupBy(*keys, F.round("tpr", digits).alias("__t")).agg(first).select(*keys, *[F.col(f"__p.{c}").alias(c) for c in rest])
 
 
 def threshold_at(curve: DataFrame, keys: list[str], efficiency: float) -> DataFrame:
@@ -92,10 +95,8 @@ def with_interval(counts: DataFrame, alpha: float = 0.317311) -> DataFrame:
 def at_common_points(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
     """Curve b's y at a's x by linear interpolation within b's range: (x, y of a, y of b)."""
     both = a.select(F.col(x).alias("x"), F.col(y).alias("ya"), F.lit(None).cast("double").alias("yb")).unionAll(b.select(F.col(x).alias("x"), F.lit(None).cast("double").alias("ya"), F.col(y).alias("yb")))
-    up = Window.orderBy("x", F.col("yb").isNull())
-    back, ahead = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col("yb").isNotNull(), F.struct("x", F.col("yb").alias("y")))
-    placed = both.withColumns({"l": F.last(point, True).over(back), "r": F.first(point, True).over(ahead)})
+    placed = order.between(both, [F.col("x"), F.col("yb").isNull()], point, "l", "r")
     slope = F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x"))
     value = F.col("l.y") + F.coalesce(slope, F.lit(0.0)) * (F.col("x") - F.col("l.x"))
     return placed.where("ya is not null and l is not null and r is not null").select("x", "ya", value.alias("yb"))

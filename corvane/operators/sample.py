@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import uniform
+from corvane.operators import order
 
 
 def accepted(df: DataFrame, probability: Column, seed: int, *key: Column) -> DataFrame:
@@ -25,14 +26,17 @@ def mix_fractions(sizes: DataFrame, name: str, shares: dict[str, float]) -> Data
     return sizes.withColumn("rate", rate).where("rate > 0").withColumn("fraction", F.col("rate") / F.max("rate").over(Window.partitionBy())).drop("rate")
 
 
-def interleaved(df: DataFrame, group: str, order: list[Column], per_batch: dict[str, int]) -> DataFrame:
-    """Batch number of each row, every batch having so many rows of each group; batches that a group cannot fill are
-    left out."""
+def interleaved(df: DataFrame, group: str, by: list[Column], per_batch: dict[str, int], batches: int | None = None) -> DataFrame:
+    """Batch number of each row, every batch having so many rows of each group: as many batches as all groups can fill,
+    or the number asked for, which a group that runs out of rows makes an error."""
     table = F.create_map(*[F.lit(x) for pair in per_batch.items() for x in pair])
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    placed = df.where(F.col(group).isin(list(per_batch))).withColumn("batch", F.floor(n / F.try_element_at(table, F.col(group))).cast("long"))
-    full = placed.groupBy(group).agg(F.count("*").alias("n")).select(F.floor(F.col("n") / F.try_element_at(table, F.col(group))).alias("f")).agg(F.min("f").alias("full"))
-    return placed.join(F.broadcast(full), F.col("batch") < F.col("full")).drop("full")
+    wanted = df.where(F.col(group).isin(list(per_batch)))
+    sizes = {r[0]: r[1] for r in wanted.groupBy(group).agg(F.count("*")).collect()}  # one row for each group named
+    full = min(sizes.get(g, 0) // n for g, n in per_batch.items())
+    if batches is not None and full < batches:
+        raise ValueError(f"a group runs out of rows after {full} of {batches} batches")
+    placed = order.numbered(wanted, by, "__n", [group])
+    return placed.withColumn("batch", F.floor(F.col("__n") / F.try_element_at(table, F.col(group))).cast("long")).drop("__n").where(F.col("batch") < (full if batches is None else batches))
 
 
 def shuffled(df: DataFrame, seed: int, *key: Column) -> DataFrame:

@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import order
+
+#: Distinct values that a density sums over, at most.
+KDE_VALUES = 100_000
 #: Chance below a normal deviate of so many sigmas.
 SIGMA_SHARES = {s: 0.5 * (1 + math.erf(s / math.sqrt(2))) for s in (-5, -3, -2, -1, 1, 2, 3, 5)}
 
@@ -28,38 +32,49 @@ def combined(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantile_block(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median, extremes and quantiles at 1, 2, 3 and 5 sigmas on both sides, interpolated."""
-    shares = [0.5, *SIGMA_SHARES.values()]
-    q = df.groupBy(*keys).agg(F.expr(f"percentile({x}, array({', '.join(f'{s!r}D' for s in shares)}))").alias("q"), F.min(x).alias("min"), F.max(x).alias("max"))
-    names = ["median", *[f"sigma_{'m' if s < 0 else 'p'}{abs(s)}" for s in SIGMA_SHARES]]
-    return q.select(*keys, "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    shares = {"median": 0.5} | {f"sigma_{'m' if s < 0 else 'p'}{abs(s)}": v for s, v in SIGMA_SHARES.items()}
+    return quantiles(df, keys, x, shares).select(*keys, "min", "max", *shares)
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles by linear interpolation between sorted values, with min, max and n: rows are numbered in order, and each
+    quantile takes the two rows beside its place, so no group's values are ever held together. Nulls are left out."""
+    rows = df.select(*keys, F.col(x).cast("double").alias("__x")).where("__x is not null")
+    placed = order.numbered(rows, [F.col("__x")], "__n", keys, total="n")
+    found = [F.min("__x").alias("min"), F.max("__x").alias("max"), F.first("n").alias("n")]
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * F.lit(share)
+        found += [F.max(F.when(F.col("__n") == f(at), F.col("__x"))).alias(f"__{side}_{name}") for side, f in (("l", F.floor), ("r", F.ceil))]
+    ends = placed.groupBy(*keys).agg(*found)
+
+    def value(name: str, share: float) -> Column:
+        low, high, at = F.col(f"__l_{name}"), F.col(f"__r_{name}"), (F.col("n") - 1) * F.lit(share)
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
+
+    return ends.select(*keys, "min", "max", "n", *[value(*s) for s in shares.items()])
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], x: str, w: str, share: float) -> DataFrame:
-    """Smallest x whose cumulative weight reaches share of the total. Equal values are summed first, so the window
-    orders distinct values."""
-    sums = df.groupBy(*keys, x).agg(F.sum(w).alias("w"))
-    up = Window.partitionBy(*keys).orderBy(x)
-    every = Window.partitionBy(*keys)
-    placed = sums.withColumns({"c": F.sum("w").over(up), "t": F.sum("w").over(every)})
-    return placed.where(F.col("c") >= F.lit(share) * F.col("t")).groupBy(*keys).agg(F.min(x).alias("quantile"))
+    """Smallest x whose cumulative weight reaches share of the total. Equal values are summed first, and
+    running sums take no window over a key's values."""
+    placed = order.running(df.groupBy(*keys, x).agg(F.sum(w).alias("w")), keys, [F.col(x)], {"c": "w"})
+    return placed.where(F.col("c") >= F.lit(share) * F.col("c_total")).groupBy(*keys).agg(F.min(x).alias("quantile"))
 
 
 def midpoint_quantile(df: DataFrame, keys: list[str], x: str, w: str, share: float) -> DataFrame:
     """Quantile by linear interpolation between values placed at the middle of their weight."""
-    sums = df.groupBy(*keys, x).agg(F.sum(w).alias("w"))
-    up, every = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
-    at = (F.sum("w").over(up) - F.col("w") / 2) / F.sum("w").over(every)
-    placed = sums.withColumn("at", at).withColumns({"next_at": F.lead("at").over(up), "next_x": F.lead(x).over(up)})
-    inside = (F.col("at") <= share) & (F.col("next_at") > share)
-    value = F.col(x) + (F.col("next_x") - F.col(x)) * (F.lit(share) - F.col("at")) / (F.col("next_at") - F.col("at"))
-    edge = F.when(F.lit(share) < F.min("at"), F.min(x)).otherwise(F.max(x))
-    return placed.groupBy(*keys).agg(F.coalesce(F.max(F.when(inside, value)), edge).alias("quantile"))
+    placed = order.running(df.groupBy(*keys, x).agg(F.sum(w).alias("w")), keys, [F.col(x)], {"c": "w"})
+    point = F.struct(((F.col("c") - F.col("w") / 2) / F.col("c_total")).alias("at"), F.col(x).cast("double").alias("x"))
+    below, above = F.max(F.when(point["at"] <= share, point)), F.min(F.when(point["at"] > share, point))
+    ends = placed.groupBy(*keys).agg(below.alias("l"), above.alias("r"))
+    inside = F.col("l.x") + (F.col("r.x") - F.col("l.x")) * (F.lit(share) - F.col("l.at")) / (F.col("r.at") - F.col("l.at"))
+    return ends.select(*keys, F.coalesce(inside, F.col("l.x"), F.col("r.x")).alias("quantile"))
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+def first_wins(df: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
     """The first row of each key, with the number of rows that had it."""
     w = Window.partitionBy(*key)
-    return df.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "copies": F.count("*").over(w)}).where("__n = 1").drop("__n")
+    return df.withColumns({"__n": F.row_number().over(w.orderBy(*by)), "copies": F.count("*").over(w)}).where("__n = 1").drop("__n")
 
 
 def variable_check(df: DataFrame, columns: list[str], flat: float = 1e-12) -> DataFrame:
@@ -73,8 +88,7 @@ def variable_check(df: DataFrame, columns: list[str], flat: float = 1e-12) -> Da
 
 def central_interval(df: DataFrame, keys: list[str], x: str, centre: str, loss: float = 0.31731) -> DataFrame:
     """Shortest interval between sorted values that leaves out floor(n * loss) of them and holds the centre."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    placed = df.select(*keys, x, centre).withColumns({"k": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
+    placed = order.numbered(df.select(*keys, x, centre), [F.col(x)], "k", keys, total="n")
     out = F.floor(F.col("n") * loss)
     high = placed.select(*keys, F.col("k").alias("k2"), F.col(x).alias("high"))
     cut = placed.where(F.col("k") <= out).withColumn("k2", F.col("n") - (out - F.col("k")) - 1)
@@ -85,8 +99,7 @@ def central_interval(df: DataFrame, keys: list[str], x: str, centre: str, loss:
 
 def interquartile_range(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median of the upper half less median of the lower half, with the Freedman-Diaconis bin size."""
-    w = Window.partitionBy(*keys)
-    placed = df.select(*keys, F.col(x).cast("double").alias("x")).withColumns({"k": F.row_number().over(w.orderBy("x")), "n": F.count("*").over(w)})
+    placed = order.numbered(df.select(*keys, F.col(x).cast("double").alias("x")), [F.col("x")], "k", keys, total="n").withColumn("k", F.col("k") + 1)
     half = F.floor(F.col("n") / 2)
     middle = lambda first: F.col("k").between(first + F.floor((half + 1) / 2), first + F.floor(half / 2) + 1)
     of = placed.groupBy(*keys).agg(F.avg(F.when(middle(F.lit(0)), F.col("x"))).alias("q1"), F.avg(F.when(middle(F.col("n") - half), F.col("x"))).alias("q3"), F.max("n").alias("n"))
@@ -95,8 +108,12 @@ def interquartile_range(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def kde(sample: DataFrame, points: DataFrame, x: str, bandwidth: float) -> DataFrame:
-    """Gaussian density of a bounded sample at each point: the sample's distinct values are one array of a bounded size
-    that every point sums over, so no pair of rows is made."""
+    """Gaussian density of a sample at each point: the sample's distinct values are one array that every point sums over,
+    so no pair of rows is made. The array is broadcast; a sample of more than KDE_VALUES distinct values is an error, and
+    must be rounded first."""
+    distinct = sample.select(x).distinct().limit(KDE_VALUES + 1).count()
+    if distinct > KDE_VALUES:
+        raise ValueError(f"more than {KDE_VALUES} distinct values: round {x} first")
     values = sample.groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c")).agg(F.collect_list(F.struct("v", "c")).alias("vs"), F.sum("c").alias("total"))
     norm = 1 / (bandwidth * math.sqrt(2 * math.pi))
     kernel = lambda a, s: a + s["c"] * F.exp(-F.pow((F.col(x) - s["v"]) / bandwidth, F.lit(2.0)) / 2)

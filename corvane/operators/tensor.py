@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import order
+
 
 def cell_index(x: Column, size: float, cells: int) -> Column:
     """0-based cell of a grid centred on 0; an odd number of cells has one around 0. Null outside."""
@@ -20,9 +22,9 @@ def flat_cell(eta: Column, phi: Column, cells: int) -> Column:
     return eta * cells + phi
 
 
-def top_of_cell(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def top_of_cell(items: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
     """First item of each cell by the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*by)
     return items.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -36,16 +38,16 @@ def one_hot(value: Column, classes: list) -> Column:
     return F.array(*[F.coalesce((value == F.lit(c)).cast("int"), F.lit(0)) for c in classes])
 
 
-def numbered_batches(df: DataFrame, order: list[Column], size: int, keys: list[str] | None = None) -> DataFrame:
+def numbered_batches(df: DataFrame, by: list[Column], size: int, keys: list[str] | None = None) -> DataFrame:
     """Batch number of each row in order, within keys if given."""
-    w = Window.partitionBy(*(keys or [])).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return order.numbered(df, by, "__n", keys).withColumn("batch", F.floor(F.col("__n") / size).cast("long")).drop("__n")
 
 
-def spread_batches(df: DataFrame, buckets: int, key: Column, order: list[Column], size: int) -> DataFrame:
+def spread_batches(df: DataFrame, buckets: int, key: Column, by: list[Column], size: int) -> DataFrame:
     """Batches of at most size rows within hash buckets of a key: no window over all rows is needed."""
     bucket = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(buckets)).alias("bucket")
-    return numbered_batches(df.select("*", bucket), order, size, ["bucket"])
+    w = Window.partitionBy("bucket").orderBy(*by)
+    return df.select("*", bucket).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
 def has_padding(values: Column) -> Column:

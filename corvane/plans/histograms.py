@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import edge_bin, uniform
-from corvane.operators import hist, sample
+from corvane.operators import hist, order, sample
 from corvane.operators.hist import Axis
 from corvane.queries import query, table
 
@@ -79,12 +79,12 @@ def hist1d_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     "hist_rebin",
     f"""
     SELECT l_returnflag, {bin_sql("l_quantity", Axis(10.0, 40.0, 3))} AS iy, count(*) AS n, round(sum(l_tax), 6) AS sumw, round(sqrt(sum(l_tax * l_tax)), 6) AS error
-    FROM lineitem WHERE l_quantity < 50 GROUP BY ALL
+    FROM lineitem GROUP BY ALL
     """,
 )
 def hist_rebin(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = Axis(0.0, 50.0, 50)
-    h = hist.fill(items(spark, sf_dir).where("l_quantity < 50"), ["l_returnflag"], {"iy": (F.col("l_quantity"), fine)}, F.col("l_tax"))
+    h = hist.fill(items(spark, sf_dir), ["l_returnflag"], {"iy": (F.col("l_quantity"), fine)}, F.col("l_tax"))
     r = hist.rebin(h, "iy", fine, Axis(10.0, 40.0, 3))
     return r.select("l_returnflag", "iy", "n", F.round("sumw", 6).alias("sumw"), F.round(F.sqrt("sumw2"), 6).alias("error"))
 
@@ -161,10 +161,13 @@ def hist_add_copy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.added(side("A"), side("N"), ["ix", "iy"], 0.5).select("ix", "iy", "n", F.round("sumw", 6).alias("sumw"), F.round(F.sqrt("sumw2"), 6).alias("error"))
 
 
-@query("hist_missing_bins", f"WITH h AS ({COUNT_SQL}) SELECT ix, iy, 'a' AS side FROM h WHERE l_returnflag = 'A' AND iy > 4 EXCEPT ALL SELECT ix, iy, 'a' FROM h WHERE l_returnflag = 'R' AND iy < 8")
+PRICE = Axis(0.0, 110000.0, 5000)
+
+
+@query("hist_missing_bins", f"WITH h AS (SELECT DISTINCT l_returnflag AS f, {bin_sql('l_extendedprice', PRICE)} AS k FROM lineitem) SELECT k, any_value(CASE f WHEN 'A' THEN 'a' ELSE 'b' END) AS side FROM h WHERE f IN ('A', 'R') GROUP BY 1 HAVING count(*) = 1")
 def hist_missing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = counted(spark, sf_dir)
-    return hist.same_bins(h.where("l_returnflag = 'A' and iy > 4"), h.where("l_returnflag = 'R' and iy < 8"), ["ix", "iy"]).where("side = 'a'")
+    h = hist.fill(items(spark, sf_dir), ["l_returnflag"], {"k": (F.col("l_extendedprice"), PRICE)})
+    return hist.same_bins(h.where("l_returnflag = 'A'"), h.where("l_returnflag = 'R'"), ["k"])
 
 
 @query("hist_project_merge", f"SELECT iy, count(*) AS n FROM (SELECT {bin_sql('l_quantity', Y)} AS iy, {bin_sql('l_discount', X)} AS ix FROM lineitem) WHERE ix BETWEEN 2 AND 4 GROUP BY ALL")
@@ -234,8 +237,7 @@ def hist_lookup_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.orderBy("event_id")) - 1
-    r = e.withColumn("chunk", F.floor(n * 10 / F.count("*").over(Window.partitionBy())).cast("int"))
+    r = order.tiles(e.select("event_id", "value"), [F.col("event_id")], 10, "chunk")
     h = hist.fill(r, ["chunk"], {"k": (F.col("value"), Axis(0.0, 100.0, 10))})
     s = h.select("chunk", "k", F.col("sumw").alias("n"), F.sum("sumw").over(Window.partitionBy("chunk")).alias("t"))
     a = s.where("chunk = 0").select("k", F.col("n").alias("na"), F.col("t").alias("ta"))
@@ -285,7 +287,7 @@ def drop_by_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shuffle_deterministic", f"SELECT o_orderkey, row_number() OVER (ORDER BY {u_sql(5, 'o_orderkey')}, o_orderkey) AS place FROM orders")
 def shuffle_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", uniform(5, F.col("o_orderkey")).alias("u"))
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy("u", "o_orderkey")).cast("long").alias("place"))
+    return order.numbered(o, [F.col("u"), F.col("o_orderkey")]).select("o_orderkey", (F.col("n") + 1).alias("place"))
 
 
 @query("acceptance_full", f"WITH a AS ({ACCEPT_SQL}), r AS (SELECT l_returnflag, {bin_sql('l_discount', X)} AS ix, {bin_sql('l_quantity', Y)} AS iy, {u_sql(1, *KEY)} AS u, {u_sql(2, *KEY)} AS v FROM lineitem) SELECT l_returnflag, count(*) AS n FROM a JOIN r USING (l_returnflag, ix, iy) WHERE u < probability AND v < CASE l_returnflag WHEN 'A' THEN 0.3 ELSE 0.9 END GROUP BY ALL")

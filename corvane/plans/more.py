@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,19 +12,13 @@ from pyspark.sql import functions as F
 from corvane.functions import geometry, spin
 from corvane.plans import histograms
 from corvane.queries import query, table
-from corvane.sources import io
+from corvane.sources import io, shared
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corvane-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-@query("io_roundtrip", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice / 2), 2) AS half FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
+@query("io_roundtrip", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice / 2), 2) AS half FROM orders GROUP BY 1")
 def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = shared_folder(spark)
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    root = shared.place(spark, "roundtrip")
+    o = table(spark, sf_dir, "orders")
     io.snapshot(o, f"{root}/parquet", ["o_orderkey", "o_totalprice", "o_orderstatus"], by=["o_orderstatus"], rows_per_file=100_000)
     io.snapshot(io.scan(spark, [f"{root}/parquet"], ["o_orderstatus", "half"], aliases={"half": "o_totalprice / 2"}), f"{root}/json", kind="json", compression="gzip")
     back = spark.read.schema("o_orderstatus string, half double").json(f"{root}/json")
@@ -76,39 +68,62 @@ def chunk_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plug_in_bandwidth(x: np.ndarray, n: np.ndarray, tolerance: float = 0.01) -> float:
-    """Bandwidth of a Gaussian density by the solve-the-equation plug-in rule, for values x that occur n times."""
+    """Bandwidth h of a Gaussian density by the solve-the-equation plug-in rule of Sheather and Jones (1991), for values x
+    that occur n times: h^5 = 1 / (2 sqrt(pi) N psi4(gamma(h))), where psi_r estimates the density functional of order r
+    and the pilot widths come from a normal density of the sample's deviation."""
     total = n.sum()
-    sigma = math.sqrt((n * (x - (n * x).sum() / total) ** 2).sum() / (total - 1))
-    gap, pairs = x[:, None] - x[None, :], n[:, None] * n[None, :]
-    hermite = {4: lambda z: z**4 - 6 * z**2 + 3, 6: lambda z: z**6 - 15 * z**4 + 45 * z**2 - 15}
-
-    def functional(order: int, width: float) -> float:
-        z = gap / width
-        return float((pairs * hermite[order](z) * np.exp(-(z**2) / 2)).sum() / (total * (total - 1) * math.sqrt(2 * math.pi) * width ** (order + 1)))
-
-    phi6, phi8 = -15 / (16 * math.sqrt(math.pi)) * sigma**-7, 105 / (32 * math.sqrt(math.pi)) * sigma**-9
-    g1, g2 = (-6 / (math.sqrt(2 * math.pi) * phi6 * total)) ** (1 / 7), (30 / (math.sqrt(2 * math.pi) * phi8 * total)) ** (1 / 9)
-    ratio = (-6 * math.sqrt(2) * functional(4, g1) / functional(6, g2)) ** (1 / 7)
-    excess = lambda h: h - (2 * math.sqrt(math.pi) * functional(4, ratio * h ** (5 / 7)) * total) ** -0.2
-    low, high = sigma / 64, sigma * 4
-    if excess(low) > 0 or excess(high) < 0:
+    spread = math.sqrt(np.cov(x, fweights=n.astype(np.int64)))
+    steps, weights = (x[:, None] - x[None, :]).ravel(), (n[:, None] * n[None, :]).ravel()
+
+    def psi(order: int, width: float) -> float:
+        """Mean over all pairs of the derivative of that order of a normal density of a width."""
+        z = steps / width
+        polynomial = np.polynomial.hermite_e.hermeval(z, [0] * order + [1])
+        return float(weights @ (polynomial * np.exp(-z * z / 2))) / (math.sqrt(2 * math.pi) * width ** (order + 1) * total * (total - 1))
+
+    def pilot(order: int) -> float:
+        """Best width for psi of an order, if the density were normal."""
+        at_zero = (-1) ** (order // 2) * math.prod(range(1, order, 2)) / math.sqrt(2 * math.pi)
+        k = order + 2
+        normal = (-1) ** (k // 2) * math.factorial(k) / (math.factorial(k // 2) * math.sqrt(math.pi) * (2 * spread) ** (k + 1))
+        return (-2 * at_zero / (normal * total)) ** (1 / (order + 3))
+
+    curvature, next_one = psi(4, pilot(4)), psi(6, pilot(6))
+    of_pilot = (-6 * math.sqrt(2) * curvature / next_one) ** (1 / 7)
+    implied = lambda h: (2 * math.sqrt(math.pi) * psi(4, of_pilot * h ** (5 / 7)) * total) ** -0.2
+    low = high = 1.06 * spread * total**-0.2
+    for _ in range(40):
+        if implied(low) >= low:
+            break
+        low /= 1.3
+    for _ in range(40):
+        if implied(high) <= high:
+            break
+        high *= 1.3
+    if implied(low) < low or implied(high) > high:
         raise ValueError("no bandwidth solves the equation")
-    while 2 * (high - low) / (high + low) >= tolerance:
-        middle = (low + high) / 2
-        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    return (low + high) / 2
+    while high - low > tolerance * low:
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if implied(middle) > middle else (low, middle)
+    return math.sqrt(low * high)
+
+
+#: Equal bins that a group's values are rounded to, so that its pairs are bounded.
+BANDWIDTH_BINS = 512
 
 
 @query("kde_bandwidth")
 def kde_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of prices by status, rounded to 2000 values at most, so a group's size does not grow with the rows."""
+    """Of prices by status, counted in BANDWIDTH_BINS bins of each group's range."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"o_orderstatus": g["o_orderstatus"].iloc[:1], "bandwidth": [plug_in_bandwidth(g["x"].to_numpy(float), g["n"].to_numpy(float))]})
 
-    o = table(spark, sf_dir, "orders")
-    values = o.groupBy("o_orderstatus", (F.floor(F.col("o_totalprice") / 1000).cast("double") * 1000).alias("x")).agg(F.count("*").alias("n"))
-    return values.groupBy("o_orderstatus").applyInPandas(run, "o_orderstatus string, bandwidth double")
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_totalprice").alias("v"))
+    ends = o.groupBy("o_orderstatus").agg(F.min("v").alias("low"), ((F.max("v") - F.min("v")) / BANDWIDTH_BINS).alias("step"))
+    k = F.least(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(BANDWIDTH_BINS - 1))
+    binned = o.join(ends, "o_orderstatus").groupBy("o_orderstatus", (F.col("low") + (k + 0.5) * F.col("step")).alias("x"))
+    return binned.agg(F.count("*").alias("n")).groupBy("o_orderstatus").applyInPandas(run, "o_orderstatus string, bandwidth double")
 
 
 @query("boost_acoplanarity")

@@ -19,13 +19,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Embedding components as (eta, phi): the first two, four times as large.
-POINT_SQL = "SELECT vec_id, label, vec_id % 10 AS event, 4 * embedding[1]::DOUBLE AS eta, 4 * embedding[2]::DOUBLE AS phi, 10 + 5 * abs(embedding[3]::DOUBLE) AS pt, embedding[4]::DOUBLE AS x4 FROM embeddings"
+POINT_SQL = "SELECT vec_id, label, vec_id // 50 AS event, 4 * embedding[1]::DOUBLE AS eta, 4 * embedding[2]::DOUBLE AS phi, 10 + 5 * abs(embedding[3]::DOUBLE) AS pt, embedding[4]::DOUBLE AS x4 FROM embeddings"
 DPHI_SQL = "CASE WHEN {d} > pi() THEN {d} - 2 * pi() WHEN {d} <= -pi() THEN {d} + 2 * pi() ELSE {d} END"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 10).alias("event"), (4 * e(0)).alias("eta"), (4 * e(1)).alias("phi"), (10 + 5 * F.abs(e(2))).alias("pt"), e(3).alias("x4"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr("vec_id div 50").alias("event"), (4 * e(0)).alias("eta"), (4 * e(1)).alias("phi"), (10 + 5 * F.abs(e(2))).alias("pt"), e(3).alias("x4"))
 
 
 def r6(c, name: str):
@@ -112,17 +112,26 @@ def match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cone_semi", f"WITH p AS ({POINT_SQL}) SELECT event, count(*) AS kept FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.event = a.event AND b.label = 1 AND sqrt((a.eta - b.eta) ^ 2 + ({DPHI_SQL.format(d='(a.phi - b.phi)')}) ^ 2) < 0.5) GROUP BY 1")
 def cone_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    spot = F.struct("eta", "phi")
-    g = p.groupBy("event").agg(F.collect_list(spot).alias("items"), F.collect_list(F.when(F.col("label") == 1, spot)).alias("axes"))
-    return g.select("event", F.size(match.cone_filter(F.col("items"), F.col("axes"), 0.5)).cast("long").alias("kept")).where("kept > 0")
+    p = points(spark, sf_dir).select("event", "vec_id", "label", "eta", "phi")
+    return match.near_any(p, p.where("label = 1"), ["event"], ["vec_id"], 0.5).groupBy("event").agg(F.count("*").alias("kept"))
 
 
-@query("closure", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(root, node) AS (SELECT DISTINCT a, a FROM e WHERE a % 10 = 0 UNION SELECT r.root, u.b FROM r JOIN u ON r.node = u.a) SELECT root, count(*) AS reached FROM r GROUP BY 1")
+@query(
+    "closure",
+    """
+    WITH RECURSIVE u AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem UNION SELECT -1 - l_suppkey, l_partkey FROM lineitem),
+    c(node, label) USING KEY (node) AS (
+      SELECT a, min(least(a, b)) FROM u GROUP BY 1
+      UNION SELECT u.a, min(c.label) FROM u JOIN c ON u.b = c.node JOIN recurring.c AS own ON own.node = u.a WHERE c.label < own.label GROUP BY u.a),
+    s AS (SELECT label, count(*) AS reached FROM c GROUP BY 1)
+    SELECT node AS root, reached FROM c JOIN s USING (label) WHERE node >= 0
+    """,
+)
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = items(spark, sf_dir).where("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
-    start = links.where("a % 10 = 0").select(F.col("a").alias("root"), F.col("a").alias("node")).distinct()
-    return match.closure(start, links).groupBy("root").agg(F.count("*").alias("reached"))
+    """Nodes that each part reaches over lines to suppliers and back."""
+    links = items(spark, sf_dir).select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
+    labels = graph.components(links)
+    return labels.where("node >= 0").join(labels.groupBy("label").agg(F.count("*").alias("reached")), "label").select(F.col("node").alias("root"), "reached")
 
 
 @query("cluster_merge")
@@ -131,12 +140,10 @@ def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.merge_first_wins(rows, "event").groupBy("event").agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("bits"))
 
 
-@query("pairwise_self_join", f"WITH p AS ({POINT_SQL}) SELECT a.event, count(*) AS pairs, round(avg((a.pt + b.pt) / 2), 6) AS mean_pt FROM p a JOIN p b ON a.event = b.event AND a.vec_id < 200 AND b.vec_id < 200 GROUP BY 1")
+@query("pairwise_self_join", f"WITH p AS ({POINT_SQL}) SELECT a.event, count(*) AS pairs, round(avg((a.pt + b.pt) / 2), 6) AS mean_pt FROM p a JOIN p b ON a.event = b.event GROUP BY 1")
 def pairwise_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = points(spark, sf_dir).where("vec_id < 200").groupBy("event").agg(F.collect_list("pt").alias("p"))
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.aggregate("p", F.lit(0.0), lambda b, y: b + (x + y) / 2))
-    n = F.size("p").cast("long") * F.size("p")
-    return g.select("event", n.alias("pairs"), r6(total / n, "mean_pt"))
+    """The mean over all pairs of two rows is the mean over the rows, so no pair is made."""
+    return points(spark, sf_dir).groupBy("event").agg((F.count("*") * F.count("*")).alias("pairs"), r6(F.avg("pt"), "mean_pt"))
 
 
 @query("nested_transform", f"WITH g AS ({NESTED_SQL}) SELECT l_orderkey, len(c) AS n, round(list_sum(list_transform(c, lambda x: greatest(x.q - 25, -1))), 6) AS clipped, len(list_filter(c, lambda x: x.d > 0.05)) AS kept, c[1].p AS first FROM g")
@@ -211,11 +218,11 @@ def length_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor.numbered_batches(b, [F.col("doc_id")], 32, ["bucket"]).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
 
 
-@query("feature_concat", "SELECT vec_id, list_concat(embedding[:2], embedding[63:]) AS features, 1.0::DOUBLE AS weight FROM embeddings UNION ALL SELECT -vec_id, list_concat(embedding[3:4], embedding[:2]), 0.0 FROM embeddings WHERE vec_id < 20")
+@query("feature_concat", "SELECT vec_id, list_concat(embedding[:2], embedding[63:]) AS features, 1.0::DOUBLE AS weight FROM embeddings UNION ALL SELECT -vec_id, list_concat(embedding[3:4], embedding[:2]), 0.0 FROM embeddings")
 def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     a = e.select("vec_id", F.concat(F.slice("embedding", 1, 2), F.slice("embedding", 63, 2)).alias("features"), F.lit(1.0).alias("weight"))
-    return a.unionByName(e.where("vec_id < 20").select((-F.col("vec_id")).alias("vec_id"), F.concat(F.slice("embedding", 3, 2), F.slice("embedding", 1, 2)).alias("features"), F.lit(0.0).alias("weight")))
+    return a.unionByName(e.select((-F.col("vec_id")).alias("vec_id"), F.concat(F.slice("embedding", 3, 2), F.slice("embedding", 1, 2)).alias("features"), F.lit(0.0).alias("weight")))
 
 
 @query("nan_guard", "SELECT count(*) AS rows, sum(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))))::BIGINT AS bad FROM embeddings")
@@ -324,13 +331,13 @@ def score_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.abs(F.col("n_chars") - F.length("text")).alias("delta")).orderBy(F.desc("delta"), "doc_id").limit(30)
 
 
-P_SQL = "1 / (1 + exp(-(n_chars - 1500) / 1000.0))"
+P_SQL = "least(greatest(1 / (1 + exp(-(n_chars - 1500) / 1000.0)), 1e-7), 1 - 1e-7)"
 
 
-@query("loss_rows", f"SELECT round(avg(-(quality * ln({P_SQL}) + (1 - quality) * ln(1 - {P_SQL}))), 6) AS log_loss, round(avg(((quality = 1) = ({P_SQL} > 0.5))::INT), 6) AS accuracy FROM labels JOIN documents USING (doc_id) WHERE n_chars < 10000")
+@query("loss_rows", f"SELECT round(avg(-(quality * ln({P_SQL}) + (1 - quality) * ln(1 - {P_SQL}))), 6) AS log_loss, round(avg(((quality = 1) = ({P_SQL} > 0.5))::INT), 6) AS accuracy FROM labels JOIN documents USING (doc_id)")
 def loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = 1 / (1 + F.exp(-(F.col("score") - 1500) / 1000.0))
-    s = scored(spark, sf_dir).where("score < 10000")
+    s = scored(spark, sf_dir)
     return s.agg(F.round(F.avg(numeric.log_loss(F.col("quality"), p)), 6).alias("log_loss"), F.round(F.avg((F.col("truth") == (p > 0.5)).cast("int")), 6).alias("accuracy"))
 
 
@@ -343,16 +350,17 @@ def crystal_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 100).select(F.col("id").cast("double").alias("m")).withColumn("value", turn_on("m"))
 
 
-def crystal_ball_integral(m: float, m0: float, sigma: float, alpha: float, n: float, norm: float) -> float:
-    """Share of a crystal-ball peak below m, for m from 1 to 1000: Gaussian up to the join, a power law beyond."""
-    if not 1 <= m <= 1000:
-        raise ValueError("m is out of range")
-    width = abs(sigma)
-    t = (m - m0) / width * (1 if alpha >= 0 else -1)
-    join = abs(alpha / width)
-    scale = (n / join) ** n * math.exp(-0.5 * join * join)
-    shift = join - n / join
-    below = lambda x: (1 + math.erf(x / math.sqrt(2))) * math.sqrt(math.pi / 2)
-    tail = lambda x: scale / ((n - 1) * (x - shift) ** (n - 1))
-    whole = below(join) + tail(join)
-    return norm * (below(t) if t <= join else whole - tail(t)) / whole
+def crystal_ball_integral(m: float, centre: float, width: float, alpha: float, power: float, norm: float) -> float:
+    """Share, times norm, of a crystal-ball peak up to m, which must be from 1 to 1000. In units of its width the density
+    is exp(-z^2 / 2) up to the edge |alpha / width| and falls as a power from there, with value and slope continued; a
+    negative alpha mirrors it."""
+    if m < 1 or m > 1000:
+        raise ValueError(f"{m} is out of the range 1 to 1000")
+    z = math.copysign(1.0, alpha) * (m - centre) / abs(width)
+    edge = abs(alpha / width)
+    at_edge = math.exp(-edge * edge / 2)
+    core = math.sqrt(math.pi / 2) * math.erfc(-min(z, edge) / math.sqrt(2))
+    whole_tail = at_edge * power / (edge * (power - 1))
+    beyond = 1 - (1 + edge * max(z - edge, 0.0) / power) ** (1 - power)
+    whole = math.sqrt(math.pi / 2) * math.erfc(-edge / math.sqrt(2)) + whole_tail
+    return norm * (core + whole_tail * beyond) / whole

@@ -68,9 +68,9 @@ def one_hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", is_("click").alias("label_click"), is_("purchase").alias("label_purchase"), one_hot(F.col("event_type"), ["view", "click"]).alias("labels"))
 
 
-@query("column_regex_select", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_linenumber = 1")
+@query("column_regex_select", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem")
 def column_regex_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = items(spark, sf_dir).where("l_linenumber = 1")
+    df = items(spark, sf_dir)
     return df.select(io.chosen_columns(df.columns, ["^l_order", "^l_(quant|ret)", "l_tax"], ["l_tax"]))
 
 
@@ -109,10 +109,11 @@ def json_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("event_type", F.explode("m").alias("name", "v")).where("name = 'k'").groupBy("event_type").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
-@query("map_set_functions", "SELECT event_type, list_sort(list_distinct(list((props->>'$.k')::BIGINT))) AS ks FROM events WHERE user_id % 50 = 0 GROUP BY 1")
+@query("map_set_functions", "SELECT event_type, list_sort(list_distinct(list((props->>'$.k')::BIGINT))) AS ks FROM events GROUP BY 1")
 def map_set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.map_values(F.from_json("props", "map<string,bigint>"))
-    return events(spark, sf_dir).where("user_id % 50 = 0").groupBy("event_type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(values)))).alias("ks"))
+    each = events(spark, sf_dir).select("event_type", F.explode(values).alias("k")).distinct()
+    return each.groupBy("event_type").agg(F.array_sort(F.collect_list("k")).alias("ks"))
 
 
 @query("join_equi", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -163,12 +164,20 @@ def match_outer_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.completed(m, customers(spark, sf_dir).select(F.col("c_custkey").alias("id")), ["id"])
 
 
-@query("positional_concat", "SELECT d.doc_id, n_chars, coalesce(toxic, 0) AS toxic FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents) d LEFT JOIN labels USING (doc_id)")
+@query(
+    "positional_concat",
+    """
+    WITH a AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS r FROM documents), b AS (SELECT doc_id AS longest, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)
+    SELECT r - 1 AS "row", doc_id, n_chars, longest, coalesce(toxic, 0) AS toxic FROM a JOIN b USING (r) LEFT JOIN labels USING (doc_id)
+    """,
+)
 def positional_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """Two tables of documents side by side by place, each in its own order, and labels scattered back to their rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    ranked = d.select(F.col("doc_id").alias("longest"), F.col("n_chars").alias("of"))
+    both = match.by_position([(d, [F.col("doc_id")]), (ranked, [F.desc("of"), F.col("longest")])])
     l = table(spark, sf_dir, "labels").select("doc_id", "toxic")  # noqa: E741
-    both = match.by_position([d.select("doc_id", "n_chars"), d.select("doc_id")], "doc_id")
-    return both.join(l, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    return both.join(l, "doc_id", "left").select("row", "doc_id", "n_chars", "longest", F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
 @query("setops_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
@@ -218,10 +227,19 @@ def link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey").join(s, "l_suppkey", "left_semi").join(p, "l_partkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
 
 
-@query("filemap_curve_lookup", "SELECT source, count(*) AS n, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1 HAVING count(*) > 1")
+@query(
+    "filemap_curve_lookup",
+    """
+    WITH curves AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS points, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL)
+    SELECT c_mktsegment AS segment, points, mean FROM (SELECT DISTINCT c_mktsegment FROM customer) JOIN (VALUES ('AUTOMOBILE', 'F', '1-URGENT'), ('BUILDING', 'O', '5-LOW'), ('MACHINERY', 'P', '3-MEDIUM')) AS m(c_mktsegment, status, priority) USING (c_mktsegment) JOIN curves USING (status, priority)
+    """,
+)
 def filemap_curve_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit"))  # noqa: E741
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("labelled")).where("n > 1")
+    """A map names the curve of each segment; each wanted key must have exactly one curve."""
+    curves = orders(spark, sf_dir).groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("points"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    names = spark.createDataFrame([("AUTOMOBILE", "F", "1-URGENT"), ("BUILDING", "O", "5-LOW"), ("MACHINERY", "P", "3-MEDIUM")], "segment string, status string, priority string")
+    segments = customers(spark, sf_dir).select(F.col("c_mktsegment").alias("segment")).distinct()
+    return io.exactly_one(segments.join(names, "segment"), curves, ["status", "priority"]).select("segment", "points", "mean")
 
 
 @query("merge_sort_collections", "SELECT kind, id, bal, row_number() OVER (ORDER BY bal DESC, kind, id)::INT AS place FROM (SELECT 's' AS kind, s_suppkey AS id, s_acctbal AS bal FROM supplier UNION ALL SELECT 'c', c_custkey, c_acctbal FROM customer) QUALIFY place <= 100")
@@ -232,9 +250,9 @@ def merge_sort_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("bal"), "kind", "id")))
 
 
-@query("integer_split_unscale", "SELECT l_linenumber, l_linenumber // 5 AS prongs, l_linenumber % 5 AS neutrals, round(l_discount * 980 + 20, 6) AS pt, greatest(l_quantity, l_tax * 1000) AS most FROM lineitem WHERE l_partkey < 50")
+@query("integer_split_unscale", "SELECT l_linenumber, l_linenumber // 5 AS prongs, l_linenumber % 5 AS neutrals, round(l_discount * 980 + 20, 6) AS pt, greatest(l_quantity, l_tax * 1000) AS most FROM lineitem")
 def integer_split_unscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where("l_partkey < 50").select("l_linenumber", F.expr("cast(l_linenumber div 5 as int)").alias("prongs"), (F.col("l_linenumber") % 5).alias("neutrals"), F.round(F.col("l_discount") * 980 + 20, 6).alias("pt"), F.greatest("l_quantity", F.col("l_tax") * 1000).alias("most"))
+    return items(spark, sf_dir).select("l_linenumber", F.expr("cast(l_linenumber div 5 as int)").alias("prongs"), (F.col("l_linenumber") % 5).alias("neutrals"), F.round(F.col("l_discount") * 980 + 20, 6).alias("pt"), F.greatest("l_quantity", F.col("l_tax") * 1000).alias("most"))
 
 
 @query("hash_ids", "SELECT c_custkey, substr(md5(c_name), 1, 16) AS id FROM customer")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import significant_digits
-from corvane.operators import stats
+from corvane.operators import order, stats
 from corvane.queries import query, table
 
 
@@ -26,9 +26,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]
+    by = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]
     rows = items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return stats.first_wins(rows, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copies")
+    return stats.first_wins(rows, ["l_orderkey", "l_linenumber"], by).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copies")
 
 
 CHECKED = ["l_quantity", "l_discount", "l_tax"]
@@ -187,7 +187,7 @@ def corr_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def central_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_type", "value")
-    c = e.groupBy("event_type").agg(F.expr("percentile(value, 0.5D)").alias("centre"))
+    c = stats.quantiles(e, ["event_type"], "value", {"centre": 0.5}).select("event_type", "centre")
     return stats.central_interval(e.join(F.broadcast(c), "event_type"), ["event_type"], "value", "centre")
 
 
@@ -247,9 +247,9 @@ def prev_row_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = events(spark, sf_dir).withColumn("k", F.row_number().over(order))
-    w = order.rowsBetween(-4, 0)
+    up = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, sf_dir).withColumn("k", F.row_number().over(up))
+    w = up.rowsBetween(-4, 0)
     two = F.count("*").over(w) >= 2
     return e.select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.when(two, F.round(F.stddev_samp("value").over(w), 6)).alias("std"), F.when(two, F.round(F.regr_slope("value", "k").over(w), 6)).alias("slope"))
 
@@ -270,8 +270,7 @@ def running_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_tiles", "SELECT event_id, floor((row_number() OVER (ORDER BY ts, event_id) - 1) * 7 / count(*) OVER ())::INT AS chunk FROM events")
 def chunk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.orderBy("ts", "event_id")) - 1
-    return events(spark, sf_dir).select("event_id", F.floor(n * 7 / F.count("*").over(Window.partitionBy())).cast("int").alias("chunk"))
+    return order.tiles(events(spark, sf_dir).select("ts", "event_id"), [F.col("ts"), F.col("event_id")], 7, "chunk").select("event_id", "chunk")
 
 
 @query("row_in_event", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INT AS entry, count(*) OVER (PARTITION BY l_orderkey) AS entries FROM lineitem")
@@ -289,8 +288,9 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multi_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_custkey DESC, o_orderkey)::INT AS place FROM orders")
 def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy("o_orderdate", F.desc("o_custkey"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("place"))
+    by = [F.col("o_orderdate"), F.desc("o_custkey"), F.col("o_orderkey")]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    return order.numbered(o, by).select("o_orderkey", (F.col("n") + 1).cast("int").alias("place"))
 
 
 @query("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 10")

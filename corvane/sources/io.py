@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.order import numbered, tiles
+
 
 def chosen_columns(columns: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
     """Columns that an include pattern names (all if there is none) and no exclude pattern does. A pattern that begins
@@ -49,15 +51,13 @@ def matching(paths: DataFrame, directory: str, file: str, column: str = "path")
 
 def entry_range(df: DataFrame, order: list[str], start: int, end: int = -1) -> DataFrame:
     """Rows start to end (not included; -1: all) in a stable order."""
-    out = df.orderBy(*order).offset(start)
-    return out.limit(end - start) if end >= 0 else out
+    placed = numbered(df, [F.col(c) for c in order], "__n")
+    return placed.where((F.col("__n") >= start) & (F.col("__n") < end if end >= 0 else F.lit(True))).drop("__n")
 
 
 def job_split(df: DataFrame, order: list[str], jobs: int) -> DataFrame:
     """Job number of each row: equal runs of rows in order, with none left over."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    total = F.count("*").over(Window.partitionBy())
-    return df.withColumn("job", F.floor(n * jobs / total).cast("int"))
+    return tiles(df, [F.col(c) for c in order], jobs, "job")
 
 
 def properties(text: str) -> dict[str, dict[str, str]]:
@@ -88,6 +88,15 @@ def snapshot(df: DataFrame, path: str, columns: list[str] | None = None, by: lis
     (out.partitionBy(*by) if by else out).save(path)
 
 
+def exactly_one(wanted: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """wanted with the one row of table that has its key; none, or several, is an error when the rows are read."""
+    counts = table.groupBy(*key).agg(F.count("*").alias("__c"))
+    checked = wanted.join(counts, key, "left").withColumn("__c", F.coalesce("__c", F.lit(0)))
+    wrong = F.concat(F.lit("rows of "), F.concat_ws(", ", *key), F.lit(": "), F.col("__c").cast("string"))
+    good = F.when(F.col("__c") == 1, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))
+    return checked.where(good).drop("__c").join(table, key)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old without the keys that new has, and new."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
