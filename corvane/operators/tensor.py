@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.geometry import delta_phi, signal_cone
 from corvane.operators import order
 
 
@@ -28,6 +29,31 @@ def top_of_cell(items: DataFrame, keys: list[str], by: list[Column]) -> DataFram
     return items.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Cells on a side, and the size of one, of the grid inside the signal cone and of that around it, and the
+#: radius up to which objects enter.
+INNER, OUTER, ISOLATION_CONE = (11, 0.02), (21, 0.05), 0.5
+
+
+def grids(objects: DataFrame, candidate: list[str], by: list[Column], kind: str = "type", remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
+    """First object of each kind and cell, by the order, with the number n of objects there: objects inside the signal
+    cone in the inner grid (column inner), those inside the isolation cone in the outer one, which may leave out the
+    signal cone. objects: candidate keys, kind, pt, eta, phi, and the candidate's tau_pt, tau_eta and tau_phi."""
+    deta, dphi = F.col("eta") - F.col("tau_eta"), delta_phi(F.col("phi"), F.col("tau_phi"))
+    placed = objects.withColumns({"__x": deta, "__y": dphi, "__r": F.hypot(deta, dphi)})
+    signal = F.col("__r") < signal_cone(F.col("tau_pt"))
+    around = (F.col("__r") < ISOLATION_CONE) & (~signal if remove_inner else F.lit(True))
+
+    def cells(inside: Column, flag: bool, grid: tuple[int, float]) -> Column:
+        n, size = grid
+        at = flat_cell(cell_index(F.col("__x"), size, n), cell_index(F.col("__y"), size, n), n)
+        return F.when(inside & at.isNotNull(), F.struct(F.lit(flag).alias("inner"), at.cast("int").alias("cell")))
+
+    entries = F.explode(F.filter(F.array(cells(signal, True, inner), cells(around, False, outer)), lambda e: e.isNotNull()))
+    rows = placed.withColumn("__e", entries).select(*objects.columns, "__e.inner", "__e.cell")
+    w = Window.partitionBy(*candidate, kind, "inner", "cell")
+    return rows.withColumns({"n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(*by))}).where("__k = 1").drop("__k")
+
+
 def padded(values: Column, length: int, fill: float = 0.0) -> Column:
     """The first `length` values, filled up."""
     cut = F.slice(values, 1, length)

@@ -236,11 +236,6 @@ def label_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type in ('click', 'view') and value > 1").select("event_id", F.array((F.col("event_type") == "click").cast("double"), F.col("value"), F.col("value") * F.col("value")).alias("y"))
 
 
-@query("flat_features", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / 50, 6) AS pt, round(CASE WHEN l_discount > 0 THEN l_tax / l_discount ELSE -1 END, 6) AS dxy_sig, l_linenumber % 5 AS dm, (l_returnflag = 'N')::INT AS charge FROM lineitem")
-def flat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(F.col("l_quantity") / 50, "pt"), r6(F.when(F.col("l_discount") > 0, F.col("l_tax") / F.col("l_discount")).otherwise(-1.0), "dxy_sig"), (F.col("l_linenumber") % 5).alias("dm"), (F.col("l_returnflag") == "N").cast("int").alias("charge"))
-
-
 @query("decay_graph", "WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS node, CASE WHEN l_orderkey > 3 THEN l_orderkey // 3 END AS parent FROM lineitem), t(node, last) AS (SELECT node, node FROM n WHERE parent IS NULL UNION ALL SELECT n.node, t.last FROM n JOIN t ON n.parent = t.node) SELECT last, count(*) AS n FROM t GROUP BY 1")
 def decay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = items(spark, sf_dir).select(F.col("l_orderkey").alias("node")).distinct().withColumn("parent", F.when(F.col("node") > 3, F.expr("node div 3")))
