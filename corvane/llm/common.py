@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import place
+
 #: ASCII white space, as a character class of Java, DuckDB and Python regular expressions.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else f"file://{base}"
-
-
 class Scratch:
     """Tables written to the shared folder, which survive lost executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, place(spark, name)
         self.tags: set[str] = set()
 
     def path(self, tag: str) -> str:
