@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from typing import NamedTuple
 
@@ -110,6 +111,13 @@ class Interval(NamedTuple):
         high = max((self.high, self.high_closed), (other.high, other.high_closed))
         return Interval(low[0], high[0], not low[1], high[1])
 
+    @classmethod
+    def around(cls, value: float, down: float, up: float) -> Interval:
+        """Absolute range of one that is relative to a value: from value + down to value + up."""
+        if down > 0 or up < 0:
+            raise ValueError(f"a relative range holds 0: {down} {up}")
+        return cls(value + down, value + up, True, True)
+
     def scaled(self, by: float) -> Interval:
         """Absolute range of one that is relative to `by`."""
         return Interval(self.low * by, self.high * by, self.low_closed, self.high_closed)
@@ -134,3 +142,47 @@ def log_loss(y: Column, p: Column, epsilon: float = 1e-7) -> Column:
 def focal_loss(y: Column, p: Column, gamma: float = 2.0, epsilon: float = 1e-7) -> Column:
     q = F.least(F.greatest(p, F.lit(epsilon)), F.lit(1 - epsilon))
     return -(y * F.pow(1 - q, F.lit(gamma)) * F.log(q) + (1 - y) * F.pow(q, F.lit(gamma)) * F.log(1 - q))
+
+
+def on_circle(x: Column, low: float, high: float, period: float = 6.283185307179586) -> Column:
+    """Whether an angle lies in the closed arc from low up to high, however either is turned."""
+    width = (high - low) % period if high - low < period else period
+    return F.pmod(x - low, F.lit(period)) <= width
+
+
+def formula(text: str, **values: Column) -> Column:
+    """Column of an arithmetic formula over named columns, such as 'x * (1 + y / 2)', with functions of one or two numbers
+    (sqrt, exp, log, pow, ...). A division by 0 is null. Other syntax is an error."""
+    kinds = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Pow: F.pow}
+    known = {n: getattr(F, n) for n in ("sqrt", "exp", "log", "log10", "pow", "abs", "sin", "cos", "tan", "tanh", "least", "greatest")}
+
+    def build(n: ast.AST) -> Column:
+        match n:
+            case ast.BinOp() if type(n.op) in kinds:
+                return kinds[type(n.op)](build(n.left), build(n.right))
+            case ast.UnaryOp(op=ast.USub()):
+                return -build(n.operand)
+            case ast.Call(func=ast.Name(id=name)) if name in known:
+                return known[name](*map(build, n.args))
+            case ast.Name(id=name) if name in values:
+                return values[name].cast("double")
+            case ast.Constant(value=int() | float() as number):
+                return F.lit(float(number))
+        raise ValueError(f"not a formula: {text!r}")
+
+    return build(ast.parse(text.strip(), mode="eval").body)
+
+
+def precision(x: Column, bits: int) -> Column:
+    """x rounded to so many bits of its mantissa; 0 and null stay."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - bits)
+    return F.when(x == 0, x).otherwise(F.floor(x / step + 0.5) * step)
+
+
+def working_point_loss(target: Column, other: Column, score: Column, other_score: Column, points: list[float], gamma: float = 2.0, epsilon: float = 1e-7) -> Column:
+    """Focal loss of a ratio score, weighted up by how many working points a true row misses and another row passes,
+    each counted by a smooth step. target and other are 0 or 1."""
+    d = F.least(F.greatest(score / (score + other_score + epsilon), F.lit(epsilon)), F.lit(1 - epsilon))
+    missed = sum(((1 - F.tanh(40 * (d - p))) / 2 for p in points), F.lit(0.0)) / len(points)
+    passed = sum(((1 + F.tanh(40 * (d - p))) / 2 for p in points), F.lit(0.0)) / len(points)
+    return -(1 + passed) * other * F.pow(d, F.lit(gamma)) * F.log(1 - d) - (1 + missed) * target * F.pow(1 - d, F.lit(gamma)) * F.log(d)

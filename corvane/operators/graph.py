@@ -67,3 +67,55 @@ def final_state(nodes: DataFrame, key: list[str]) -> DataFrame:
     """Nodes (key, node, parent) that no other has as a parent."""
     parents = nodes.where("parent is not null").select(*key, F.col("parent").alias("node")).distinct()
     return nodes.join(parents, [*key, "node"], "left_anti")
+
+
+#: Particle codes, absolute.
+CHARGED_LEPTONS, NEUTRAL_LEPTONS, PHOTON, ELECTRON, MUON, TAU = [11, 13, 15], [12, 14, 16], 22, 11, 13, 15
+CHARGED_HADRONS = [211, 213, 321, 323, 411, 431, 521, 10211, 10213, 20213]
+NEUTRAL_HADRONS = [111, 113, 130, 223, 221, 310, 311, 313, 331, 333, 421, 10111, 10113]
+
+
+def lepton_decays(particles: DataFrame, event: list[str]) -> DataFrame:
+    """One row for each prompt first copy of a charged lepton: (event, lepton, last_copy, kind, n_neutrinos, n_electrons,
+    n_muons, n_charged, n_neutral, visible px, py, pz and e of what its last copy decays to, and radiated px, py, pz, e
+    of what its earlier copies radiate).
+
+    particles: event, idx, mother (null for none), pdg, prompt, first, last, px, py, pz, e. Each particle counts once.
+    Hadrons that decay to others than leptons and photons are intermediate and not counted. kind is 1 and 2 for an
+    electron and a muon, and 3, 4 and 5 for a tau by what it decays to, 6 if to nothing known. A final particle that is
+    no last copy is an error. The tree is walked level by level, so the number of joins is its depth."""
+    edge = [*event, "node"]
+    rows = shared.written(particles.withColumn("pdg", F.abs("pdg")), "particles")
+    children = rows.where("mother is not null").select(*event, F.col("mother").alias("node"), F.col("idx").alias("child"), F.col("pdg").alias("child_pdg"), F.col("last").alias("child_last"))
+    soft = F.col("child_pdg").isin([*CHARGED_LEPTONS, *NEUTRAL_LEPTONS, PHOTON])
+    nodes = rows.withColumnRenamed("idx", "node").join(children.groupBy(*edge).agg(F.count_if(~soft).alias("hard"), F.count("*").alias("daughters")), edge, "left").fillna(0, ["hard", "daughters"])
+    start = rows.where(F.col("prompt") & F.col("first") & F.col("pdg").isin(CHARGED_LEPTONS))
+    level = start.select(*event, F.col("idx").alias("lepton"), F.col("idx").alias("node"), F.col("pdg").alias("lepton_pdg"), F.col("last").alias("decayed"))
+    level = seen = shared.written(level, "level")
+    while True:
+        down = level.join(children, edge)
+        copy = ~F.col("decayed") & (F.col("child_pdg") == F.col("lepton_pdg")) & F.col("child_last")
+        level = shared.written(down.select(*event, "lepton", F.col("child").alias("node"), "lepton_pdg", (F.col("decayed") | copy).alias("decayed")), "level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    found = seen.join(nodes, edge)
+    final, after = F.col("daughters") == 0, F.col("decayed")
+    bad = F.when(final & ~F.col("last"), F.raise_error(F.lit("a final particle is no last copy")).cast("boolean"))
+    one = lambda test: F.count_if(test & F.col("last"))
+    hadron = lambda codes: one(after & F.col("pdg").isin(codes) & (F.col("hard") == 0))
+    momentum = lambda name, test: [F.sum(F.when(final & test, F.col(c)).otherwise(0.0)).alias(f"{name}_{c}") for c in ("px", "py", "pz", "e")]
+    out = found.where(F.coalesce(bad, F.lit(True))).groupBy(*event, "lepton", "lepton_pdg").agg(
+        F.max(F.when(after & (F.col("pdg") == F.col("lepton_pdg")) & F.col("last"), -F.col("node"))).alias("__last"),
+        one(final & after & F.col("pdg").isin(NEUTRAL_LEPTONS)).alias("n_neutrinos"), one(final & after & (F.col("pdg") == ELECTRON)).alias("n_electrons"), one(final & after & (F.col("pdg") == MUON)).alias("n_muons"),
+        hadron(CHARGED_HADRONS).alias("n_charged"), hadron(NEUTRAL_HADRONS).alias("n_neutral"), *momentum("visible", after & ~F.col("pdg").isin(NEUTRAL_LEPTONS)), *momentum("radiated", ~after),
+    )
+    tau = F.when(F.col("n_electrons") > 0, 3).when(F.col("n_muons") > 0, 4).when(F.col("n_charged") + F.col("n_neutral") > 0, 5).otherwise(6)
+    kind = F.when(F.col("lepton_pdg") == ELECTRON, 1).when(F.col("lepton_pdg") == MUON, 2).otherwise(tau)
+    return out.withColumns({"last_copy": -F.col("__last"), "kind": kind}).drop("__last", "lepton_pdg")
+
+
+def pile_up(infos: Column) -> Column:
+    """Interactions of the first record (crossing, interactions) of bunch crossing 0, else the lowest number there is."""
+    own = F.filter(infos, lambda p: p["crossing"] == 0)
+    return F.coalesce(F.get(own, F.lit(0))["interactions"].cast("double"), F.lit(-3.4028234663852886e38))

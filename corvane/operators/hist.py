@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.numeric import uniform_bin
+from corvane.functions.numeric import Interval, uniform_bin
 
 
 class Axis(NamedTuple):
@@ -104,3 +104,18 @@ def ratio_with_errors(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     r = F.try_divide(F.col("n_a").cast("double"), F.col("w_b"))
     error = F.sqrt(F.try_divide(F.lit(1.0), F.col("n_a").cast("double")) + F.try_divide(F.col("w2_b"), F.col("w_b") * F.col("w_b")))
     return both.select(*keys, r.alias("ratio"), (r * error).alias("error"))
+
+
+def blinded(hist: DataFrame, name: str, axis: Axis, ranges: list[Interval]) -> DataFrame:
+    """Histogram whose contents are null in bins that a blind range touches, with the flag blind."""
+    low, high = axis.edge(F.col(name)), axis.edge(F.col(name) + 1)
+    touched = F.lit(False)
+    for r in ranges:
+        touched = touched | ((low <= r.high if r.high_closed else low < r.high) & (high > r.low) & F.col(name).between(1, axis.bins))
+    return hist.withColumn("blind", touched).withColumns({c: F.when(~F.col("blind"), F.col(c)) for c in ("n", "sumw", "sumw2")})
+
+
+def scaled(hist: DataFrame, factor: float, systematic: float = 0.0) -> DataFrame:
+    """Histogram times a post-fit factor, with a relative systematic uncertainty added in quadrature."""
+    sumw = F.col("sumw") * factor
+    return hist.withColumns({"sumw": sumw, "sumw2": F.col("sumw2") * factor * factor + F.pow(sumw * systematic, F.lit(2.0))})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions.geometry import delta_phi, delta_r
 from corvane.operators.graph import components
 from corvane.operators.order import numbered
+from corvane.sources import shared
 
 
 def near_pairs(a: DataFrame, b: DataFrame, event: list[str], radius: float, eta: str = "eta", phi: str = "phi") -> DataFrame:
@@ -51,6 +52,31 @@ def priority_match(candidates: DataFrame, objects: DataFrame, event: list[str],
     return nearest(rows, [*event, candidate], [*[F.asc_nulls_last(n) for n in names], F.col("object")])
 
 
+def candidate_pool(collections: list[tuple[str, DataFrame, dict[str, float]]], event: list[str], complete: bool = True) -> DataFrame:
+    """Candidates that collections of one event build up, in their order: (event, and for each collection its name with
+    _idx, _eta and _phi, null where a candidate has no such object). The first collection's objects (idx, eta, phi) are
+    the first candidates. Of each later one every candidate takes the object that priority_match gives it, by the
+    distances to the objects that it has, each within the radius that the collection's table gives for that earlier
+    name; several candidates may take one object. Objects that none has taken become candidates, if complete."""
+    names: list[str] = []
+    pool = None
+    for name, objects, radii in collections:
+        own = objects.select(*event, F.col("idx").alias(f"{name}_idx"), F.col("eta").alias(f"{name}_eta"), F.col("phi").alias(f"{name}_phi"))
+        made = own.withColumn("candidate", F.concat(F.lit(f"{name}:"), f"{name}_idx"))
+        if pool is None:
+            pool = made
+        else:
+            anchors = [(f"{n}_eta", f"{n}_phi", radii[n]) for n in names if n in radii]
+            found = priority_match(pool, objects.select(*event, "idx", "eta", "phi"), event, "candidate", "idx", anchors)
+            taken = found.select(*event, "candidate", F.col("object").alias(f"{name}_idx")).join(own, [*event, f"{name}_idx"])
+            after = pool.join(taken, [*event, "candidate"], "left")
+            if complete:
+                after = after.unionByName(made.join(taken.select(*event, f"{name}_idx").distinct(), [*event, f"{name}_idx"], "left_anti"), allowMissingColumns=True)
+            pool = shared.written(after, "pool")
+        names.append(name)
+    return pool.drop("candidate")
+
+
 def completed(matched: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     """matched, and the rows of others that no match used, as candidates of their own."""
     return matched.unionByName(others.join(matched.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import order
+from corvane.operators import order, stats
+from corvane.sources import shared
 
 
 def roc(df: DataFrame, keys: list[str], score: str, truth: Column, weight: Column | None = None) -> DataFrame:
@@ -102,24 +103,42 @@ def at_common_points(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
     return placed.where("ya is not null and l is not null and r is not null").select("x", "ya", value.alias("yb"))
 
 
-def converged_thresholds(df: DataFrame, classes: list[str], truth: str, efficiency: dict[str, float], epsilon: float = 1e-5, most: int = 30) -> dict[str, float]:
-    """Thresholds of each class's score at which that share of true rows passes, given that they pass the thresholds of
-    all other classes: repeated until no threshold moves by epsilon. Only the thresholds come to the driver."""
+def derivative(curve: DataFrame, x: str, y: str, window: int = 1, relative: bool = False) -> DataFrame:
+    """Slope dy/dx between points of a curve in order of x: from each point to the first one at least `window` on at which
+    y has changed, from there on again. Rows: x in the middle, slope (over the mean of y if relative). y must not fall.
+    The chain of steps is found by doubling, so it takes as many joins as the number of points has binary digits."""
+    placed = order.numbered(curve.select(F.col(x).alias("x"), F.col(y).alias("y")), [F.col("x"), F.col("y")], "n")
+    runs = placed.groupBy("y").agg((F.max("n") + 1).alias("end"))
+    steps = shared.written(placed.join(runs, "y").select("n", F.greatest(F.col("n") + window, F.col("end")).alias("next")), "steps")
+    reached = steps.where("n = 0").select("n")
+    jumps = steps
+    for _ in range(steps.count().bit_length()):
+        reached = shared.written(reached.union(reached.join(jumps, "n").select(F.col("next").alias("n"))).distinct(), "reached")
+        further = jumps.join(jumps.select(F.col("n").alias("next"), F.col("next").alias("after")), "next")
+        jumps = shared.written(further.select("n", F.col("after").alias("next")), "jumps")
+    at = placed.select(F.col("n").alias("next"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    ends = steps.join(reached, "n").join(placed, "n").join(at, "next").where("y2 <> y")
+    slope = F.try_divide(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
+    return ends.select(((F.col("x") + F.col("x2")) / 2).alias("x"), (F.try_divide(slope, (F.col("y") + F.col("y2")) / 2) if relative else slope).alias("slope"))
+
+
+def converged_thresholds(df: DataFrame, classes: list[str], truth: str, efficiency: dict[str, float], epsilon: float = 1e-5, most: int = 100, weight: str | None = None) -> dict[str, float]:
+    """Thresholds of each class's score at which that share of true rows' weight passes, given that they pass the
+    thresholds of all other classes: repeated until no threshold moves by epsilon. Only the thresholds come to the driver.
+    Thresholds that still move after `most` rounds are an error; a class without rows keeps its last one."""
     now = dict.fromkeys(classes, float("-inf"))
-    true = df.where(truth).persist()
-    try:
-        for _ in range(most):
-            found = {}
-            for c in classes:
-                others = [F.col(o) > now[o] for o in classes if o != c]
-                rows = true
-                for test in others:
-                    rows = rows.where(test)
-                found[c] = rows.agg(F.expr(f"percentile({c}, {1 - efficiency[c]!r}D)")).first()[0]
-            done = all(found[c] is not None and abs(found[c] - now[c]) < epsilon for c in classes)
-            now = {c: (found[c] if found[c] is not None else now[c]) for c in classes}
-            if done:
-                break
-    finally:
-        true.unpersist()
-    return now
+    true = shared.written(df.where(truth).select(*classes, (F.lit(1.0) if weight is None else F.col(weight)).alias("__w")), "true")
+    for _ in range(most):
+        found = {}
+        for c in classes:
+            rows = true
+            for o in classes:
+                if o != c:
+                    rows = rows.where(F.col(o) > now[o])
+            at = stats.weighted_quantile(rows, [], c, "__w", 1 - efficiency[c]).first()
+            found[c] = now[c] if at is None or at[0] is None else at[0]
+        moved = [c for c in classes if not abs(found[c] - now[c]) < epsilon]
+        now = found
+        if not moved:
+            return now
+    raise ValueError(f"thresholds of {', '.join(moved)} still move after {most} rounds")

@@ -52,3 +52,10 @@ def bootstrap(df: DataFrame, keys: list[str], key: Column, x: Column, trials: in
     v = uniform(seed, F.col("trial"), F.col("__k"))
     count = sum((F.when(v >= s, 1).otherwise(0) for s in steps), F.lit(0))
     return drawn.withColumn("__w", count).groupBy(*keys, "trial").agg(F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("mean"))
+
+
+def even_shares(files: DataFrame, kind: str) -> DataFrame:
+    """files with the chance of drawing from each, so that all kinds come alike and within a kind all its files."""
+    own = files.groupBy(kind).agg(F.count("*").alias("__n"))
+    kinds = own.agg(F.count("*").alias("__k"))
+    return files.join(F.broadcast(own.join(kinds)), kind).withColumn("share", 1 / (F.col("__n") * F.col("__k"))).drop("__n", "__k")

@@ -118,3 +118,42 @@ def kde(sample: DataFrame, points: DataFrame, x: str, bandwidth: float) -> DataF
     norm = 1 / (bandwidth * math.sqrt(2 * math.pi))
     kernel = lambda a, s: a + s["c"] * F.exp(-F.pow((F.col(x) - s["v"]) / bandwidth, F.lit(2.0)) / 2)
     return points.join(F.broadcast(values)).withColumn("density", F.aggregate("vs", F.lit(0.0), kernel) * norm / F.col("total")).drop("vs", "total")
+
+
+def kde_2d(sample: DataFrame, points: DataFrame, x: str, y: str, bandwidths: tuple[float, float], correlation: float = 0.0) -> DataFrame:
+    """Density of pairs at each point with a Gaussian kernel of a correlation. As kde(), it sums over an array of the
+    sample's distinct pairs, of which more than KDE_VALUES are an error."""
+    if sample.select(x, y).distinct().limit(KDE_VALUES + 1).count() > KDE_VALUES:
+        raise ValueError(f"more than {KDE_VALUES} distinct pairs: round {x} and {y} first")
+    free = 1 - correlation * correlation
+    if free <= 0:
+        raise ValueError("the kernel's correlation must be between -1 and 1")
+    norm = 1 / (2 * math.pi * bandwidths[0] * bandwidths[1] * math.sqrt(free))
+    pairs = sample.groupBy(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).agg(F.count("*").cast("double").alias("c"))
+    values = pairs.agg(F.collect_list(F.struct("a", "b", "c")).alias("vs"), F.sum("c").alias("total"))
+
+    def kernel(total: Column, s: Column) -> Column:
+        u, v = (F.col(x) - s["a"]) / bandwidths[0], (F.col(y) - s["b"]) / bandwidths[1]
+        return total + s["c"] * F.exp(-(u * u - 2 * correlation * u * v + v * v) / (2 * free))
+
+    return points.join(F.broadcast(values)).withColumn("density", F.aggregate("vs", F.lit(0.0), kernel) * norm / F.col("total")).drop("vs", "total")
+
+
+def information(sample: DataFrame, x: str, y: str, bandwidths: tuple[float, float]) -> DataFrame:
+    """One row of entropies (bits, by kernel densities) of two columns, their mutual information, and scaled_mi, 1 less
+    its share of the larger entropy. Fully correlated columns have infinite mutual information; fewer than two rows are
+    an error."""
+    pairs = sample.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    n, correlation = pairs.agg(F.count("*"), F.corr("x", "y")).first()
+    if n < 2:
+        raise ValueError("mutual information needs two rows")
+    points = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
+    points = kde(pairs, points, "x", bandwidths[0]).withColumnRenamed("density", "px")
+    points = kde(pairs, points, "y", bandwidths[1]).withColumnRenamed("density", "py")
+    bound = correlation is not None and abs(correlation) >= 1
+    if not bound:
+        points = kde_2d(pairs, points, "x", "y", bandwidths, correlation or 0.0)
+    mean = lambda e: F.sum(F.col("n") * e) / F.sum("n")
+    mi = F.lit(math.inf) if bound else mean(F.log2(F.col("density") / (F.col("px") * F.col("py"))))
+    found = points.agg(mean(-F.log2("px")).alias("entropy_x"), mean(-F.log2("py")).alias("entropy_y"), mi.alias("mutual"))
+    return found.withColumn("scaled_mi", 1 - F.col("mutual") / F.greatest("entropy_x", "entropy_y"))

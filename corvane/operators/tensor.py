@@ -78,3 +78,20 @@ def spread_batches(df: DataFrame, buckets: int, key: Column, by: list[Column], s
 
 def has_padding(values: Column) -> Column:
     return ~F.exists(values, lambda x: x != 0)
+
+
+def differences(a: Column, b: Column, epsilon: float = 1e-5) -> Column:
+    """Indices at which two arrays differ by more than epsilon, or of which only one is NaN or null; arrays of unequal
+    length are an error."""
+    same = lambda x, y: (F.abs(x - y) <= epsilon) | (x.isNull() & y.isNull()) | (F.isnan(x) & F.isnan(y))
+    pairs = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p, i: F.when(~F.coalesce(same(p["a"], p["b"]), F.lit(False)), i))
+    found = F.filter(pairs, lambda i: i.isNotNull())
+    return F.when(F.size(a) == F.size(b), found).otherwise(F.raise_error(F.lit("arrays of unequal length")).cast("array<int>"))
+
+
+def without_inner(outer: DataFrame, candidate: list[str], kind: str = "type", inner: tuple[int, float] = INNER, grid: tuple[int, float] = OUTER) -> DataFrame:
+    """Cells of grids() without those of the outer grid whose middle lies under the inner grid."""
+    (n, size), (m, step) = inner, grid
+    middle = lambda k: F.abs((k - m // 2) * step)
+    under = (middle(F.floor(F.col("cell") / m)) < n * size / 2) & (middle(F.col("cell") % m) < n * size / 2)
+    return outer.where(F.col("inner") | ~under)

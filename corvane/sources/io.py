@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.numeric import precision
 from corvane.operators.order import numbered, tiles
 
 
@@ -100,3 +101,56 @@ def exactly_one(wanted: DataFrame, table: DataFrame, key: list[str]) -> DataFram
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old without the keys that new has, and new."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def group_scan(rows: DataFrame, files: DataFrame, file: str, order: list[Column], first: tuple[int, int], last: tuple[int, int], group_id: int, kind: Column, kinds: list) -> DataFrame:
+    """Rows of the files of a group (file, position, dataset_id) from one (position, entry) up to another, both included,
+    tagged with dataset_id, dataset_group_id and kind; rows of other kinds are skipped. Entries count from 0 within each
+    file, in order."""
+    placed = numbered(rows, order, "entry", [file]).join(F.broadcast(files), file)
+    at = F.struct(F.col("position").cast("long").alias("p"), F.col("entry").cast("long").alias("e"))
+    point = lambda pair: F.struct(F.lit(pair[0]).cast("long").alias("p"), F.lit(pair[1]).cast("long").alias("e"))
+    inside = placed.where((at >= point(first)) & (at <= point(last))).withColumns({"kind": kind, "dataset_group_id": F.lit(group_id)})
+    return inside.where(F.col("kind").isin(kinds))
+
+
+def flat_tables(df: DataFrame, key: list[str], bits: dict[str, int | None]) -> dict[str, DataFrame]:
+    """A table for each array of structs that bits names: one row for each object, with the key and its place, fractions
+    rounded to that many bits of precision (None: as they are)."""
+    found = {}
+    for name, precise in bits.items():
+        flat = df.select(*key, F.posexplode(name).alias("place", "o")).select(*key, "place", "o.*")
+        found[name] = flat.select(*key, "place", *[precision(F.col(c), precise).alias(c) if precise is not None and t in ("float", "double") else F.col(c) for c, t in flat.dtypes if c not in (*key, "place")])
+    return found
+
+
+def size_batches(files: list[tuple[str, int]], target: int) -> list[list[str]]:
+    """Paths in runs whose sizes just reach a target, the last perhaps less. The list is a folder's metadata."""
+    runs, total = [[]], 0
+    for path, size in files:
+        if total >= target:
+            runs.append([])
+            total = 0
+        runs[-1].append(path)
+        total += size
+    return [r for r in runs if r]
+
+
+def merged_files(spark: SparkSession, files: list[tuple[str, int]], target: int, path: str, kind: str = "parquet") -> int:
+    """Write each batch of files as one file in a folder of its own; the number of batches."""
+    batches = size_batches(files, target)
+    for k, own in enumerate(batches):
+        spark.read.format(kind).load(own).coalesce(1).write.mode("overwrite").format(kind).save(f"{path}/{k}")
+    return len(batches)
+
+
+def settings(text: str) -> dict:
+    """A YAML configuration, with its anchors and merged keys."""
+    import yaml
+
+    return yaml.safe_load(text)
+
+
+def float_list(values: Column) -> Column:
+    """JSON text of an array of numbers with four decimals of their mantissas."""
+    return F.concat(F.lit("[ "), F.array_join(F.transform(values, lambda x: F.format_string("%.4e", x)), ", "), F.lit(" ]"))
