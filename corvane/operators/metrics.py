@@ -100,7 +100,8 @@ def at_common_points(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
     placed = order.between(both, [F.col("x"), F.col("yb").isNull()], point, "l", "r")
     slope = F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x"))
     value = F.col("l.y") + F.coalesce(slope, F.lit(0.0)) * (F.col("x") - F.col("l.x"))
-    return placed.where("ya is not null and l is not null and r is not null").select("x", "ya", value.alias("yb"))
+    inside = "ya is not null and l is not null and (r is not null or l.x = x)"
+    return placed.where(inside).select("x", "ya", value.alias("yb"))
 
 
 def derivative(curve: DataFrame, x: str, y: str, window: int = 1, relative: bool = False) -> DataFrame:

@@ -299,7 +299,17 @@ def acceptance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("bootstrap_mean")
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+TRIAL_SQL = "(('0x' || substr(md5('17|' || trial || '|' || concat_ws('-', " + ", ".join(KEY) + ")), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+
+
+@query(
+    "bootstrap_mean",
+    f"""
+    WITH d AS (SELECT l_returnflag, trial, l_quantity AS x, {TRIAL_SQL} AS u FROM lineitem, (SELECT unnest(range(1, 21)) AS trial)), w AS (SELECT l_returnflag, trial, x, {" + ".join(f"(u >= {p!r})::INT" for p in POISSON)} AS n FROM d),
+    m AS (SELECT l_returnflag, trial, sum(n * x) / sum(n) AS mean FROM w GROUP BY ALL) SELECT l_returnflag, round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS error FROM m GROUP BY 1
+    """,
+)
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     key = F.concat_ws("-", *KEY)

@@ -250,7 +250,8 @@ def graph_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Truth and score: labels.quality and the number of characters.
 SCORED_SQL = "SELECT l.doc_id, lang, quality = 1 AS truth, n_chars::DOUBLE AS score, toxic FROM labels l JOIN documents d USING (doc_id)"
-ROC_SQL = f"WITH s AS (SELECT score, sum(truth::INT)::DOUBLE AS p, sum((NOT truth)::INT)::DOUBLE AS q FROM ({SCORED_SQL}) GROUP BY 1), c AS (SELECT score AS threshold, sum(q) OVER w / sum(q) OVER () AS fpr, sum(p) OVER w / sum(p) OVER () AS tpr FROM s WINDOW w AS (ORDER BY score DESC))"
+CURVE_SQL = "SELECT score AS threshold, sum(q) OVER w / sum(q) OVER () AS fpr, sum(p) OVER w / sum(p) OVER () AS tpr FROM (SELECT score, sum(truth::INT)::DOUBLE AS p, sum((NOT truth)::INT)::DOUBLE AS q FROM (" + SCORED_SQL + ") WHERE {test} GROUP BY 1) WINDOW w AS (ORDER BY score DESC)"
+ROC_SQL = f"WITH c AS ({CURVE_SQL.format(test='true')})"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,14 +301,30 @@ def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_interval(spark.createDataFrame([(k, 20) for k in range(21)], "passed bigint, total bigint"))
 
 
-@query("threshold_iter")
+@query(
+    "threshold_iter",
+    f"""
+    WITH RECURSIVE p AS (SELECT eta AS vs_jet, phi AS vs_e FROM ({POINT_SQL}) WHERE label < 5),
+    t(i, jet, e) AS (SELECT 0, '-inf'::DOUBLE, '-inf'::DOUBLE UNION ALL
+      SELECT i + 1, (SELECT min(x) FROM (SELECT vs_jet AS x, row_number() OVER (ORDER BY vs_jet) AS k, count(*) OVER () AS n FROM p WHERE vs_e > t.e) WHERE k >= (1 - 0.8) * n), (SELECT min(x) FROM (SELECT vs_e AS x, row_number() OVER (ORDER BY vs_e) AS k, count(*) OVER () AS n FROM p WHERE vs_jet > t.jet) WHERE k >= (1 - 0.9) * n) FROM t WHERE i < 30)
+    SELECT 'vs_jet' AS name, jet AS threshold FROM t WHERE i = 30 UNION ALL SELECT 'vs_e', e FROM t WHERE i = 30
+    """,
+)
 def threshold_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).select("label", F.col("eta").alias("vs_jet"), F.col("phi").alias("vs_e"))
     found = metrics.converged_thresholds(rows, ["vs_jet", "vs_e"], "label < 5", {"vs_jet": 0.8, "vs_e": 0.9})
     return spark.createDataFrame(list(found.items()), "name string, threshold double")
 
 
-@query("roc_ratio")
+@query(
+    "roc_ratio",
+    f"""
+    WITH a AS (SELECT tpr AS x, min(fpr) AS y FROM ({CURVE_SQL.format(test="toxic = 0")}) GROUP BY 1), b AS (SELECT tpr AS x, min(fpr) AS y FROM ({CURVE_SQL.format(test="true")}) GROUP BY 1),
+    j AS (SELECT a.x, a.y, max(b.x) FILTER (b.x <= a.x) AS lx, min(b.x) FILTER (b.x >= a.x) AS rx FROM a, b GROUP BY ALL),
+    v AS (SELECT j.x, j.y AS ya, l.y + CASE WHEN rx > lx THEN (r.y - l.y) / (rx - lx) * (j.x - lx) ELSE 0 END AS yb FROM j JOIN b l ON l.x = lx JOIN b r ON r.x = rx)
+    SELECT round(x, 6) AS tpr, round(ya / yb, 6) AS ratio FROM v WHERE yb > 0
+    """,
+)
 def roc_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     one = lambda df: metrics.roc(df, [], "score", F.col("truth")).groupBy("tpr").agg(F.min("fpr").alias("fpr"))
