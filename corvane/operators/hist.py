@@ -119,3 +119,63 @@ def scaled(hist: DataFrame, factor: float, systematic: float = 0.0) -> DataFrame
     """Histogram times a post-fit factor, with a relative systematic uncertainty added in quadrature."""
     sumw = F.col("sumw") * factor
     return hist.withColumns({"sumw": sumw, "sumw2": F.col("sumw2") * factor * factor + F.pow(sumw * systematic, F.lit(2.0))})
+
+
+def on_grid(hist: DataFrame, keys: list[str], axes: dict[str, Axis]) -> DataFrame:
+    """Histogram with a row for every bin of its axes, without those outside: empty ones have n = sumw = sumw2 = 0."""
+    grid = hist.select(*keys).distinct()
+    for name, axis in axes.items():
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(axis.bins))))
+    return grid.join(hist, [*keys, *axes], "left").fillna(0, ["n", "sumw", "sumw2"])
+
+
+def acceptance_to_flat(hist: DataFrame, keys: list[str], axes: dict[str, Axis], empty: float | None = None, last: str | None = None, imbalance: float = 1.0) -> DataFrame:
+    """Chance of keeping a row of each bin (probability) so that all bins of a key come out alike. Empty bins are an
+    error, or get the value of empty. The largest chance is 1; with `last`, all rows of the top two bins of that axis are
+    wanted, and the chances are limited to `imbalance` times their number, which must not be 0."""
+    whole = on_grid(hist, keys, axes)
+    n_bins = 1
+    for axis in axes.values():
+        n_bins *= axis.bins
+    bad = F.raise_error(F.concat(F.lit("empty bin: "), F.concat_ws(", ", *keys, *axes))).cast("double") if empty is None else F.lit(empty)
+    ratio = F.when(F.col("sumw") == 0, bad).otherwise(F.lit(1 / n_bins) / F.col("sumw"))
+    w = Window.partitionBy(*keys)  # of the bins of one histogram
+    rows = whole.withColumn("__r", ratio).withColumn("__m", F.max("__r").over(w))
+    scale = F.lit(1.0)
+    if last:
+        top = F.sum(F.when(F.col(last) >= axes[last].bins - 1, F.col("sumw")).otherwise(0.0)).over(w)
+        scale = F.least(F.lit(1.0), F.lit(imbalance) * top * F.col("__m"))
+        scale = F.when(scale > 0, scale).otherwise(F.raise_error(F.lit("the last bins are empty")).cast("double"))
+    return rows.withColumn("probability", F.col("__r") * scale / F.col("__m")).select(*keys, *axes, "probability")
+
+
+def class_probabilities(entries: DataFrame, name: str, ratios: dict[str, float]) -> DataFrame:
+    """Chance of keeping a row of each class (name, n) so that kept rows stand in given ratios, the largest chance 1; a
+    class with ratio -1 is kept whole. A class without rows, or another negative ratio, is an error."""
+    if any(r < 0 and r != -1 for r in ratios.values()):
+        raise ValueError("a ratio is positive, or -1 for all rows")
+    own = {r[0]: r[1] for r in entries.where(F.col(name).isin(list(ratios))).select(name, "n").collect()}  # one row a class
+    if missing := [c for c in ratios if not own.get(c)]:
+        raise ValueError(f"no rows of {', '.join(missing)}")
+    rates = {c: r / own[c] for c, r in ratios.items() if r != -1}
+    top = max(rates.values(), default=1.0)
+    table = F.create_map(*[F.lit(x) for c in ratios for x in (c, rates[c] / top if c in rates else 1.0)])
+    return entries.where(F.col(name).isin(list(ratios))).select(name, F.try_element_at(table, F.col(name)).alias("probability"))
+
+
+def divided(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a / b bin by bin (ratio); bins that only one of them has are an error."""
+    both = a.select(*keys, F.col("sumw").alias("__a")).join(b.select(*keys, F.col("sumw").alias("__b")), keys, "full")
+    ratio = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("the histograms have different bins")).cast("double")).otherwise(F.try_divide("__a", "__b"))
+    return both.select(*keys, ratio.alias("ratio"))
+
+
+def expanded(hist: DataFrame, edges: dict[int, list[float]], values: list[str]) -> DataFrame:
+    """A histogram (iy, ix, values) whose bins in x differ with iy, on equal bins as fine as its finest one: each of these
+    (fx, from 1) has the values of the bin that holds its middle."""
+    step = min(b - a for e in edges.values() for a, b in zip(e, e[1:], strict=False))
+    low, high = min(e[0] for e in edges.values()), max(e[-1] for e in edges.values())
+    n = round((high - low) / step)
+    of = [(y, k + 1, sum(e <= low + (k + 0.5) * step for e in own)) for y, own in edges.items() for k in range(n)]
+    grid = hist.sparkSession.createDataFrame(of, "iy int, fx int, ix int")
+    return grid.join(hist, ["iy", "ix"]).select("iy", "fx", *values)

@@ -154,3 +154,15 @@ def by_position(frames: list[tuple[DataFrame, list[Column]]]) -> DataFrame:
     for df in placed[1:]:
         out = out.join(df, "row")
     return out
+
+
+def nearest_axis(reco: DataFrame, truth: DataFrame, event: list[str], key: str, index: str, axes: list[tuple[str, str]], radius: float) -> DataFrame:
+    """(event, key, object, dr): the nearest true object of each reconstructed one, by the smallest of the distances to its
+    axes (eta and phi columns), within a radius; the lower index decides between equals."""
+    found = None
+    for eta, phi in axes:
+        axis = truth.select(*event, index, F.col(eta).alias("eta"), F.col(phi).alias("phi"))
+        pairs = near_pairs(reco.select(*event, key, "eta", "phi"), axis, event, radius).select(*event, F.col(key), F.col(f"{index}_b").alias("object"), "dr")
+        found = pairs if found is None else found.unionByName(pairs)
+    best = found.groupBy(*event, key).agg(F.min(F.struct("dr", "object")).alias("__b"))
+    return best.select(*event, key, F.col("__b.object").alias("object"), F.col("__b.dr").alias("dr"))

@@ -143,3 +143,21 @@ def converged_thresholds(df: DataFrame, classes: list[str], truth: str, efficien
         if not moved:
             return now
     raise ValueError(f"thresholds of {', '.join(moved)} still move after {most} rounds")
+
+
+def rate_curve(rate: DataFrame, event: list[str], signal: DataFrame, score: str, efficiencies: list[float]) -> DataFrame:
+    """(efficiency, threshold, rate): thresholds that let a share of the signal's rows pass, and the share of events whose
+    highest score passes each."""
+    names = {f"e{k}": 1 - e for k, e in enumerate(efficiencies)}
+    at = stats.quantiles(signal.select(score), [], score, names)
+    points = at.select(F.explode(F.array(*[F.struct(F.lit(e).alias("efficiency"), F.col(n).alias("threshold")) for n, e in zip(names, efficiencies, strict=True)])).alias("p")).select("p.*")
+    best = rate.groupBy(*event).agg(F.max(score).alias("__m"))
+    return best.join(F.broadcast(points)).groupBy("efficiency", "threshold").agg(F.try_divide(F.count_if(F.col("__m") > F.col("threshold")).cast("double"), F.count("*").cast("double")).alias("rate"))
+
+
+def nearest_to(curve: DataFrame, efficiency: float, tolerance: float = 0.01) -> DataFrame:
+    """Threshold of the point whose true positive rate is nearest to the efficiency; null if it is off by more than the
+    tolerance."""
+    gap = F.abs(F.col("tpr") - efficiency)
+    found = curve.agg(F.min(F.struct(gap.alias("gap"), "threshold")).alias("b"))
+    return found.select(F.when(F.col("b.gap") <= tolerance, F.col("b.threshold")).alias("threshold"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.numeric import significant_digits
 from corvane.operators import order
 
 #: Distinct values that a density sums over, at most.
@@ -157,3 +158,19 @@ def information(sample: DataFrame, x: str, y: str, bandwidths: tuple[float, floa
     mi = F.lit(math.inf) if bound else mean(F.log2(F.col("density") / (F.col("px") * F.col("py"))))
     found = points.agg(mean(-F.log2("px")).alias("entropy_x"), mean(-F.log2("py")).alias("entropy_y"), mi.alias("mutual"))
     return found.withColumn("scaled_mi", 1 - F.col("mutual") / F.greatest("entropy_x", "entropy_y"))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two quantities (value, down, up) agree within their errors towards each other."""
+    gap = F.abs(a["value"] - b["value"])
+    return F.when(a["value"] < b["value"], gap <= b["down"] + a["up"]).when(a["value"] > b["value"], gap <= a["down"] + b["up"]).otherwise(a["value"] == b["value"])
+
+
+def jobs_combined(jobs: DataFrame, keys: list[str], fixed: list[str], digits: int = 4) -> DataFrame:
+    """Results of jobs (keys, n, mean, sqmean, fixed columns) merged by weight: n, mean and std with so many significant
+    digits. The fixed columns must be the same in all jobs of a key."""
+    n = F.sum("n")
+    same = [F.when(F.min(c).eqNullSafe(F.max(c)), F.min(c)).otherwise(F.raise_error(F.lit(f"jobs differ in {c}")).cast("double")).alias(c) for c in fixed]
+    mean, square = F.sum(F.col("mean") * F.col("n")) / n, F.sum(F.col("sqmean") * F.col("n")) / n
+    found = jobs.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), *same)
+    return found.withColumns({c: significant_digits(F.col(c), digits) for c in ("mean", "std")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +97,34 @@ def without_inner(outer: DataFrame, candidate: list[str], kind: str = "type", in
     middle = lambda k: F.abs((k - m // 2) * step)
     under = (middle(F.floor(F.col("cell") / m)) < n * size / 2) & (middle(F.col("cell") % m) < n * size / 2)
     return outer.where(F.col("inner") | ~under)
+
+
+def sequence_blocks(items: Column, length: int, blocks: dict[str, Callable[[Column], list[Column]]]) -> dict[str, Column]:
+    """Flat blocks of features of the first `length` items, filled up with zeros; items are in order."""
+    first = F.slice(items, 1, length)
+
+    def flat(made: Callable[[Column], list[Column]]) -> Column:
+        rows = F.transform(first, lambda x: F.array(*made(x)))
+        width = len(made(F.struct().alias("x"))) * length
+        return F.concat(F.flatten(rows), F.array_repeat(F.lit(0.0), F.lit(width) - F.size(F.flatten(rows))))
+
+    return {name: flat(made) for name, made in blocks.items()}
+
+
+def regression_targets(charged: Column, neutral: Column, pt: Column, mass2: Column) -> Column:
+    return F.array(*[c.cast("double") for c in (charged, neutral, pt, mass2)])
+
+
+def adversarial(regular: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of both tables by their batch number, those of the second with weight 0; batches that only one has are left
+    out."""
+    both = regular.select("batch").distinct().join(other.select("batch").distinct(), "batch")
+    rows = regular.withColumn("weight", F.lit(1.0)).unionByName(other.withColumn("weight", F.lit(0.0)), allowMissingColumns=True)
+    return rows.join(both, "batch", "left_semi")
+
+
+def split_by_file(df: DataFrame, file: str, share: float) -> DataFrame:
+    """df with the flag training: whether its file is among the first share of all files, by name."""
+    files = order.numbered(df.select(file).distinct(), [F.col(file)], "__k", total="__n")
+    flags = files.select(file, (F.col("__k") < F.floor(F.col("__n") * share)).alias("training"))
+    return df.join(flags, file)

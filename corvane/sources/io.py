@@ -154,3 +154,42 @@ def settings(text: str) -> dict:
 def float_list(values: Column) -> Column:
     """JSON text of an array of numbers with four decimals of their mantissas."""
     return F.concat(F.lit("[ "), F.array_join(F.transform(values, lambda x: F.format_string("%.4e", x)), ", "), F.lit(" ]"))
+
+
+def discovered(spark: SparkSession, root: str, pattern: str = ".*", exclude: str | None = None, exclude_folders: str | None = None) -> DataFrame:
+    """(path, size) of the files anywhere under a folder whose whole path fits a pattern, without those whose name or one
+    of whose folders fits another. The listing is the file system's own."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
+    rows = []
+    while listing.hasNext():
+        f = listing.next()
+        path = f.getPath().toString()
+        folders = ["/".join(path.split("/")[:k]) for k in range(1, path.count("/") + 1)]
+        if re.fullmatch(pattern, path) and not (exclude and re.fullmatch(exclude, path.rsplit("/", 1)[-1])) and not (exclude_folders and any(re.fullmatch(exclude_folders, x) for x in folders)):
+            rows.append((path, f.getLen()))
+    return spark.createDataFrame(sorted(rows), "path string, size bigint")
+
+
+def sizes(files: DataFrame, before: DataFrame) -> DataFrame:
+    """files (path, size) with the size that an earlier inventory has for a path, and whether it had one."""
+    old = before.select("path", F.col("size").alias("__s"))
+    return files.join(old, "path", "left").select("path", F.coalesce("__s", "size").alias("size"), F.col("__s").isNotNull().alias("known"))
+
+
+def first_entries(df: DataFrame, by: list[Column], n: int, second: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first n rows in order, and the rows of a second table that belong to them."""
+    own = df.orderBy(*by).limit(n)
+    return own, second.join(own.select(*key).distinct(), key, "left_semi")
+
+
+def report(df: DataFrame, digits: int = 4) -> DataFrame:
+    """A line of comma-separated values for each row, fractions with so many digits."""
+    shown = [F.format_string(f"%.{digits - 1}e", F.col(c)) if t in ("float", "double") else F.col(c).cast("string") for c, t in df.dtypes]
+    return df.select(F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in shown]).alias("line"))
+
+
+def try_scan(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
+    """The table at a path, or None where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.format(kind).load(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
