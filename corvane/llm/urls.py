@@ -91,9 +91,12 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 def train(labelled: DataFrame) -> list[float]:
     """Weights by bucket, the intercept last. labelled: columns url and label, small by contract."""
     buckets = ngram_buckets(host_of(F.col("url")), path_of(F.col("url"))).cast("array<string>")
-    rows = labelled.select(F.col("label").cast("double").alias("label"), buckets.alias("buckets")).coalesce(1)
+    rows = labelled.select(F.col("label").cast("double").alias("label"), buckets.alias("buckets"))
     present = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "buckets", "features")
-    model = LogisticRegression(maxIter=40, regParam=0.001, standardization=False).fit(present.transform(rows))
+    features = present.transform(rows).persist()
+    features.count()  # n-grams are cut once, by all cores; the fit passes over them in one fixed order
+    model = LogisticRegression(maxIter=40, regParam=0.001, standardization=False).fit(features.coalesce(1))
+    features.unpersist()
     return [float(x) for x in model.coefficients] + [float(model.intercept)]
 
 
