@@ -132,26 +132,31 @@ END, WRAP = ".", "|"
 def lines(text: Column) -> Column:
     """Normalised text with an END before, after and wherever a sentence ends for sure, and a WRAP at other line breaks;
     only END for a text without words."""
-    plain = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), UPPER + "\r\x02", LOWER + "\n\x03")
+    changed = lambda t, a, b: F.replace(t, F.lit(a), F.lit(b))
+    plain = changed(changed(changed(F.coalesce(text, F.lit("")), "\x02", "\x03"), "\r\n", "\n"), "\r", "\n")
     ended = F.regexp_replace(plain, f"[.!?;:][{SPACE}]+", "\x02")
-    normal = F.concat(F.lit("\x02"), F.regexp_replace(ended, "[^a-z0-9\n\x02]+", " "), F.lit("\x02"))
+    normal = F.concat(F.lit("\x02"), F.lower(F.regexp_replace(ended, "[^A-Za-z0-9\n\x02]+", " ")), F.lit("\x02"))
     sure = F.regexp_replace(normal, " ?(?:\x02[ \n\x02]*|\n ?[\n\x02][ \n\x02]*)", END)
     return F.regexp_replace(F.regexp_replace(sure, " ?\n ?", WRAP), "[.|]*[.][.|]*", END)
 
 
-def with_tokens(text: Column) -> Column:
-    """lines() with tokens in place of known sentences, wrapped or not, longer ones first."""
+def known_patterns() -> Column:
+    """Structs (part, pattern, token) of known sentences, longer ones first: a text without the part cannot have it."""
     of = tokens()
     known = sorted([(v, of[k]) for k, v in [*SENTENCES.items(), *CANONICAL.items()]] + [(v, of[k]) for v, k in VARIANTS], key=lambda x: (-len(x[0]), x[0]))
     pattern = lambda s: f"(?<=[{END}{WRAP}])" + s.replace(" ", f"[ {WRAP}]").replace("*", f"[a-z0-9 {WRAP}]+") + f"(?=[{END}{WRAP}])"
-    table = F.array(*[F.struct(F.lit(s.split("* ")[-1]).alias("part"), F.lit(pattern(s)).alias("pattern"), F.lit(token).alias("token")) for s, token in known])
+    return F.array(*[F.struct(F.lit(s.split("* ")[-1]).alias("part"), F.lit(pattern(s)).alias("pattern"), F.lit(token).alias("token")) for s, token in known])
 
-    def replaced(whole: Column) -> Column:
-        flat = F.translate(whole, WRAP, " ")
-        found = let(flat, lambda f: F.filter(table, lambda k: F.contains(f, k["part"])))
-        return F.aggregate(found, whole, lambda t, k: F.regexp_replace(t, k["pattern"], k["token"]))
 
-    return let(lines(text), replaced)
+def candidates(whole: Column) -> Column:
+    """Known sentences whose part occurs in lines(), whatever its line breaks."""
+    table = known_patterns()
+    return let(F.replace(whole, F.lit(WRAP), F.lit(" ")), lambda f: F.filter(table, lambda k: F.contains(f, k["part"])))
+
+
+def with_tokens(whole: Column, found: Column) -> Column:
+    """lines() with tokens in place of the known sentences found in it, wrapped or not."""
+    return F.aggregate(found, whole, lambda t, k: F.regexp_replace(t, k["pattern"], k["token"]))
 
 
 def sequence(found: Column) -> Column:
@@ -183,16 +188,23 @@ def recognise(docs: DataFrame, text: str = "text", result: str = "licence", rule
     input column of that name is replaced. Null and empty texts have no sentence and no licence. Repeated rows are judged
     alike; an empty table gives an empty table."""
 
-    def judged(found: Column) -> Column:
-        n_sentences = (F.length(found) - F.length(F.translate(found, END + WRAP, "")) - 1).cast("long")
+    none = F.array().cast("array<string>")
+    ends = lambda found: (F.length(found) - F.length(F.replace(F.replace(found, F.lit(END), F.lit("")), F.lit(WRAP), F.lit(""))) - 1).cast("long")
 
+    def verdict(licences: Column, n_matches: Column, n_sentences: Column, n_known: Column) -> Column:
+        return F.struct(licences.alias("licences"), n_matches.cast("long").alias("n_matches"), n_sentences.alias("n_sentences"), n_known.cast("long").alias("n_known"))
+
+    def judged(found: Column) -> Column:
         def of(ids: Column) -> Column:
             known = F.length(F.replace(ids, F.lit(GAP), F.lit("")))
             width = len(next(iter(tokens().values())))
             end = F.when(known > 0, matched(ids, CANONICAL_RULES + RULES if rules is None else rules))
-            n_known = F.try_divide(known, F.lit(width)).cast("long")
-            return let(end, lambda e: F.struct(F.coalesce(e["licences"], F.array().cast("array<string>")).alias("licences"), F.coalesce(e["n"], F.lit(0)).cast("long").alias("n_matches"), n_sentences.alias("n_sentences"), n_known.alias("n_known")))
+            return let(end, lambda e: verdict(F.coalesce(e["licences"], none), F.coalesce(e["n"], F.lit(0)), ends(found), F.try_divide(known, F.lit(width))))
 
         return let(sequence(found), of)
 
-    return docs.withColumn(result, let(with_tokens(F.col(text)), judged))
+    def whole(of: Column) -> Column:
+        plain = verdict(none, F.lit(0), ends(of), F.lit(0))
+        return let(candidates(of), lambda known: F.when(F.size(known) == 0, plain).otherwise(let(with_tokens(of, known), judged)))
+
+    return docs.withColumn(result, let(lines(F.col(text)), whole))
