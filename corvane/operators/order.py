@@ -37,14 +37,11 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n", keys: list[str
     """df with the number of each row in order, from 0, within keys if given; and the number of rows, if named."""
     keys = keys or []
     placed = ranged(df, [*map(F.col, keys), *order])
-    sizes = placed.groupBy(PART).agg(F.count("*").alias("__c"))
-    before = sizes.select(PART, (F.sum("__c").over(Window.orderBy(PART)) - F.col("__c")).alias("__b"))
-    out = placed.join(F.broadcast(before), PART).withColumn(name, F.col("__b") + F.col(AT)).drop("__b", PART, AT)
-    if not keys and not total:
-        return out
-    groups = out.groupBy(*keys).agg(F.min(name).alias("__first"), F.count("*").alias(total or "__c"))
-    found = same(out, groups, keys).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
-    return found if total else found.drop("__c")
+    parts = placed.groupBy(*keys, PART).agg(F.count("*").alias("__c"), F.min(AT).alias("__f"))
+    every, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*keys, PART, (F.coalesce(F.sum("__c").over(up), F.lit(0)) - F.col("__f")).alias("__b"), *([F.sum("__c").over(every).alias(total)] if total else []))
+    out = placed.join(F.broadcast(before), PART) if not keys else same(placed, before, [*keys, PART])
+    return out.withColumn(name, F.col("__b") + F.col(AT)).drop("__b", PART, AT)
 
 
 def tiles(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
@@ -53,6 +50,22 @@ def tiles(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
     return placed.withColumn(name, F.floor(F.col("__n") * n / F.col("__t")).cast("int")).drop("__n", "__t")
 
 
+def crossing(df: DataFrame, keys: list[str], order: list[Column], weight: str, share: float) -> DataFrame:
+    """First row of each key, in an order that tells rows apart, at which the running sum of a weight (not negative)
+    reaches a share of its total. Only the partition in which that happens is summed row by row."""
+    placed = ranged(df, [*map(F.col, keys), *order])
+    parts = placed.groupBy(*keys, PART).agg(F.sum(weight).alias("__p"))
+    every, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(PART)
+    sums = parts.select(*keys, PART, F.sum("__p").over(up).alias("__s"), "__p", F.sum("__p").over(every).alias("__t"))
+    reached = F.col("__s") >= F.lit(share) * F.col("__t")
+    where = sums.where(reached).groupBy(*keys).agg(F.min(F.struct(PART, (F.col("__s") - F.col("__p")).alias("__b"), "__t")).alias("__w")).select(*keys, "__w.*")
+    own = same(placed, where, [*keys, PART])
+    here = Window.partitionBy(*keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    first = own.withColumn("__s", F.col("__b") + F.sum(weight).over(here)).where(F.col("__s") >= F.lit(share) * F.col("__t"))
+    rest = [c for c in df.columns if c not in keys]
+    return first.groupBy(*keys).agg(F.min_by(F.struct(*rest), AT).alias("__r")).select(*keys, "__r.*")
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
     """df with running sums within keys, in an order that tells rows apart: sums maps a new column to the one summed. The
     total of each is in the column with _total behind the new name."""

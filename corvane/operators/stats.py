@@ -42,6 +42,8 @@ def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float])
     quantile takes the two rows beside its place, so no group's values are ever held together. Nulls are left out."""
     rows = df.select(*keys, F.col(x).cast("double").alias("__x")).where("__x is not null")
     placed = order.numbered(rows, [F.col("__x")], "__n", keys, total="n")
+    wanted = [F.lit(0), F.col("n") - 1, *[f((F.col("n") - 1) * F.lit(s)) for s in shares.values() for f in (F.floor, F.ceil)]]
+    placed = placed.where(F.array_contains(F.array(*wanted), F.col("__n")))
     found = [F.min("__x").alias("min"), F.max("__x").alias("max"), F.first("n").alias("n")]
     for name, share in shares.items():
         at = (F.col("n") - 1) * F.lit(share)
@@ -58,8 +60,8 @@ def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float])
 def weighted_quantile(df: DataFrame, keys: list[str], x: str, w: str, share: float) -> DataFrame:
     """Smallest x whose cumulative weight reaches share of the total. Equal values are summed first, and
     running sums take no window over a key's values."""
-    placed = order.running(df.groupBy(*keys, x).agg(F.sum(w).alias("w")), keys, [F.col(x)], {"c": "w"})
-    return placed.where(F.col("c") >= F.lit(share) * F.col("c_total")).groupBy(*keys).agg(F.min(x).alias("quantile"))
+    at = order.crossing(df.groupBy(*keys, x).agg(F.sum(w).alias("w")), keys, [F.col(x)], "w", share)
+    return at.select(*keys, F.col(x).alias("quantile"))
 
 
 def midpoint_quantile(df: DataFrame, keys: list[str], x: str, w: str, share: float) -> DataFrame:
