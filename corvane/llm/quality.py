@@ -6,6 +6,7 @@ Python. Windows of three words are compared by 64-bit hash within one text.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +72,7 @@ def covered_words(hashes: Column) -> Column:
         gap = lambda j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - F.get(p, j), F.lit(3)))
         return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0).cast("long"), lambda a, j: a + gap(j))
 
-    pairs = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
     return F.when(repeated, let(let(pairs, positions), union)).otherwise(F.lit(0).cast("long"))
 
@@ -82,13 +83,13 @@ def repeat_words(w: Column) -> Column:
 
 def counts(text: Column) -> Column:
     """Struct of all raw counts of one text."""
-    stop = F.array(*[F.lit(w) for w in ALL_STOP_WORDS])
+    stop, longest = F.array(*[F.lit(w) for w in ALL_STOP_WORDS]), max(map(len, ALL_STOP_WORDS))
 
     def from_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeat_words(w).alias("n_repeat_words"),
-            F.size(F.array_intersect(F.transform(F.array_distinct(w), F.lower), stop)).cast("long").alias("n_stop_words"),
+            F.size(F.array_intersect(F.transform(F.filter(w, lambda x: F.length(x) <= longest), F.lower), stop)).cast("long").alias("n_stop_words"),
             F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
         )
 
@@ -103,7 +104,7 @@ def counts(text: Column) -> Column:
     return F.struct(
         let(words(text), from_words).alias("w"),
         let(lines_with_words(text), from_lines).alias("l"),
-        F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
+        F.length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \t\n\x0b\x0c\r", text)).cast("long").alias("word_chars"),
         symbol_count(text).alias("n_symbols"),
         F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
