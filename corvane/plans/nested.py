@@ -284,9 +284,23 @@ def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pass_counts(scored(spark, sf_dir), ["lang"], "score", THRESHOLDS)
 
 
-@query("working_points")
+def interval_sql(counts: str, keys: str) -> str:
+    """Exact intervals of rows (keys, passed, total) by bisection of binomial sums."""
+    term = "exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln((lo + hi) / 2) + (total - i) * ln(1 - (lo + hi) / 2))"
+    tail = f"CASE WHEN upper THEN list_sum([{term} for i in range(0, passed + 1)]) > 0.1586555 ELSE list_sum([{term} for i in range(passed, total + 1)]) < 0.1586555 END"
+    return f"""
+    WITH RECURSIVE c AS ({counts}), b AS (SELECT *, 0 AS it, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM c, (SELECT unnest([false, true]) AS upper) UNION ALL
+      SELECT {keys}, passed, total, upper, it + 1, CASE WHEN {tail} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {tail} THEN hi ELSE (lo + hi) / 2 END FROM b WHERE it < 50),
+    e AS (SELECT * FROM b WHERE it = 50)
+    SELECT {", ".join(f"c.{k.strip()}" for k in keys.split(","))}, c.passed, c.total, round(c.passed / c.total, 6) AS efficiency, CASE WHEN c.passed = 0 THEN 0 ELSE round(l.lo, 6) END AS low, CASE WHEN c.passed = c.total THEN 1 ELSE round(h.lo, 6) END AS high
+    FROM c JOIN e l ON NOT l.upper AND {" AND ".join(f"l.{k.strip()} = c.{k.strip()}" for k in keys.split(","))} JOIN e h ON h.upper AND {" AND ".join(f"h.{k.strip()} = c.{k.strip()}" for k in keys.split(","))}
+    """
+
+
+@query("working_points", interval_sql(f"SELECT truth, t AS threshold, count(*) FILTER (score > t) AS passed, count(*) AS total FROM ({SCORED_SQL}), (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS t) GROUP BY ALL", "truth, threshold"))
 def working_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.with_interval(metrics.pass_counts(scored(spark, sf_dir), ["truth"], "score", THRESHOLDS))
+    found = metrics.with_interval(metrics.pass_counts(scored(spark, sf_dir), ["truth"], "score", THRESHOLDS))
+    return found.select("truth", "threshold", "passed", "total", *[r6(c, c) for c in ("efficiency", "low", "high")])
 
 
 @query("diff_efficiency", f"SELECT k, count(*) FILTER (quality = 1) AS passed, count(*) AS total, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 9) AS efficiency FROM (SELECT quality, (n_chars > 500)::INT + (n_chars > 2000)::INT + (n_chars > 8000)::INT AS k FROM labels JOIN documents USING (doc_id)) GROUP BY 1")
@@ -296,9 +310,10 @@ def diff_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_interval(c).select("k", "passed", "total", F.round("efficiency", 9).alias("efficiency"))
 
 
-@query("clopper_pearson")
+@query("clopper_pearson", interval_sql("SELECT passed AS k, passed, 20::BIGINT AS total FROM (SELECT unnest(range(21)) AS passed)", "k"))
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.with_interval(spark.createDataFrame([(k, 20) for k in range(21)], "passed bigint, total bigint"))
+    found = metrics.with_interval(spark.createDataFrame([(k, k, 20) for k in range(21)], "k bigint, passed bigint, total bigint"))
+    return found.select("k", "passed", "total", *[r6(c, c) for c in ("efficiency", "low", "high")])
 
 
 @query(
