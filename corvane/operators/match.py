@@ -93,6 +93,15 @@ def near_any(a: DataFrame, b: DataFrame, event: list[str], key: list[str], radiu
     return near_pairs(a, b, event, radius).select(*event, *key).distinct()
 
 
+def near_any_of(a: DataFrame, references: list[tuple[DataFrame, float]], event: list[str], key: list[str]) -> DataFrame:
+    """(event, key) of rows of a within the cone of a row of any collection, each of which has its radius."""
+    found = None
+    for b, radius in references:
+        own = near_any(a, b, event, key, radius)
+        found = own if found is None else found.unionAll(own)
+    return found.distinct()
+
+
 def closure(start: DataFrame, links: DataFrame) -> DataFrame:
     """(root, node) of all nodes that can be reached from start (root, node) over links (a, b) in both directions: those
     of the start's component. A node without links reaches itself."""

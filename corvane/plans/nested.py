@@ -116,6 +116,16 @@ def cone_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.near_any(p, p.where("label = 1"), ["event"], ["vec_id"], 0.5).groupBy("event").agg(F.count("*").alias("kept"))
 
 
+@query(
+    "cone_semi_axes",
+    f"WITH p AS ({POINT_SQL}) SELECT vec_id FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.event = a.event AND b.label < 2 AND sqrt((a.eta - b.eta) ^ 2 + ({DPHI_SQL.format(d='(a.phi - b.phi)')}) ^ 2) < CASE b.label WHEN 0 THEN 0.3 ELSE 0.6 END)",
+)
+def cone_semi_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects within the cone of any axis, whose radius is that of the axis's kind."""
+    p = points(spark, sf_dir).select("event", "vec_id", "label", "eta", "phi")
+    return match.near_any_of(p, [(p.where("label = 0"), 0.3), (p.where("label = 1"), 0.6)], ["event"], ["vec_id"]).select("vec_id")
+
+
 @query(
     "closure",
     """
@@ -276,6 +286,14 @@ def nearest_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.max(F.when(F.col("tpr") >= 0.8, F.col("threshold"))).alias("at_least"), near["threshold"].alias("nearest"))
 
 
+@query("nearest_within", ROC_SQL + " SELECT x AS target, (SELECT CASE WHEN abs(tpr - x) <= 0.01 THEN threshold END FROM c ORDER BY abs(tpr - x), threshold LIMIT 1) AS threshold FROM (SELECT unnest([0.25, 0.5, 0.9]::DOUBLE[]) AS x)")
+def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold nearest to an efficiency, where one is near enough."""
+    c = metrics.roc(scored(spark, sf_dir), [], "score", F.col("truth"))
+    found = [metrics.nearest_to(c, x).select(F.lit(x).alias("target"), "threshold") for x in (0.25, 0.5, 0.9)]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 THRESHOLDS = [500.0, 1500.0, 3000.0]
 
 
@@ -303,11 +321,11 @@ def working_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("truth", "threshold", "passed", "total", *[r6(c, c) for c in ("efficiency", "low", "high")])
 
 
-@query("diff_efficiency", f"SELECT k, count(*) FILTER (quality = 1) AS passed, count(*) AS total, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 9) AS efficiency FROM (SELECT quality, (n_chars > 500)::INT + (n_chars > 2000)::INT + (n_chars > 8000)::INT AS k FROM labels JOIN documents USING (doc_id)) GROUP BY 1")
+@query("diff_efficiency", interval_sql("SELECT k, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM (SELECT quality, (n_chars > 500)::INT + (n_chars > 2000)::INT + (n_chars > 8000)::INT AS k FROM labels JOIN documents USING (doc_id)) GROUP BY 1", "k"))
 def diff_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = sum(((F.col("score") > e).cast("int") for e in (500.0, 2000.0, 8000.0)), F.lit(0))
     c = scored(spark, sf_dir).groupBy(k.alias("k")).agg(F.count_if("truth").alias("passed"), F.count("*").alias("total"))
-    return metrics.with_interval(c).select("k", "passed", "total", F.round("efficiency", 9).alias("efficiency"))
+    return metrics.with_interval(c).select("k", "passed", "total", *[r6(x, x) for x in ("efficiency", "low", "high")])
 
 
 @query("clopper_pearson", interval_sql("SELECT passed AS k, passed, 20::BIGINT AS total FROM (SELECT unnest(range(21)) AS passed)", "k"))

@@ -46,6 +46,18 @@ def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("match", "sample").agg(F.count("*").alias("n")).withColumn("class", classify.candidate_class(F.col("match"), F.col("sample")))
 
 
+OPEN_SQL = MATCH_SQL.replace("<= 0.2", "< 0.2")
+
+
+@query("classify_open_edge", f"SELECT m AS match, count(*) AS n FROM (SELECT {OPEN_SQL} AS m FROM (SELECT *, (l_partkey % 5 + 1)::INT AS k FROM lineitem)) GROUP BY 1")
+def classify_open_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match by kind with its distance below the edge instead of up to it."""
+    kind = (F.col("l_partkey") % 5 + 1).cast("int")
+    lepton, jet = F.when(F.col("l_linenumber") >= 3, 0).otherwise(-1), F.when(F.col("l_tax") > 0.02, 0).otherwise(-1)
+    m = classify.gen_match(kind, lepton, jet, F.col("l_discount") * 4, F.col("l_quantity"), edge_open=True)
+    return items(spark, sf_dir).groupBy(m.alias("match")).agg(F.count("*").alias("n"))
+
+
 @query("classify_variants", "SELECT CASE WHEN l_linenumber > 2 AND l_quantity > 20 AND l_tax < 2.4 THEN CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_linestatus = 'O' AND l_discount > 0.05 THEN 0 END END AS kind, count(*) AS n, count(*) FILTER (l_linenumber > 2 AND l_quantity > 20 AND l_returnflag = 'A' AND l_discount < 0.04) AS cut FROM lineitem GROUP BY 1")
 def classify_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     tau, plain = F.col("l_returnflag") == "A", (F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.05)
