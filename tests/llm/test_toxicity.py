@@ -76,8 +76,8 @@ def test_model_agrees_with_one_made_by_hand(spark):
         assert memo[w.encode()] == pytest.approx(x, abs=1e-9)
     text = "Vile fool, W1 unheard-of!"
     assert toxicity.normalised(memo, text) == pytest.approx((expect["vile"] + expect["fool"] + expect["w1"]) / (4 + PRIOR_LENGTH), abs=1e-9)
-    odd = spark.createDataFrame([(1, "vile"), (2, "vile fool"), (3, "Vile, fool! vile fool vile"), (4, "wholly unheard of"), (5, None), (6, " w1 w2 w3 "), (7, "w1 vile")], "doc_id long, text string")
-    assert {r.doc_id: r.toxicity.predicted for r in toxicity.score(odd, model).collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    odd = spark.createDataFrame([(1, "vile"), (2, "vile fool"), (3, "Vile, fool! vile fool vile"), (4, "wholly unheard of"), (5, None), (6, " w1 w2 w3 "), (7, "w1\u00a0vile")], "doc_id long, text string")
+    assert {r.doc_id: r.toxicity.predicted for r in toxicity.score(odd, model).collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0}
 
 
 def test_odd_rows(spark):
