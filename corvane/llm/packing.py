@@ -98,7 +98,8 @@ def pieces(documents: list[tuple[int | None, bytes]], first_sequence: int, capac
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", capacity: int = WINDOW) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned
     32-bit numbers). Each document is its text's ids and then end_id; a null or empty text has end_id alone. Repeated
-    rows and null keys are packed like others. Sequence ids are unique but not dense. Other columns are not read."""
+    rows and null keys are packed like others. Sequence ids are unique but not dense. Other columns are not read,
+    and an empty table gives no piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_file), end_id.to_bytes(4, "little")

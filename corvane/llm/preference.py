@@ -19,7 +19,8 @@ TURNS = "array<struct<role:string,text:string>>"
 
 def turns_of(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(key, turns): the turns of each conversation in order; null texts count as empty and null roles as user. Turns of
-    one number are ordered by role and text; rows without a key are one conversation."""
+    one number are ordered by role and text; rows without a key are one conversation. Other columns are not read. An empty
+    table has no conversation. A conversation is one record, so its turns must fit into a row."""
     turn = F.struct(F.col(order).alias("o"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy(F.col(key).alias(key)).agg(ordered.alias("turns"))
@@ -58,7 +59,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """pairs with a struct column `result`: n_common, prompt, chosen and rejected completions and their masks (spans in
     code points of the completion); an input column of that name is replaced. chosen and rejected are arrays of
     struct(role, text). A null array counts as empty. Where both are alike, or one begins the other, the completion that
-    has nothing more is empty and has no span. Repeated rows give repeated rows."""
+    has nothing more is empty and has no span. Repeated rows give repeated rows, and an empty table an empty table."""
     c, r = fresh(pairs, "chosen"), fresh(pairs, "rejected")
     none = F.array().cast(TURNS)
     clean = lambda name: F.transform(F.coalesce(F.col(name).cast(TURNS), none), lambda t: F.struct(F.coalesce(t["role"], F.lit("user")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))

@@ -145,7 +145,8 @@ def compile_rules(c: Column, rules: list[Rule]) -> Column:
 
 def assess(docs: DataFrame, text: str = "text", result: str = "quality", rules: list[Rule] | None = None) -> DataFrame:
     """docs with a struct column `result` of counts, broken rules, base_failed and kept; an input column of that name is
-    replaced, all others stay. Null and empty texts have no words and fail. Repeated rows are judged alike."""
+    replaced, all others stay. Null and empty texts have no words and fail. Repeated rows are judged alike, and
+    an empty table gives an empty table."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def judged(c: Column) -> Column:

@@ -150,6 +150,21 @@ def test_op8_odd_conversations(spark, tmp_path):
     assert out[3].rejected == shown([("assistant", "")]) and out[3].rejected_mask == "22:32"
 
 
+def test_conversations_empty_long_and_with_clashing_columns(spark):
+    ddl = "conv_id long, turn long, role string, text string, turns string, Preference int"
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} " * 50, "x", 1) for i in range(2001)] + [(2, 0, "user", "x" * 300_000, None, None)]
+    df = spark.createDataFrame(rows, ddl)
+    pairs = preference.with_rejected(preference.turns_of(df))
+    out = {r.conv_id: r.preference for r in preference.format_pairs(pairs).collect()}
+    chosen = [(r[2], r[3]) for r in rows[:2001]]
+    n = 1999  # up to the last assistant turn
+    assert out[1].n_common == n and out[1].prompt == shown(chosen[:n]) and out[1].chosen == shown(chosen[n:])
+    assert out[1].rejected == shown([("assistant", rows[1997][3])])
+    assert out[2].n_common == 1 and len(out[2].prompt) > 300_000 and out[2].chosen == out[2].rejected == ""
+    none = preference.format_pairs(preference.with_rejected(preference.turns_of(df.limit(0))))
+    assert none.count() == 0 and "preference" in none.columns
+
+
 def reference_rule(host, path):
     fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits, key=lambda x: len(x[0]), default=(None, None))
