@@ -143,5 +143,56 @@ def near_duplicates(size: int = 4, percent: int = 80) -> str:
     """
 
 
+def ranking(k: int) -> str:
+    term = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+    words = lambda key, table: f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{term}')) AS w FROM {table}"
+    return f"""
+    WITH d AS ({words("doc_id", "documents")}
+    ), lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+    ), whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths
+    ), q AS (SELECT item_id, w, count(*) AS times FROM ({words("item_id", "benchmark")}) GROUP BY ALL
+    ), tf AS (SELECT doc_id, w, count(*) AS tf FROM d WHERE w IN (SELECT w FROM q) GROUP BY ALL
+    ), weights AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, whole GROUP BY w, docs
+    ), impacts AS (
+      SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))) AS s
+      FROM tf JOIN weights USING (w) JOIN lengths USING (doc_id), whole
+    ), scores AS (SELECT item_id, doc_id, sum(times * s)::BIGINT AS score FROM q JOIN impacts USING (w) GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= {k}
+    """
+
+
+def inner_products(k: int, scale: int, every: int) -> str:
+    return f"""
+    WITH v AS (
+      SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scores AS (
+      SELECT q.row, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v AS q JOIN v ON q.row <> v.row WHERE q.vec_id % {every} = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores QUALIFY rank <= {k}
+    """
+
+
+def centroids(clusters: int, rounds: int, scale: int, size: int, seed: int) -> str:
+    """Every round as a pair of tables: the nearest centroid of each vector, then the new centroids. Ids are unique."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{r} AS c USING (i) GROUP BY ALL
+        ), a{r} AS MATERIALIZED (SELECT vec_id, min(k) AS k, d FROM d{r} JOIN (SELECT vec_id, min(d) AS d FROM d{r} GROUP BY vec_id) USING (vec_id, d) GROUP BY vec_id, d)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY k, i
+            ), c{r + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{r} LEFT JOIN s{r} USING (k, i))""")
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, unnest(range(1, {size} + 1)) AS i, floor({scale} * unnest(embedding)::DOUBLE)::BIGINT AS x FROM embeddings
+      WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), starts AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM v) QUALIFY k < {clusters}
+    ), c0 AS MATERIALIZED (SELECT k, i, x FROM v JOIN starts USING (vec_id)
+    ), {", ".join(steps)}
+    SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+    FROM a{rounds} JOIN (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k) USING (k)
+    """
+
+
 def sql() -> dict[str, str]:
-    return {"op4_licenses": licences(), "op5_quality": quality_rules(), "op7_decontam": leaks(), "op8_preference": preferences(), "op10_neardup": near_duplicates()}
+    return {"op4_licenses": licences(), "op5_quality": quality_rules(), "op7_decontam": leaks(), "op8_preference": preferences(), "op10_neardup": near_duplicates(), "op11_lexical": ranking(20), "op12_topk": inner_products(5, 256, 50), "op13_lloyd": centroids(8, 10, 1024, 64, 3)}

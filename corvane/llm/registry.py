@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, licenses, neardup, oracles, packing, preference, quality, secrets, tokenfile, toxicity, urls
+from corvane.llm import decontam, lexical, licenses, lloyd, neardup, normsearch, oracles, packing, preference, quality, secrets, tokenfile, toxicity, urls
 from corvane.llm.common import Scratch
 
 
@@ -81,7 +81,19 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = (op1_secrets, op2_token_files, op3_toxicity, op4_licenses, op5_quality, op6_packing, op7_decontam, op8_preference, op9_urls, op10_neardup)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normsearch.top(read(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings"), clusters=8, rounds=10, scale=1024, size=64, seed=3)
+
+
+QUERIES = (op1_secrets, op2_token_files, op3_toxicity, op4_licenses, op5_quality, op6_packing, op7_decontam, op8_preference, op9_urls, op10_neardup, op11_lexical, op12_topk, op13_lloyd)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
