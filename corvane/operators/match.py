@@ -134,6 +134,21 @@ def merge_first_wins(rows: DataFrame, event: str, radius: float = 0.01, toleranc
     return rows.groupBy(event).applyInPandas(run, f"{event} {kind}, eta double, phi double, pt double, bits int")
 
 
+def pair_matrix(df: DataFrame, keys: list[str], items: Column, scores: Column, most: int, fields: list[str]) -> DataFrame:
+    """(keys, head, i, j, fields of i as a_..., of j as b_..., score): all ordered pairs of one row's items (structs), the
+    item with itself included, beside the score matrix of each head (head, i, j). A row of more than `most` items, which
+    would make most * most pairs, is an error, as is a matrix of another size. Rows without items have no pairs."""
+    n = F.size(items)
+    square = F.forall(scores, lambda m: (F.size(m) == n) & F.forall(m, lambda row: F.size(row) == n))
+    checked = F.when(n > most, F.raise_error(F.concat(F.lit(f"a row has more than {most} items: "), n.cast("string"))).cast("boolean")).when(~square, F.raise_error(F.lit("scores and items differ in size")).cast("boolean")).otherwise(True)
+    rows = df.select(*keys, items.alias("__items"), scores.alias("__scores")).where(checked)
+    heads = rows.select(*keys, "__items", F.posexplode("__scores").alias("head", "__m"))
+    first = heads.select(*keys, "head", "__items", F.posexplode(F.arrays_zip("__items", "__m")).alias("i", "__a"))
+    pairs = first.select(*keys, "head", "i", F.col("__a")["__items"].alias("__x"), F.posexplode(F.arrays_zip("__items", F.col("__a")["__m"].alias("s"))).alias("j", "__b"))
+    ends = [F.col(x)[f].alias(f"{name}_{f}") for name, x in (("a", "__x"), ("b", "__b.__items")) for f in fields]
+    return pairs.select(*keys, "head", "i", "j", *ends, F.col("__b")["s"].alias("score"))
+
+
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, keys: list[str] | None = None) -> DataFrame:
     """Points inside [low, high): an equi join on cells of the given width, then the exact test."""
     cell = lambda c: F.floor(F.col(c) / width).cast("long")

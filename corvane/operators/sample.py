@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import uniform
@@ -59,3 +59,38 @@ def even_shares(files: DataFrame, kind: str) -> DataFrame:
     own = files.groupBy(kind).agg(F.count("*").alias("__n"))
     kinds = own.agg(F.count("*").alias("__k"))
     return files.join(F.broadcast(own.join(kinds)), kind).withColumn("share", 1 / (F.col("__n") * F.col("__k"))).drop("__n", "__k")
+
+
+#: Sources of a mixing loop, at most; their bounds are part of the plan.
+SOURCES = 1_000
+
+
+def drawn(spark: SparkSession, sizes: list[tuple[str, int]], seed: int, shares: dict[str, float] | None = None) -> DataFrame:
+    """(step, source, turn) of a loop that draws a source at every step, with chances in proportion to its rows or to the
+    shares, and takes its next row: the turn is how often it was drawn before. The loop ends before the first draw of a
+    source without rows left. By then it has taken at most all rows, so one step more than rows is enough to find it."""
+    if len(sizes) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    total, chances = sum(n for _, n in sizes), [float(shares.get(s, 0.0) if shares else n) for s, n in sizes]
+    uppers, whole = [], sum(chances)
+    for k in range(len(chances)):
+        uppers.append(sum(chances[: k + 1]) / whole)
+    if not whole:
+        return spark.createDataFrame([], "step bigint, source string, turn bigint")
+    u = uniform(seed, F.col("step"))
+    chosen = F.get(F.array(*[F.lit(s) for s, _ in sizes]), F.size(F.filter(F.array(*map(F.lit, uppers)), lambda e: e <= u)))
+    steps = spark.range(total + 1).select(F.col("id").alias("step")).select("step", chosen.alias("source"))
+    placed = order.numbered(steps, [F.col("step")], "turn", ["source"])
+    rows = F.create_map(*[F.lit(x) for pair in sizes for x in pair])
+    end = placed.where(F.col("turn") == F.try_element_at(rows, F.col("source"))).agg(F.min("step")).first()[0]
+    return placed.where(F.col("step") < end)
+
+
+def mixed(df: DataFrame, source: Column, key: list[Column], seed: int, shares: dict[str, float] | None = None) -> DataFrame:
+    """Rows that a mixing loop takes, with their source and step: each source gives its rows in an order that the seed and
+    key decide, and nothing follows the step at which a source that has run out is drawn. Rows without a source, or with
+    one that has no share, are never taken."""
+    rows = df.withColumns({"source": source.cast("string"), "__u": uniform(seed + 1, *key)}).where("source is not null")
+    sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(SOURCES + 1).collect()]
+    placed = order.numbered(rows, [F.col("__u"), *key], "turn", ["source"]).drop("__u")
+    return placed.join(drawn(df.sparkSession, sizes, seed, shares), ["source", "turn"]).drop("turn")

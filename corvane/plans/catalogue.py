@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.plans import estimates, histograms, mixing, more, nested, relational, selection, statistics, training  # noqa: F401 (registers its queries)
+from corvane.plans import decays, estimates, histograms, loops, mixing, more, nested, relational, selection, statistics, training  # noqa: F401 (registers its queries)
 from corvane.queries import ORACLES, QUERIES, query, table
 
 
