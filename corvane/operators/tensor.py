@@ -36,10 +36,9 @@ def top_of_cell(items: DataFrame, keys: list[str], by: list[Column]) -> DataFram
 INNER, OUTER, ISOLATION_CONE = (11, 0.02), (21, 0.05), 0.5
 
 
-def grids(objects: DataFrame, candidate: list[str], by: list[Column], kind: str = "type", remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
-    """First object of each kind and cell, by the order, with the number n of objects there: objects inside the signal
-    cone in the inner grid (column inner), those inside the isolation cone in the outer one, which may leave out the
-    signal cone. objects: candidate keys, kind, pt, eta, phi, and the candidate's tau_pt, tau_eta and tau_phi."""
+def in_cells(objects: DataFrame, remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
+    """Rows of grids() before the choice of the first: each object once for every grid that it enters, with inner and
+    cell."""
     deta, dphi = F.col("eta") - F.col("tau_eta"), delta_phi(F.col("phi"), F.col("tau_phi"))
     placed = objects.withColumns({"__x": deta, "__y": dphi, "__r": F.hypot(deta, dphi)})
     signal = F.col("__r") < signal_cone(F.col("tau_pt"))
@@ -51,7 +50,14 @@ def grids(objects: DataFrame, candidate: list[str], by: list[Column], kind: str
         return F.when(inside & at.isNotNull(), F.struct(F.lit(flag).alias("inner"), at.cast("int").alias("cell")))
 
     entries = F.explode(F.filter(F.array(cells(signal, True, inner), cells(around, False, outer)), lambda e: e.isNotNull()))
-    rows = placed.withColumn("__e", entries).select(*objects.columns, "__e.inner", "__e.cell")
+    return placed.withColumn("__e", entries).select(*objects.columns, "__e.inner", "__e.cell")
+
+
+def grids(objects: DataFrame, candidate: list[str], by: list[Column], kind: str = "type", remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
+    """First object of each kind and cell, by the order, with the number n of objects there: objects inside the signal
+    cone in the inner grid (column inner), those inside the isolation cone in the outer one, which may leave out the
+    signal cone. objects: candidate keys, kind, pt, eta, phi, and the candidate's tau_pt, tau_eta and tau_phi."""
+    rows = in_cells(objects, remove_inner, inner, outer)
     w = Window.partitionBy(*candidate, kind, "inner", "cell")
     return rows.withColumns({"n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(*by))}).where("__k = 1").drop("__k")
 
@@ -128,3 +134,31 @@ def split_by_file(df: DataFrame, file: str, share: float) -> DataFrame:
     files = order.numbered(df.select(file).distinct(), [F.col(file)], "__k", total="__n")
     flags = files.select(file, (F.col("__k") < F.floor(F.col("__n") * share)).alias("training"))
     return df.join(flags, file)
+
+
+def cell_vectors(objects: DataFrame, candidate: list[str], index: str, of: Callable[[str, Column, Column], Column], whole: Callable[[Column], Column], kinds: list[str], remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
+    """One row for each cell that holds an object: (candidate, inner, cell, global, and for each kind the features of its
+    object with the highest pt, the smaller index of equals, null where the cell has none). objects has the columns of
+    grids(), `kind`, an index and the struct `object`; of(kind, object, inner) makes the features of an object, whole(inner)
+    those that every cell has. Features are made before the grouping, whose partial results hold one object a kind."""
+    rows = in_cells(objects, remove_inner, inner, outer)
+    made = F.lit(None).cast("array<float>")
+    for kind in kinds:
+        made = F.when(F.col("kind") == kind, of(kind, F.col("object"), F.col("inner"))).otherwise(made)
+    rows = rows.select(*candidate, "inner", "cell", "kind", F.struct("pt", (-F.col(index)).alias("i")).alias("__o"), made.alias("__f"), whole(F.col("inner")).alias("__g"))
+    best = [F.max_by("__f", F.when(F.col("kind") == k, F.col("__o"))).alias(k) for k in kinds]
+    return rows.groupBy(*candidate, "inner", "cell").agg(F.any_value("__g").alias("global"), *best)
+
+
+def dense(cells: DataFrame, candidate: list[str], widths: dict[str, int], inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
+    """One row for each candidate and grid with an object: for each column of features, of so many numbers, the whole grid
+    as one array (cells in order of eta, then phi, then features), zeros where there is nothing. A grid has at most the
+    square of its side's cells, so a row is bounded."""
+    n = F.when(F.col("inner"), F.lit(inner[0] ** 2)).otherwise(F.lit(outer[0] ** 2))
+    found = cells.groupBy(*candidate, "inner").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct(*widths).alias("v")))).alias("__m"))
+
+    def column(name: str, width: int) -> Column:
+        zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.coalesce(F.try_element_at(F.col("__m"), c)[name], zeros))).alias(name)
+
+    return found.select(*candidate, "inner", *[column(*w) for w in widths.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import features
+from corvane.functions import cells, features
 from corvane.operators import tensor
 from corvane.queries import query, table
 
@@ -162,3 +162,88 @@ def cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = [F.desc("pt"), F.col("l_linenumber"), F.col("l_partkey")]
     found = tensor.grids(p, ["l_orderkey"], best, remove_inner=True)
     return found.select("l_orderkey", "type", "inner", "cell", "n", F.col("l_linenumber").alias("line"), F.round(F.try_divide("pt", "tau_pt"), 6).alias("rel_pt"))
+
+
+#: Columns of an object of any type, made of a line's.
+ANY_OBJECT = PARTICLE | {n: e for n, e in (ELECTRON | MUON).items() if n not in PARTICLE} | {"timeError": f"{D} - 0.03", "time": f"{X} * 2", "tauLeadChargedHadrCand": f"{N} % 2"}
+ANY_OBJECT |= {n: f"{Q} / {k + 3} - 1" for k, n in enumerate(["pvAssociationQuality", "fromPV", "puppiWeight", "puppiWeightNoLep", "charge", *cells.HITS, "hcalFraction", "rawCaloFraction", *cells.ELECTRON_RATIOS, *cells.ELECTRON_INPUTS, "gsfTrack_normalizedChi2", "gsfTrack_numberOfValidHits", "segmentCompatibility", "caloCompatibility", *cells.MUON_COUNTS])}
+ANY_OBJECT = {n: e for n, e in ANY_OBJECT.items() if n not in PLACE}
+AROUND = ORDER | {"rho": "o_totalprice / 10007.3", "tau_inside_ecal_crack": "o_custkey % 2", "pv_t": "o_custkey % 5 - 2", "pv_tE": "o_custkey % 3"}
+KINDS = list(cells.FEATURES)
+#: Scaling of the place in the grid, as an example of one that hangs on the grid; other features stay.
+BOUNDS = cells.linear(-0.5, 0.5, inner=(-0.1, 0.1))
+
+
+def scaled(kind: str, name: str, value, inner):
+    return BOUNDS(value, inner) if name in ("deta", "dphi") else value
+
+
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of both grids with the features of seven types."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), *[F.expr(e).cast("double").alias(n) for n, e in AROUND.items()])
+    p = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").withColumns({n: F.expr(e).cast("double") for n, e in NEAR_PLACE.items()})
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_suppkey") % 7 + 1).cast("int"))
+    obj = F.struct(*[F.col(n) for n in NEAR_PLACE], *[F.expr(e).cast("double").alias(n) for n, e in ANY_OBJECT.items()])
+    rows = p.select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("index"), kind.alias("kind"), *NEAR_PLACE, *AROUND, obj.alias("object"))
+    return tensor.cell_vectors(rows, ["l_orderkey"], "index", lambda k, x, i: cells.vector(k, x, i, scale=scaled), lambda i: cells.global_vector(i, scale=scaled), KINDS, remove_inner=True)
+
+
+WIDTHS = {"global": len(cells.GLOBAL), "pf_charged": len(cells.FEATURES["pf_charged"])}
+
+
+def charged_sql() -> str:
+    """Features of charged hadrons, type 2, and those of the candidate, in the order of cells.FEATURES."""
+    zero = lambda good, x: f"CASE WHEN {good} THEN {x} ELSE 0 END"
+    place = lambda x: f"least(greatest({x} / CASE WHEN \"inner\" THEN 0.1 ELSE 0.5 END, -1), 1)"
+    track, timed, fitted = "hasTrackDetails = 1", "timeError >= 0", "hasTrackDetails = 1 AND track_ndof > 0"
+    out = {"valid": "1", "rel_pt": "pt / tau_pt", "deta": place("deta"), "dphi": place("dphi"), "hasTrackDetails": f"({track})::INT", "hasTimeDetails": f"({timed})::INT"}
+    out |= {f"vertex_d{a}": f"vertex_{a} - pv_{a}" for a in "xyz"} | {f"vertex_d{a}_tauFL": f"vertex_{a} - pv_{a} - tau_flightLength_{a}" for a in "xyz"}
+    for v in ("dxy", "dz"):
+        out |= {v: zero(track, v), f"{v}_sig": zero(f"{track} AND {v}_error <> 0", f"abs({v}) / {v}_error")}
+    out |= {"time": zero(timed, "time"), "vertex_dt": zero(timed, "time - pv_t"), "time_sig": zero("timeError > 0", "abs(time - pv_t) / timeError"), "track_chi2_ndof": zero(fitted, "track_chi2 / track_ndof"), "track_ndof": zero(fitted, "track_ndof")}
+    return ", ".join(f"round(({out.get(n, n)})::FLOAT, 4)::FLOAT" for n in cells.FEATURES["pf_charged"])
+
+
+def grid_sql(inner: bool) -> str:
+    size, n = (0.02, 11) if inner else (0.05, 21)
+    k = lambda x: f"((floor(abs({x}) / {size} + 0.5) * sign({x}))::INT + {n // 2})"
+    cone = "greatest(3 / greatest(tau_pt, 30), 0.05)"
+    return f"SELECT * FROM (SELECT *, {str(inner).lower()} AS \"inner\", {k('deta')} AS ce, {k('dphi')} AS cp, {n} AS side FROM (SELECT *, sqrt(deta ^ 2 + dphi ^ 2) AS r FROM near) WHERE {f'r < {cone}' if inner else f'r < 0.5 AND r >= {cone}'}) WHERE ce BETWEEN 0 AND {n - 1} AND cp BETWEEN 0 AND {n - 1}"
+
+
+CELLS_SQL = f"""
+    o AS (SELECT o_orderkey AS l_orderkey, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in AROUND.items())} FROM orders),
+    p AS (SELECT o.*, l_linenumber * 1000000 + l_partkey AS index, l_suppkey % 7 AS kind, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in (NEAR_PLACE | ANY_OBJECT).items())} FROM lineitem JOIN o USING (l_orderkey)),
+    near AS (SELECT *, eta - tau_eta AS deta, CASE WHEN phi - tau_phi > pi() THEN phi - tau_phi - 2 * pi() WHEN phi - tau_phi <= -pi() THEN phi - tau_phi + 2 * pi() ELSE phi - tau_phi END AS dphi FROM p),
+    placed AS ({grid_sql(True)} UNION ALL {grid_sql(False)}),
+    full_cells AS (SELECT l_orderkey, "inner", ce * side + cp AS cell, any_value([round(rho::FLOAT, 4)::FLOAT, round(tau_pt::FLOAT, 4)::FLOAT, round(tau_eta::FLOAT, 4)::FLOAT, tau_inside_ecal_crack::FLOAT, pv_t::FLOAT, round((CASE WHEN pv_tE <> 0 THEN abs(pv_t) / pv_tE ELSE 0 END)::FLOAT, 4)::FLOAT]) AS "global", count(DISTINCT kind) AS kinds FROM placed GROUP BY ALL),
+    charged AS (SELECT l_orderkey, "inner", ce * side + cp AS cell, [{charged_sql()}] AS f FROM placed WHERE kind = {KINDS.index("pf_charged")} QUALIFY row_number() OVER (PARTITION BY l_orderkey, "inner", ce * side + cp ORDER BY pt DESC, index) = 1)
+"""
+
+
+def floats(c, name: str):
+    return F.transform(c, lambda x: F.round(x, 4)).alias(name)
+
+
+@query("cell_vectors", f'WITH {CELLS_SQL} SELECT l_orderkey, "inner", cell, "global", kinds::INT AS kinds, f AS pf_charged FROM full_cells LEFT JOIN charged USING (l_orderkey, "inner", cell)')
+def cell_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse cells: features of the candidate and of charged hadrons, and how many of the seven types a cell has."""
+    kinds = sum((F.col(k).isNotNull().cast("int") for k in KINDS), F.lit(0))
+    return cell_rows(spark, sf_dir).select("l_orderkey", "inner", "cell", floats("global", "global"), kinds.alias("kinds"), floats("pf_charged", "pf_charged"))
+
+
+@query(
+    "cell_tensor_sums",
+    f"""
+    WITH {CELLS_SQL}, s AS (SELECT l_orderkey, "inner", any_value(CASE WHEN "inner" THEN 121 ELSE 441 END) AS cells, round(sum(list_sum("global"::DOUBLE[])), 2) AS g, sum(coalesce(f[1], 0))::BIGINT AS valid FROM full_cells LEFT JOIN charged USING (l_orderkey, "inner", cell) GROUP BY 1, 2)
+    SELECT l_orderkey, "inner", (cells * {WIDTHS["pf_charged"]})::INT AS size, g AS global_sum, valid FROM s
+    """,
+)
+def cell_tensor_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the dense blocks of candidate and charged hadrons: the size of the second, how many of its cells are filled, and
+    the sum of the first."""
+    total = F.aggregate("global", F.lit(0.0), lambda a, x: a + F.round(x, 4))
+    width = WIDTHS["pf_charged"]
+    valid = F.size(F.filter("pf_charged", lambda x, i: (i % width == 0) & (x == 1))).cast("long")
+    rows = tensor.dense(cell_rows(spark, sf_dir), ["l_orderkey"], WIDTHS)
+    return rows.select("l_orderkey", "inner", F.size("pf_charged").alias("size"), F.round(total, 2).alias("global_sum"), valid.alias("valid"))
