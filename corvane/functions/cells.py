@@ -93,6 +93,11 @@ def muon(kind: str, obj: Column, get: Get) -> dict[str, Column]:
     return out | {"pfEcalEnergy_valid": stopped.cast("double"), "rel_pfEcalEnergy": within(stopped, ratio(obj["pfEcalEnergy"], obj["pt"]))}
 
 
+def usable(values: list[Column]) -> Column:
+    """Values as one array of floats. The test is one step over the array, so that no value's expression is repeated."""
+    return F.transform(F.array(*values), lambda x: F.when(finite(x), x).otherwise(0.0).cast("float"))
+
+
 def vector(kind: str, obj: Column, inner: Column, get: Get = F.col, scale: Scale | None = None) -> Column:
     """Features of an object of a type as an array of floats; those without a rule are the object's own columns."""
     rules = {"electron": electron, "muon": muon}.get(kind, particle)(kind, obj, get)
@@ -102,8 +107,8 @@ def vector(kind: str, obj: Column, inner: Column, get: Get = F.col, scale: Scale
         value = value.cast("double")
         if scale and name != "valid":
             value = scale(kind, name, value, inner)
-        values.append(F.when(finite(value), value).otherwise(0.0).cast("float"))
-    return F.array(*values)
+        values.append(value)
+    return usable(values)
 
 
 def global_vector(inner: Column, get: Get = F.col, scale: Scale | None = None) -> Column:
@@ -113,5 +118,5 @@ def global_vector(inner: Column, get: Get = F.col, scale: Scale | None = None) -
     for name in GLOBAL:
         value = (rules[name] if name in rules else get(name)).cast("double")
         value = scale("global", name, value, inner) if scale else value
-        values.append(F.when(finite(value), value).otherwise(0.0).cast("float"))
-    return F.array(*values)
+        values.append(value)
+    return usable(values)
