@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import significant_digits
-from corvane.operators import order
+from corvane.operators import density, order
+from corvane.sources import shared
 
-#: Distinct values that a density sums over, at most.
-KDE_VALUES = 100_000
 #: Chance below a normal deviate of so many sigmas.
 SIGMA_SHARES = {s: 0.5 * (1 + math.erf(s / math.sqrt(2))) for s in (-5, -3, -2, -1, 1, 2, 3, 5)}
 
@@ -37,18 +38,60 @@ def quantile_block(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return quantiles(df, keys, x, shares).select(*keys, "min", "max", *shares)
 
 
+#: Bins of one step of a selection, and the rows of a bin that are put in order at once.
+SELECTION_BINS, SELECTION_ROWS = 4096, 1_000_000
+
+
+def selected(rows: DataFrame, keys: list[str], wanted: Callable[[Column], list[Column]]) -> DataFrame:
+    """(keys, value, end, count, n) of the distinct values of rows (keys, value: double) that hold a wanted place in order
+    (wanted(n) gives them, from 0): `count` rows have the value, and `end` have it or a smaller one. No value is sorted to
+    find them: each step counts the rows of equal bins between the ends of what is left, and goes on in the bins that hold
+    a place. A bin of one value is done, however many rows have it; a bin or group of few rows is put in order. Infinite
+    values and NaN, the largest, have bins of their own."""
+    finite = ~F.isnan("value") & (F.abs("value") < F.lit(math.inf))
+    ends = [F.min(F.when(finite, F.col("value"))).alias("lo"), F.max(F.when(finite, F.col("value"))).alias("hi")]
+    groups = shared.written(rows.groupBy(*keys).agg(*ends, F.count("*").alias("n")).withColumn("before", F.lit(0).cast("long")), "selection")
+    largest = groups.agg(F.max("n")).first()[0]
+    by, left, found = list(keys), rows, []
+    at = lambda end, n: F.exists(F.array(*wanted(F.col("n"))), lambda p: (p < end) & (p >= end - F.col("count")))
+
+    def in_order(counts: DataFrame, by: list[str], order_by: str) -> DataFrame:
+        end = F.col("before") + F.sum("count").over(Window.partitionBy(*by).orderBy(order_by))
+        return counts.withColumn("end", end).where(at(F.col("end"), F.col("n")))
+
+    while largest and largest > SELECTION_ROWS:
+        name = f"__bin{len(by) - len(keys)}"
+        width = F.col("hi") - F.col("lo")
+        share = F.when(width < math.inf, F.try_divide(F.col("value") - F.col("lo"), width)).otherwise((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        inside = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * SELECTION_BINS), F.lit(SELECTION_BINS - 1))).otherwise(0)
+        k = F.when(F.isnan("value"), SELECTION_BINS + 1).when(F.col("value") == math.inf, SELECTION_BINS).when(F.col("value") == -math.inf, -1).otherwise(inside)
+        placed = order.same(left, groups, by).withColumn(name, k.cast("int")).drop("lo", "hi")
+        counts = placed.groupBy(*by, name, "before", "n").agg(F.count("*").alias("count"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        runs = shared.written(in_order(counts, by, name), "selection")
+        found.append(runs.where("lo = hi").select(*keys, F.col("lo").alias("value"), "end", "count", "n"))
+        open_ = runs.where("lo < hi")
+        largest = open_.agg(F.max("count")).first()[0]
+        by, left = [*by, name], placed.drop("before", "n")
+        groups = open_.withColumn("before", F.col("end") - F.col("count")).drop("end", "count")
+    counts = order.same(left, groups.drop("lo", "hi"), by).groupBy(*by, "value", "before", "n").agg(F.count("*").alias("count"))
+    found.append(in_order(counts, by, "value").select(*keys, "value", "end", "count", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
-    """Quantiles by linear interpolation between sorted values, with min, max and n: rows are numbered in order, and each
-    quantile takes the two rows beside its place, so no group's values are ever held together. Nulls are left out."""
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x")).where("__x is not null")
-    placed = order.numbered(rows, [F.col("__x")], "__n", keys, total="n")
-    wanted = [F.lit(0), F.col("n") - 1, *[f((F.col("n") - 1) * F.lit(s)) for s in shares.values() for f in (F.floor, F.ceil)]]
-    placed = placed.where(F.array_contains(F.array(*wanted), F.col("__n")))
-    found = [F.min("__x").alias("min"), F.max("__x").alias("max"), F.first("n").alias("n")]
-    for name, share in shares.items():
-        at = (F.col("n") - 1) * F.lit(share)
-        found += [F.max(F.when(F.col("__n") == f(at), F.col("__x"))).alias(f"__{side}_{name}") for side, f in (("l", F.floor), ("r", F.ceil))]
-    ends = placed.groupBy(*keys).agg(*found)
+    """Quantiles by linear interpolation between sorted values, with min, max and n, from the values that hold the two
+    places beside each quantile. Nulls are left out."""
+    rows = df.select(*keys, F.col(x).cast("double").alias("value")).where("value is not null")
+
+    def wanted(n: Column) -> list[Column]:
+        return [F.lit(0).cast("long"), n - 1, *[f((n - 1) * F.lit(s)) for s in shares.values() for f in (F.floor, F.ceil)]]
+
+    def held(place: Column) -> Column:
+        return F.max(F.when((place < F.col("end")) & (place >= F.col("end") - F.col("count")), F.col("value")))
+
+    places = {(side, name): f((F.col("n") - 1) * F.lit(share)) for name, share in shares.items() for side, f in (("l", F.floor), ("r", F.ceil))}
+    found = [F.min("value").alias("min"), F.max("value").alias("max"), F.first("n").alias("n"), *[held(p).alias(f"__{side}_{name}") for (side, name), p in places.items()]]
+    ends = selected(rows, keys, wanted).groupBy(*keys).agg(*found)
 
     def value(name: str, share: float) -> Column:
         low, high, at = F.col(f"__l_{name}"), F.col(f"__r_{name}"), (F.col("n") - 1) * F.lit(share)
@@ -110,38 +153,6 @@ def interquartile_range(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return of.select(*keys, iqr.alias("iqr"), (F.lit(2.0) * iqr / F.pow(F.col("n"), F.lit(1.0 / 3.0))).alias("bin_size"))
 
 
-def kde(sample: DataFrame, points: DataFrame, x: str, bandwidth: float) -> DataFrame:
-    """Gaussian density of a sample at each point: the sample's distinct values are one array that every point sums over,
-    so no pair of rows is made. The array is broadcast; a sample of more than KDE_VALUES distinct values is an error, and
-    must be rounded first."""
-    distinct = sample.select(x).distinct().limit(KDE_VALUES + 1).count()
-    if distinct > KDE_VALUES:
-        raise ValueError(f"more than {KDE_VALUES} distinct values: round {x} first")
-    values = sample.groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c")).agg(F.collect_list(F.struct("v", "c")).alias("vs"), F.sum("c").alias("total"))
-    norm = 1 / (bandwidth * math.sqrt(2 * math.pi))
-    kernel = lambda a, s: a + s["c"] * F.exp(-F.pow((F.col(x) - s["v"]) / bandwidth, F.lit(2.0)) / 2)
-    return points.join(F.broadcast(values)).withColumn("density", F.aggregate("vs", F.lit(0.0), kernel) * norm / F.col("total")).drop("vs", "total")
-
-
-def kde_2d(sample: DataFrame, points: DataFrame, x: str, y: str, bandwidths: tuple[float, float], correlation: float = 0.0) -> DataFrame:
-    """Density of pairs at each point with a Gaussian kernel of a correlation. As kde(), it sums over an array of the
-    sample's distinct pairs, of which more than KDE_VALUES are an error."""
-    if sample.select(x, y).distinct().limit(KDE_VALUES + 1).count() > KDE_VALUES:
-        raise ValueError(f"more than {KDE_VALUES} distinct pairs: round {x} and {y} first")
-    free = 1 - correlation * correlation
-    if free <= 0:
-        raise ValueError("the kernel's correlation must be between -1 and 1")
-    norm = 1 / (2 * math.pi * bandwidths[0] * bandwidths[1] * math.sqrt(free))
-    pairs = sample.groupBy(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).agg(F.count("*").cast("double").alias("c"))
-    values = pairs.agg(F.collect_list(F.struct("a", "b", "c")).alias("vs"), F.sum("c").alias("total"))
-
-    def kernel(total: Column, s: Column) -> Column:
-        u, v = (F.col(x) - s["a"]) / bandwidths[0], (F.col(y) - s["b"]) / bandwidths[1]
-        return total + s["c"] * F.exp(-(u * u - 2 * correlation * u * v + v * v) / (2 * free))
-
-    return points.join(F.broadcast(values)).withColumn("density", F.aggregate("vs", F.lit(0.0), kernel) * norm / F.col("total")).drop("vs", "total")
-
-
 def information(sample: DataFrame, x: str, y: str, bandwidths: tuple[float, float]) -> DataFrame:
     """One row of entropies (bits, by kernel densities) of two columns, their mutual information, and scaled_mi, 1 less
     its share of the larger entropy. Fully correlated columns have infinite mutual information; fewer than two rows are
@@ -151,11 +162,11 @@ def information(sample: DataFrame, x: str, y: str, bandwidths: tuple[float, floa
     if n < 2:
         raise ValueError("mutual information needs two rows")
     points = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
-    points = kde(pairs, points, "x", bandwidths[0]).withColumnRenamed("density", "px")
-    points = kde(pairs, points, "y", bandwidths[1]).withColumnRenamed("density", "py")
+    points = density.kde(pairs, points, "x", bandwidths[0]).withColumnRenamed("density", "px")
+    points = density.kde(pairs, points, "y", bandwidths[1]).withColumnRenamed("density", "py")
     bound = correlation is not None and abs(correlation) >= 1
     if not bound:
-        points = kde_2d(pairs, points, "x", "y", bandwidths, correlation or 0.0)
+        points = density.kde_2d(pairs, points, "x", "y", bandwidths, correlation or 0.0)
     mean = lambda e: F.sum(F.col("n") * e) / F.sum("n")
     mi = F.lit(math.inf) if bound else mean(F.log2(F.col("density") / (F.col("px") * F.col("py"))))
     found = points.agg(mean(-F.log2("px")).alias("entropy_x"), mean(-F.log2("py")).alias("entropy_y"), mi.alias("mutual"))

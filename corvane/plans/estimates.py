@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import geometry as geo
 from corvane.functions import numeric
-from corvane.operators import graph, hist, match, metrics, order, sample, stats, tensor
+from corvane.operators import density, graph, hist, match, metrics, order, sample, stats, tensor
 from corvane.operators.hist import Axis
 from corvane.plans.histograms import bin_sql
 from corvane.plans.nested import DPHI_SQL, POINT_SQL, ROC_SQL, SCORED_SQL, points, r6, scored
@@ -49,8 +49,8 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kde_divergence_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     a, r = rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'")
-    at = stats.kde_2d(a, a.groupBy("x", "y").agg(F.count("*").alias("n")), "x", "y", (HX, HY)).withColumnRenamed("density", "p")
-    at = stats.kde_2d(r, at, "x", "y", (HX, HY)).withColumnRenamed("density", "q")
+    at = density.kde_2d(a, a.groupBy("x", "y").agg(F.count("*").alias("n")), "x", "y", (HX, HY)).withColumnRenamed("density", "p")
+    at = density.kde_2d(r, at, "x", "y", (HX, HY)).withColumnRenamed("density", "q")
     mean = lambda e: F.round(F.sum(F.col("n") * e) / F.sum("n"), 9)
     return at.agg(mean(F.log2(F.col("p") / F.col("q"))).alias("kl"), mean(F.log2(F.col("p") / ((F.col("p") + F.col("q")) / 2))).alias("js_half"))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import geometry, spin
+from corvane.operators import density
 from corvane.plans import histograms
 from corvane.queries import query, table
 from corvane.sources import io, shared
@@ -67,63 +67,11 @@ def chunk_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.chunk_chi2(spark, sf_dir).withColumn("p", F.round(p_value("chi2", "bins"), 6))
 
 
-def plug_in_bandwidth(x: np.ndarray, n: np.ndarray, tolerance: float = 0.01) -> float:
-    """Bandwidth h of a Gaussian density by the solve-the-equation plug-in rule of Sheather and Jones (1991), for values x
-    that occur n times: h^5 = 1 / (2 sqrt(pi) N psi4(gamma(h))), where psi_r estimates the density functional of order r
-    and the pilot widths come from a normal density of the sample's deviation."""
-    total = n.sum()
-    spread = math.sqrt(np.cov(x, fweights=n.astype(np.int64)))
-    steps, weights = (x[:, None] - x[None, :]).ravel(), (n[:, None] * n[None, :]).ravel()
-
-    def psi(order: int, width: float) -> float:
-        """Mean over all pairs of the derivative of that order of a normal density of a width."""
-        z = steps / width
-        polynomial = np.polynomial.hermite_e.hermeval(z, [0] * order + [1])
-        return float(weights @ (polynomial * np.exp(-z * z / 2))) / (math.sqrt(2 * math.pi) * width ** (order + 1) * total * (total - 1))
-
-    def pilot(order: int) -> float:
-        """Best width for psi of an order, if the density were normal."""
-        at_zero = (-1) ** (order // 2) * math.prod(range(1, order, 2)) / math.sqrt(2 * math.pi)
-        k = order + 2
-        normal = (-1) ** (k // 2) * math.factorial(k) / (math.factorial(k // 2) * math.sqrt(math.pi) * (2 * spread) ** (k + 1))
-        return (-2 * at_zero / (normal * total)) ** (1 / (order + 3))
-
-    curvature, next_one = psi(4, pilot(4)), psi(6, pilot(6))
-    of_pilot = (-6 * math.sqrt(2) * curvature / next_one) ** (1 / 7)
-    implied = lambda h: (2 * math.sqrt(math.pi) * psi(4, of_pilot * h ** (5 / 7)) * total) ** -0.2
-    low = high = 1.06 * spread * total**-0.2
-    for _ in range(40):
-        if implied(low) >= low:
-            break
-        low /= 1.3
-    for _ in range(40):
-        if implied(high) <= high:
-            break
-        high *= 1.3
-    if implied(low) < low or implied(high) > high:
-        raise ValueError("no bandwidth solves the equation")
-    while high - low > tolerance * low:
-        middle = math.sqrt(low * high)
-        low, high = (middle, high) if implied(middle) > middle else (low, middle)
-    return math.sqrt(low * high)
-
-
-#: Equal bins that a group's values are rounded to, so that its pairs are bounded.
-BANDWIDTH_BINS = 512
-
-
 @query("kde_bandwidth")
 def kde_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of prices by status, counted in BANDWIDTH_BINS bins of each group's range."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"o_orderstatus": g["o_orderstatus"].iloc[:1], "bandwidth": [plug_in_bandwidth(g["x"].to_numpy(float), g["n"].to_numpy(float))]})
-
-    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_totalprice").alias("v"))
-    ends = o.groupBy("o_orderstatus").agg(F.min("v").alias("low"), ((F.max("v") - F.min("v")) / BANDWIDTH_BINS).alias("step"))
-    k = F.least(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(BANDWIDTH_BINS - 1))
-    binned = o.join(ends, "o_orderstatus").groupBy("o_orderstatus", (F.col("low") + (k + 0.5) * F.col("step")).alias("x"))
-    return binned.agg(F.count("*").alias("n")).groupBy("o_orderstatus").applyInPandas(run, "o_orderstatus string, bandwidth double")
+    """Of prices by status, from all pairs of them."""
+    found = density.bandwidths(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice")
+    return found.select("o_orderstatus", F.round("bandwidth", 2).alias("bandwidth"))
 
 
 @query("boost_acoplanarity")

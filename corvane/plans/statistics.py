@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import significant_digits
-from corvane.operators import order, stats
+from corvane.operators import density, order, stats
 from corvane.queries import query, table
 
 
@@ -211,7 +211,7 @@ def kde_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     points = i.where("l_returnflag = 'A'").select(F.col("l_quantity").alias("x")).distinct()
     sample = i.where("l_returnflag = 'R' and l_linestatus = 'F'").select(F.col("l_quantity").alias("x"))
-    return stats.kde(sample, points, "x", 2.5).select("x", F.round("density", 9).alias("density"))
+    return density.kde(sample, points, "x", 2.5).select("x", F.round("density", 9).alias("density"))
 
 
 @query(
@@ -226,8 +226,8 @@ def kde_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir).select("l_returnflag", F.col("l_quantity").alias("x"))
     a, n = i.where("l_returnflag = 'A'"), i.where("l_returnflag = 'N'")
     points = a.groupBy("x").agg(F.count("*").alias("n"))
-    p = stats.kde(a, points, "x", 2.5).withColumnRenamed("density", "p")
-    d = stats.kde(n, p, "x", 2.5).withColumnRenamed("density", "q")
+    p = density.kde(a, points, "x", 2.5).withColumnRenamed("density", "p")
+    d = density.kde(n, p, "x", 2.5).withColumnRenamed("density", "q")
     part = lambda e: F.round(F.sum(F.col("n") * e) / F.sum("n"), 9)
     return d.agg(part(F.log2("p") - F.log2("q")).alias("kl"), part(F.log2("p") - F.log2((F.col("p") + F.col("q")) / 2)).alias("js_half"))
 

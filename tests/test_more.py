@@ -64,13 +64,6 @@ def test_upper_gamma_and_kolmogorov():
     assert more.kolmogorov(0.0) == 1.0 and more.kolmogorov(1.3581) == pytest.approx(0.05, abs=1e-4)
 
 
-def test_bandwidth_of_a_normal_sample():
-    rng = np.random.default_rng(5)
-    x = rng.normal(0, 2, 600)
-    h = more.plug_in_bandwidth(x, np.ones(600))
-    assert 0.5 < h / (1.06 * 2 * 600**-0.2) < 1.3
-
-
 def test_crystal_ball_is_a_distribution():
     f = lambda m: nested.crystal_ball_integral(m, 40, 2, 1.5, 3, 1)
     grid = [f(m) for m in np.linspace(1, 1000, 500)]

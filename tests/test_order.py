@@ -108,3 +108,31 @@ def test_components_and_chains(wide):
     assert got == {n: find(n) for n in parent}
     nodes = wide.createDataFrame([(0, None, 15), (1, 0, 15), (2, 1, 15), (3, 2, 16), (4, 3, 16), (5, 9, 16)], "node long, parent long, pdg int")
     assert {r.node: r.last for r in graph.terminal_copies(nodes, kind="pdg").collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+
+
+def test_quantiles_by_selection(spark, monkeypatch):
+    """Few bins and rows at a time, so that steps repeat: equal values, null keys, long tails, infinite values, one row."""
+    import numpy as np
+
+    from corvane.operators import stats
+
+    monkeypatch.setattr(stats, "SELECTION_BINS", 4)
+    monkeypatch.setattr(stats, "SELECTION_ROWS", 5)
+    rng = np.random.default_rng(4)
+    groups = {"equal": [3.0] * 50, "tail": np.exp(rng.normal(size=200) * 8).tolist(), None: rng.normal(size=90).round(1).tolist(), "one": [7.5], "signs": [-1e308, 1e308, 0.0, 5e-324, -5e-324, 2.0], "few": rng.integers(0, 4, 300).astype(float).tolist()}
+    rows = [(k, v) for k, own in groups.items() for v in [*own, None]]
+    shares = {"a": 0.1, "m": 0.5, "z": 0.975}
+    found = {r["k"]: r for r in stats.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", shares).collect()}
+    assert set(found) == set(groups)
+    for k, own in groups.items():
+        r = found[k]
+        assert (r["n"], r["min"], r["max"]) == (len(own), min(own), max(own))
+        own = sorted(own)
+        for name, share in shares.items():
+            at = (len(own) - 1) * share
+            low, high = own[int(np.floor(at))], own[int(np.ceil(at))]
+            assert np.isclose(r[name], low + (high - low) * (at - np.floor(at)), rtol=1e-12), (k, name)
+    odd = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("nan"),)], "v double")
+    r = stats.quantiles(odd, [], "v", {"q": 0.25, "m": 0.5}).first()
+    assert (r["n"], r["min"], r["q"], r["m"]) == (5, float("-inf"), 1.0, 2.0) and np.isnan(r["max"])
+    assert stats.quantiles(odd.limit(0), [], "v", {"m": 0.5}).collect() == []

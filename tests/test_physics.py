@@ -200,19 +200,3 @@ def test_crystal_ball_against_numerical_integration():
     below = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(z))])
     for m in (30.0, 39.0, 41.0, 45.0, 80.0):
         assert nested.crystal_ball_integral(m, 40.0, 2.0, 1.5, 3.0, 1.0) == pytest.approx(float(np.interp((m - 40) / 2, z, below) / below[-1]), abs=1e-5)
-
-
-def test_bandwidth_solves_its_equation():
-    x = np.random.default_rng(7).gamma(3.0, 2.0, 300)
-    h, n, s = more.plug_in_bandwidth(x, np.ones(300), 1e-6), 300, x.std(ddof=1)
-    d = x[:, None] - x[None, :]
-
-    def psi(polynomial, g, r):
-        z = d / g
-        return (polynomial(z) * np.exp(-z * z / 2)).sum() / (math.sqrt(2 * math.pi) * n * (n - 1) * g ** (r + 1))
-
-    four, six = (lambda z: z**4 - 6 * z**2 + 3), (lambda z: z**6 - 15 * z**4 + 45 * z**2 - 15)
-    p6, p8 = -15 / (16 * math.sqrt(math.pi) * s**7), 105 / (32 * math.sqrt(math.pi) * s**9)
-    a, b = (-6 / (math.sqrt(2 * math.pi) * p6 * n)) ** (1 / 7), (30 / (math.sqrt(2 * math.pi) * p8 * n)) ** (1 / 9)
-    gamma = (-6 * math.sqrt(2) * psi(four, a, 4) / psi(six, b, 6)) ** (1 / 7) * h ** (5 / 7)
-    assert h == pytest.approx((1 / (2 * math.sqrt(math.pi) * psi(four, gamma, 4) * n)) ** 0.2, rel=1e-4)
