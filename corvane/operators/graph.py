@@ -69,6 +69,24 @@ def final_state(nodes: DataFrame, key: list[str]) -> DataFrame:
     return nodes.join(parents, [*key, "node"], "left_anti")
 
 
+def final_daughters(starts: DataFrame, links: DataFrame, codes: DataFrame, without: list[int], closed: DataFrame | None = None) -> DataFrame:
+    """(root, node, code) of the particles without daughters that each start (root, node) decays to, each once however many
+    ways lead there. links: (mother, daughter); codes: (node, code). Particles of the codes `without`, absolute, are left
+    out of the result but not of the way; the particles of `closed` (node) and all below them are not entered. One round
+    for each level: a node that was seen from a root is not walked again."""
+    links = shared.written(links.select("mother", "daughter").where("mother is not null").distinct(), "links")
+    free = (lambda df: df.join(closed.select("node").distinct(), "node", "left_anti")) if closed is not None else (lambda df: df)
+    level = shared.written(free(starts.select("root", "node")).distinct(), "level")
+    seen = level
+    while not level.isEmpty():
+        below = level.join(links, F.col("node") == F.col("mother")).select("root", F.col("daughter").alias("node")).distinct()
+        level = shared.written(free(below).join(seen, ["root", "node"], "left_anti"), "level")
+        seen = seen.unionByName(level)
+    mothers = links.select(F.col("mother").alias("node")).distinct()
+    ends = seen.join(mothers, "node", "left_anti").join(codes.select("node", "code"), "node")
+    return ends.where(~F.abs("code").isin(without) if without else F.lit(True)).select("root", "node", "code")
+
+
 #: Particle codes, absolute.
 CHARGED_LEPTONS, NEUTRAL_LEPTONS, PHOTON, ELECTRON, MUON, TAU = [11, 13, 15], [12, 14, 16], 22, 11, 13, 15
 CHARGED_HADRONS = [211, 213, 321, 323, 411, 431, 521, 10211, 10213, 20213]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,25 +112,25 @@ def closure(start: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def merge_first_wins(rows: DataFrame, event: str, radius: float = 0.01, tolerance: float = 0.01) -> DataFrame:
-    """Objects of several inputs (event, source, idx, eta, phi, pt) merged in order of source and idx: a row that lies
-    near one already kept, in direction and pt, only sets its source's bit there. The order of rows decides, so each
-    event is one group; an event is a bounded record."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in group.sort_values(["source", "idx"]).to_dict("records"):
-            for k in kept:
-                dphi = abs(k["phi"] - r["phi"])
-                dphi = min(dphi, 6.283185307179586 - dphi)
-                if (k["eta"] - r["eta"]) ** 2 + dphi**2 < radius**2 and abs(k["pt"] - r["pt"]) < tolerance:
-                    k["bits"] |= 1 << int(r["source"])
-                    break
-            else:
-                kept.append({event: r[event], "eta": r["eta"], "phi": r["phi"], "pt": r["pt"], "bits": 1 << int(r["source"])})
-        return pd.DataFrame(kept, columns=[event, "eta", "phi", "pt", "bits"])
-
-    kind = dict(rows.dtypes)[event]
-    return rows.groupBy(event).applyInPandas(run, f"{event} {kind}, eta double, phi double, pt double, bits int")
+    """Objects of several inputs (event, source, idx, eta, phi, pt) merged in order of source and idx: (event, eta, phi, pt,
+    bits) of those kept. A row that lies near one already kept, in direction and pt, is not kept but sets its source's bit
+    in the first such row. Near rows are found by grid cells, and the order is followed in rounds: a row is decided once one
+    of its earlier neighbours is kept, or none of them is. Rows of one place are one from the start."""
+    first = rows.groupBy(event, "eta", "phi", "pt").agg(F.min(F.struct("source", "idx")).alias("o"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("source").cast("int"))).alias("bits"))
+    named = shared.written(first.withColumn("id", F.monotonically_increasing_id()), "objects")
+    near = near_pairs(named.drop("bits"), named.drop("bits"), [event], radius).where((F.abs(F.col("pt") - F.col("pt_b")) < tolerance) & (F.col("o_b") < F.col("o")))
+    links = shared.written(near.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("o_b").alias("first")), "links")
+    later = links.select(F.col("a").alias("id")).distinct()
+    states = shared.written(named.join(later.withColumn("__l", F.lit(True)), "id", "left").select("id", F.when(F.col("__l").isNull(), True).alias("kept")), "kept")
+    while not states.where("kept is null").isEmpty():
+        heard = links.join(states.select(F.col("id").alias("b"), F.col("kept").alias("k")), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or("k").alias("any"), F.count_if(F.col("k").isNull()).alias("open"))
+        decided = F.when(F.col("any"), False).when(F.col("open") == 0, True)
+        states = shared.written(states.join(heard, "id", "left").select("id", F.coalesce("kept", decided).alias("kept")), "kept")
+    kept = states.where("kept").select("id")
+    owners = links.join(kept.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("b", "first").alias("owner"))
+    owned = named.join(owners, "id", "left").join(kept.withColumn("__k", F.lit(True)), "id", "left")
+    bits = owned.groupBy(F.when(F.col("__k"), F.col("id")).otherwise(F.col("owner")).alias("id")).agg(F.bit_or("bits").alias("bits"))
+    return named.drop("bits").join(bits, "id").select(event, "eta", "phi", "pt", "bits")
 
 
 def pair_matrix(df: DataFrame, keys: list[str], items: Column, scores: Column, most: int, fields: list[str]) -> DataFrame:

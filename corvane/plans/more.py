@@ -25,6 +25,26 @@ def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("half"), 2).alias("half"))
 
 
+#: Size that a merged file should just reach.
+MERGED_BYTES = 200_000
+
+
+@query("files_merged", "SELECT count(*) AS rows, round(sum(o_totalprice), 2) AS total, true AS one_file_each, true AS all_in_size FROM orders")
+def files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by many small files, merged to a size: the rows, whether every batch is one file, and whether the files of
+    each batch just reach the size."""
+    root = shared.place(spark, "merged")
+    table(spark, sf_dir, "orders").repartition(40).write.parquet(f"{root}/small")
+    files = sorted((r["path"], r["size"]) for r in io.discovered(spark, f"{root}/small", r".*\.parquet").collect())
+    n = io.merged_files(spark, files, MERGED_BYTES, f"{root}/large")
+    size = dict(files)
+    batches = [[size[f] for f in own] for own in io.size_batches(files, MERGED_BYTES)]
+    right = all(sum(own[:-1]) < MERGED_BYTES for own in batches) and all(sum(own) >= MERGED_BYTES for own in batches[:-1])
+    made = io.discovered(spark, f"{root}/large", r".*\.parquet").count()
+    back = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/large")
+    return back.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(made == n).alias("one_file_each"), F.lit(right).alias("all_in_size"))
+
+
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
     if x <= 0:

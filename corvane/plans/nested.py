@@ -144,10 +144,20 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.where("node >= 0").join(labels.groupBy("label").agg(F.count("*").alias("reached")), "label").select(F.col("node").alias("root"), "reached")
 
 
-@query("cluster_merge")
+@query(
+    "cluster_merge",
+    f"""
+    WITH RECURSIVE p AS ({POINT_SQL}), r AS (SELECT event, eta, phi, pt, source, row_number() OVER (PARTITION BY event ORDER BY source, vec_id) AS n FROM (SELECT event, vec_id, (label % 3)::INT AS source, round(eta, 1) AS eta, round(phi, 1) AS phi, round(pt, 0) AS pt FROM p)),
+    k(event, n, kept) AS (
+      SELECT DISTINCT event, 0::BIGINT, []::STRUCT(e DOUBLE, p DOUBLE, t DOUBLE, b INT)[] FROM r UNION ALL
+      SELECT event, n, CASE WHEN m IS NULL OR m = 0 THEN list_append(kept, {{'e': eta, 'p': phi, 't': pt, 'b': 1 << source}}) ELSE list_transform(kept, lambda x, i: CASE WHEN i = m THEN {{'e': x.e, 'p': x.p, 't': x.t, 'b': x.b | (1 << source)}} ELSE x END) END
+      FROM (SELECT r.*, kept, list_position(list_transform(kept, lambda x: sqrt((x.e - eta) ^ 2 + ({DPHI_SQL.format(d="(x.p - phi)")}) ^ 2) < 0.01 AND abs(x.t - pt) < 0.01), true) AS m FROM k JOIN r ON r.event = k.event AND r.n = k.n + 1))
+    SELECT event, len(last)::BIGINT AS n, list_sum(list_transform(last, lambda x: bit_count(x.b)))::BIGINT AS bits FROM (SELECT event, max_by(kept, n) AS last FROM k GROUP BY 1)
+    """,
+)
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).select("event", (F.col("label") % 3).alias("source"), F.col("vec_id").alias("idx"), F.round("eta", 1).alias("eta"), F.round("phi", 1).alias("phi"), F.round("pt", 0).alias("pt"))
-    return match.merge_first_wins(rows, "event").groupBy("event").agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("bits"))
+    return match.merge_first_wins(rows, "event").groupBy("event").agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).cast("long").alias("bits"))
 
 
 @query("pairwise_self_join", f"WITH p AS ({POINT_SQL}) SELECT a.event, count(*) AS pairs, round(avg((a.pt + b.pt) / 2), 6) AS mean_pt FROM p a JOIN p b ON a.event = b.event GROUP BY 1")
@@ -258,6 +268,37 @@ def graph_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.final_state(n, []).agg(F.count("*").alias("leaves"), F.sum("node").alias("total"))
 
 
+#: A tree of orders: a third of the key is the mother, where there is such an order; the code hangs on the customer.
+TREE_SQL = "o AS (SELECT o_orderkey AS node, o_orderkey // 3 AS up, o_orderstatus AS kind, (o_custkey % 5 * 4 - 6)::INT AS code FROM orders), n AS (SELECT o.node, m.node AS parent, m.kind AS above, o.kind, o.code FROM o LEFT JOIN o m ON o.up = m.node AND o.node <> m.node)"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 3").alias("up"), F.col("o_orderstatus").alias("kind"), (F.col("o_custkey") % 5 * 4 - 6).cast("int").alias("code"))
+    above = o.select(F.col("node").alias("parent"))
+    return o.join(above, (F.col("up") == F.col("parent")) & (F.col("node") != F.col("parent")), "left").drop("up")
+
+
+@query("terminal_copy_kinds", f"WITH RECURSIVE {TREE_SQL}, t(node, last) AS (SELECT node, node FROM n WHERE parent IS NULL OR above <> kind UNION ALL SELECT n.node, t.last FROM n JOIN t ON n.parent = t.node AND n.above = n.kind) SELECT node, last FROM t")
+def terminal_copy_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First copy of each particle: up the chain as long as the kind is its own."""
+    return graph.terminal_copies(tree(spark, sf_dir), kind="kind")
+
+
+@query(
+    "final_state_daughters",
+    f"""
+    WITH RECURSIVE {TREE_SQL}, t(root, node) AS (SELECT node, node FROM n WHERE parent IS NULL AND kind <> 'P' UNION SELECT t.root, n.node FROM t JOIN n ON n.parent = t.node WHERE n.kind <> 'P')
+    SELECT root, count(*) AS n, sum(node)::BIGINT AS total, count(*) FILTER (code > 0) AS positive FROM t JOIN n USING (node) WHERE node NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND abs(code) <> 2 GROUP BY 1
+    """,
+)
+def final_state_daughters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each root decays to, without one code, and without entering particles of one kind."""
+    n = tree(spark, sf_dir)
+    starts = n.where("parent is null").select(F.col("node").alias("root"), "node")
+    found = graph.final_daughters(starts, n.select(F.col("parent").alias("mother"), F.col("node").alias("daughter")), n, [2], n.where("kind = 'P'"))
+    return found.groupBy("root").agg(F.count("*").alias("n"), F.sum("node").alias("total"), F.count_if(F.col("code") > 0).alias("positive"))
+
+
 #: Truth and score: labels.quality and the number of characters.
 SCORED_SQL = "SELECT l.doc_id, lang, quality = 1 AS truth, n_chars::DOUBLE AS score, toxic FROM labels l JOIN documents d USING (doc_id)"
 CURVE_SQL = "SELECT score AS threshold, sum(q) OVER w / sum(q) OVER () AS fpr, sum(p) OVER w / sum(p) OVER () AS tpr FROM (SELECT score, sum(truth::INT)::DOUBLE AS p, sum((NOT truth)::INT)::DOUBLE AS q FROM (" + SCORED_SQL + ") WHERE {test} GROUP BY 1) WINDOW w AS (ORDER BY score DESC)"

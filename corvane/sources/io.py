@@ -137,10 +137,19 @@ def size_batches(files: list[tuple[str, int]], target: int) -> list[list[str]]:
 
 
 def merged_files(spark: SparkSession, files: list[tuple[str, int]], target: int, path: str, kind: str = "parquet") -> int:
-    """Write each batch of files as one file in a folder of its own; the number of batches."""
+    """Write the files' rows in batches whose sizes just reach a target, each batch as one file in a folder of its own, named by its
+    number; the number of batches. One job reads all files, deals their rows by batch, and writes."""
     batches = size_batches(files, target)
-    for k, own in enumerate(batches):
-        spark.read.format(kind).load(own).coalesce(1).write.mode("overwrite").format(kind).save(f"{path}/{k}")
+    local = lambda p: F.regexp_replace(p, "^file:/+", "/")
+    places = spark.createDataFrame([(p, k) for k, own in enumerate(batches) for p in own], "path string, batch int").withColumn("path", local(F.col("path")))
+    rows = spark.read.format(kind).load([p for own in batches for p in own])
+    own = rows.withColumn("__path", local(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))))
+    dealt = own.join(F.broadcast(places), F.col("__path") == F.col("path")).drop("__path", "path").repartition(len(batches), "batch")
+    dealt.write.mode("overwrite").format(kind).partitionBy("batch").save(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(len(batches)):
+        system.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch={k}"), spark._jvm.org.apache.hadoop.fs.Path(folder, str(k)))
     return len(batches)
 
 
