@@ -268,8 +268,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     shared = scratch.write(members.join(buckets, ["band", "bucket"]), "buckets")
 
     near = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
-    texts = source.join(near, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("hash")))
-    full = scratch.write(sets(texts.select("node", "text"), size), "sets")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("hash"))
+    repeated = scratch.write(rows.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if repeated.isEmpty():
+        texts = source.join(near, same).select("node", "text")
+    else:
+        # One text for each node, however many rows repeat it: only theirs are shuffled once more.
+        often = near.join(repeated, same, "left_semi")
+        once = near.join(often.select("node"), "node", "left_anti")
+        texts = source.join(once, same).select("node", "text").unionByName(source.join(often, same).select("node", "text").dropDuplicates(["node"]))
+    full = scratch.write(sets(texts, size), "sets")
 
     led = led_once(shared)
     links = verified(led, nodes, full, percent, False, scratch, "led")

@@ -86,3 +86,17 @@ def test_pruning_keeps_pairs_at_the_threshold():
         equal = np.cumsum(rng.random(neardup.BANDS * neardup.ROWS) < 0.8)[neardup.BATCH - 1 :: neardup.BATCH]
         lost += bool((equal < least).any())
     assert lost <= 2 and least[-1] > 0.6 * neardup.BANDS * neardup.ROWS
+
+
+def test_rows_repeated_thousands_of_times(spark, monkeypatch):
+    """Two near texts that many rows repeat are two nodes and two sets, and no block holds a node twice."""
+    words = [f"w{i}" for i in range(60)]
+    one, two, three = " ".join(words), " ".join([*words[:59], "x"]), " ".join([*words[:58], "y", "z"])
+    rows = [(1, one)] * 4000 + [(2, two)] * 4000 + [(None, three)] * 500 + [(3, "something else altogether")] * 3
+    written = {}
+    write = neardup.Scratch.write
+    monkeypatch.setattr(neardup.Scratch, "write", lambda self, df, tag: written.setdefault(tag, write(self, df, tag)) if tag == "sets" else write(self, df, tag))
+    monkeypatch.setattr(neardup.Scratch, "keep_only", lambda self, *tags: None)
+    found = result(neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)))
+    assert written["sets"].count() == 3
+    assert {(r[0], r[2]) for r in found} == {(1, 1), (2, 1), (None, 1), (3, 3)} and len(found) == len(rows)
