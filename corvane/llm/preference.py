@@ -19,11 +19,13 @@ TURNS = "array<struct<role:string,text:string>>"
 
 def turns_of(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(key, turns): the turns of each conversation in order; null texts count as empty and null roles as user. Turns of
-    one number are ordered by role and text; rows without a key are one conversation. Other columns are not read. An empty
-    table has no conversation. A conversation is one record, so its turns must fit into a row."""
-    turn = F.struct(F.col(order).alias("o"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    one number are ordered by role and text; each row without a key is a conversation of its own. Other columns are not read. An
+    empty table has no conversation. A conversation is one record, so its turns must fit into a row."""
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    keyed = rows.select(F.col(key).alias("k"), own.alias("own"), F.col(order).alias("o"), F.col(role).alias("r"), F.col(text).alias("t"))
+    turn = F.struct("o", F.coalesce("r", F.lit("user")).alias("role"), F.coalesce("t", F.lit("")).alias("text"))
     ordered = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy(F.col(key).alias(key)).agg(ordered.alias("turns"))
+    return keyed.groupBy("k", "own").agg(ordered.alias("turns")).select(F.col("k").alias(key), "turns")
 
 
 def common_turns(chosen: Column, rejected: Column) -> Column:
