@@ -12,7 +12,8 @@ from corvane.llm.registry import tokenizer_path
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule."""
-    return quality.assess(docs, result="quality_verdict").where("quality_verdict.kept").drop("quality_verdict")
+    verdict = fresh(docs, "verdict")
+    return quality.assess(docs, result=verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.scan(docs, benchmark, result="benchmark_leaks").where(F.size("benchmark_leaks") == 0).drop("benchmark_leaks")
+    leaks = fresh(docs, "leaks")
+    return decontam.scan(docs, benchmark, result=leaks).where(F.size(leaks) == 0).drop(leaks)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
