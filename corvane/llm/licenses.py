@@ -1,7 +1,7 @@
 """License scans: sentences are mapped to identifiers of known licence sentences, and ordered rules match sequences.
 
 Everything is a Spark SQL expression over the row's own text. A sentence ends at an empty line or at . ! ? ; : and white
-space, and may end at any other line break: a known sentence may be wrapped over any number of lines of a paragraph, and
+space (but not between "v." and a number), and may end at any other line break: a known sentence may be wrapped over any number of lines of a paragraph, and
 lines that are in no such sentence are sentences of their own. Sentences are normalised to lower-case letters and digits
 with single spaces. The sequence of a text's identifiers, with a gap wherever sentences are not known, is one string, and
 each rule is a run of identifiers in it; copyright lines, the licence's own address and numbers of list entries are
@@ -12,6 +12,8 @@ again.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -90,8 +92,41 @@ CANONICAL = {
     "gpl2-later": "either version 2 of the license or at your option any later version",
     "gpl3-later": "either version 3 of the license or at your option any later version",
     "gpl2-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl-library": "this library is free software",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl21-later": "either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl2-copy-http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd4-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "epl2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at *",
+    "epl2-short": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc-by-full": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-full-the": "this work is licensed under the creative commons attribution 4 0 international license",
+    "cc-by-name": "creative commons attribution 4 0 international license",
+    "cc-by-sa-full": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-sa-full-the": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "cc-by-sa-name": "creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-full": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-full": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-full": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc0-full": "this work is licensed under a creative commons zero v1 0 universal license",
 }
 
+#: Licences by the identifier of a tag line, "SPDX-License-Identifier: <identifier>".
+TAGS = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
+# The colon ends a sentence, so a tag line is one known sentence with an END inside.
+CANONICAL |= {f"spdx-{t}": "spdx license identifier." + " ".join(re.findall("[a-z0-9]+", t.lower())) for t in TAGS}
+
 #: Other wordings of known sentences.
 VARIANTS = [
     ("licensed under the apache license version 2 0 the license", "apache2-notice"),
@@ -111,8 +146,34 @@ CANONICAL_RULES = [
     LicenceRule("GPL-3.0-or-later", ("gpl-terms", "gpl3-later")),
     LicenceRule("GPL-2.0-or-later", ("gpl-terms", "gpl2-later")),
     LicenceRule("GPL-2.0-or-later", ("gpl2-redistribute",)),
+    LicenceRule("LGPL-2.1-or-later", ("lgpl-library", "lgpl-terms", "lgpl21-later", "lgpl-hope")),
+    LicenceRule("LGPL-2.1-or-later", ("lgpl-terms", "lgpl21-later")),
+    LicenceRule("LGPL-3.0-or-later", ("lgpl-terms", "gpl3-later")),
+    LicenceRule("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl3-later", "gpl-hope")),
+    LicenceRule("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms", "gpl-hope")),
+    LicenceRule("AGPL-3.0-or-later", ("agpl-terms", "gpl3-later")),
+    LicenceRule("AGPL-3.0-or-later", ("agpl3-terms",)),
+    LicenceRule("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
+    LicenceRule("MPL-2.0", ("mpl2-notice", "mpl2-copy-http")),
+    LicenceRule("ISC", ("isc-grant", "isc-as-is")),
+    LicenceRule("ISC", ("isc-grant",)),
+    LicenceRule("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd4-advertising")),
+    LicenceRule("EPL-2.0", ("epl2-notice",)),
+    LicenceRule("EPL-2.0", ("epl2-short",)),
+    LicenceRule("Unlicense", ("unlicense", "unlicense-anyone")),
+    LicenceRule("Unlicense", ("unlicense",)),
+    *[LicenceRule("CC-BY-4.0", (k,)) for k in ("cc-by-full", "cc-by-full-the", "cc-by-name")],
+    *[LicenceRule("CC-BY-SA-4.0", (k,)) for k in ("cc-by-sa-full", "cc-by-sa-full-the", "cc-by-sa-name")],
+    LicenceRule("CC-BY-NC-4.0", ("cc-by-nc-full",)),
+    LicenceRule("CC-BY-ND-4.0", ("cc-by-nd-full",)),
+    LicenceRule("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-full",)),
+    LicenceRule("CC0-1.0", ("cc0-full",)),
+    *[LicenceRule(t, (f"spdx-{t}",)) for t in TAGS],
 ]
 
+#: Words of which every known sentence has one: a text without any of them needs no further look.
+ANCHORS = ["licens", "software", "redistribut", "program", "mozilla", "cc0", "library"]
+
 #: Sentences that leave no gap between known ones.
 PASSED_OVER = "copyright [a-z0-9 ]+|all rights reserved|https? www apache org licenses license 2 0|[0-9]"
 
@@ -134,7 +195,8 @@ def lines(text: Column) -> Column:
     only END for a text without words."""
     changed = lambda t, a, b: F.replace(t, F.lit(a), F.lit(b))
     plain = changed(changed(changed(F.coalesce(text, F.lit("")), "\x02", "\x03"), "\r\n", "\n"), "\r", "\n")
-    ended = F.regexp_replace(plain, f"[.!?;:][{SPACE}]+", "\x02")
+    # A number after "v." is a version, and no sentence begins there.
+    ended = F.regexp_replace(plain, rf"(?:[!?;:]|(?<!\b[vV])[.]|[.](?![{SPACE}]+[0-9]))[{SPACE}]+", "\x02")
     normal = F.concat(F.lit("\x02"), F.lower(F.regexp_replace(ended, "[^A-Za-z0-9\n\x02]+", " ")), F.lit("\x02"))
     sure = F.regexp_replace(normal, " ?(?:\x02[ \n\x02]*|\n ?[\n\x02][ \n\x02]*)", END)
     return F.regexp_replace(F.regexp_replace(sure, " ?\n ?", WRAP), "[.|]*[.][.|]*", END)
@@ -144,14 +206,16 @@ def known_patterns() -> Column:
     """Structs (part, pattern, token) of known sentences, longer ones first: a text without the part cannot have it."""
     of = tokens()
     known = sorted([(v, of[k]) for k, v in [*SENTENCES.items(), *CANONICAL.items()]] + [(v, of[k]) for v, k in VARIANTS], key=lambda x: (-len(x[0]), x[0]))
-    pattern = lambda s: f"(?<=[{END}{WRAP}])" + s.replace(" ", f"[ {WRAP}]").replace("*", f"[a-z0-9 {WRAP}]+") + f"(?=[{END}{WRAP}])"
-    return F.array(*[F.struct(F.lit(s.split("* ")[-1]).alias("part"), F.lit(pattern(s)).alias("pattern"), F.lit(token).alias("token")) for s, token in known])
+    pattern = lambda s: f"(?<=[{END}{WRAP}])" + s.replace(" ", f"[ {WRAP}]").replace("*", f"[a-z0-9 {WRAP}]+").replace(".", f"[{END}]") + f"(?=[{END}{WRAP}])"
+    return F.array(*[F.struct(F.lit(max(s.split("*"), key=len).strip()).alias("part"), F.lit(pattern(s)).alias("pattern"), F.lit(token).alias("token")) for s, token in known])
 
 
 def candidates(whole: Column) -> Column:
     """Known sentences whose part occurs in lines(), whatever its line breaks."""
-    table = known_patterns()
-    return let(F.replace(whole, F.lit(WRAP), F.lit(" ")), lambda f: F.filter(table, lambda k: F.contains(f, k["part"])))
+    table, none = known_patterns(), F.array().cast("array<struct<part:string,pattern:string,token:string>>")
+    anchored = reduce(lambda a, b: a | b, [F.contains(whole, F.lit(x)) for x in ANCHORS])
+    found = let(F.replace(whole, F.lit(WRAP), F.lit(" ")), lambda f: F.filter(table, lambda k: F.contains(f, k["part"])))
+    return F.when(anchored, found).otherwise(none)
 
 
 def with_tokens(whole: Column, found: Column) -> Column:

@@ -21,7 +21,7 @@ def licences() -> str:
     many = " + ".join(f"(length(s{i}) - length(s{i + 1})) // {len(run) - 1}" for i, (_, run) in enumerate(runs))
     return rf"""
     WITH parts AS (
-      SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])[{SPACE}]+', '\1' || chr(10), 'g'), '[\n\r]+') AS p FROM documents
+      SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '\b([vV])[.][{SPACE}]+([0-9])', '\1 \2', 'g'), '([.!?;:])[{SPACE}]+', '\1' || chr(10), 'g'), '[\n\r]+') AS p FROM documents
     ), lines AS (
       SELECT doc_id, u.i, trim(regexp_replace(translate(p[u.i], '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts, unnest(range(1, len(p) + 1)) AS u(i)
     ), known(s, token) AS (VALUES {known}

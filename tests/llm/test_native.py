@@ -116,6 +116,64 @@ def test_licences_as_published_with_wrapped_lines(spark):
     assert [(r.doc_id, r.licence.licences, r.licence.n_matches) for r in out] == [(r.doc_id, [r.expect], 1) for r in out] and len(out) == 16
 
 
+LATER = """    {0} is free software{1} you can redistribute it and/or
+    modify it under the terms of the GNU {2} General Public
+    License as published by the Free Software Foundation{3} either
+    version {4} of the License, or (at your option) any later version.
+
+    {0} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+OLD_BSD = (BSD % "").split("THIS SOFTWARE")[0].split("\n", 1)[1] + """3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software.
+"""
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0\nInternational License."
+
+
+def test_further_published_notices(spark):
+    """Wrapped, on one line, and between other paragraphs."""
+    notices = [
+        (MPL, "MPL-2.0"), (ISC, "ISC"), (EPL, "EPL-2.0"), (UNLICENSE, "Unlicense"), (OLD_BSD, "BSD-4-Clause"), (CC.format(""), "CC-BY-4.0"), (CC.format("-ShareAlike"), "CC-BY-SA-4.0"),
+        (LATER.format("This library", ";", "Lesser", ";", "2.1"), "LGPL-2.1-or-later"), (LATER.format("This program", ":", "Affero", ", ", "3"), "AGPL-3.0-or-later"),
+        ("# SPDX-License-Identifier: BSD-3-Clause\n", "BSD-3-Clause"), ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    ]
+    forms = [lambda t: t, lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), lambda t: f"First words.\n\n{t}\n\nLast words."]
+    rows = [(k * 10 + i, f(t), x) for k, (t, x) in enumerate(notices) for i, f in enumerate(forms)]
+    out = licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string, expect string").repartition(2)).collect()
+    assert [(r.doc_id, r.licence.licences) for r in out if r.licence.licences != [r.expect]] == [] and len(out) == len(rows)
+    plain = spark.createDataFrame([("Version v. 2.0 of it. And v. two. Software.",), ("SPDX-License-Identifier: Unknown-1.0",)], "text string")
+    assert [(r.licence.licences, r.licence.n_sentences) for r in licenses.recognise(plain).collect()] == [([], 4), ([], 2)]
+
+
+def test_every_known_sentence_has_an_anchor():
+    known = [*licenses.SENTENCES.values(), *licenses.CANONICAL.values(), *[v for v, _ in licenses.VARIANTS]]
+    assert not [k for k in known if not any(a in k for a in licenses.ANCHORS)]
+
+
 def shown(turns):
     return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
 
