@@ -17,8 +17,14 @@ def encoded_mothers(mothers: Column) -> Column:
 
 
 def decoded_mothers(code: Column) -> Column:
-    parts = F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda i: F.floor(code / F.pow(F.lit(float(DIGITS)), i)).cast("long") % DIGITS - 1)
-    return F.filter(parts, lambda m: m >= 0)
+    """The indices of encoded_mothers(), exactly: each group of digits is a difference of two remainders, and a quotient of
+    at most three digits is right after rounding however large both are."""
+
+    def part(i: int) -> Column:
+        low, high = F.lit(DIGITS**i).cast("long"), F.lit(DIGITS ** (i + 1)).cast("long")
+        return F.round((code % high - code % low) / low).cast("long") - 1
+
+    return F.filter(F.array(*map(part, range(MOST))), lambda m: m >= 0)
 
 
 def edges(nodes: DataFrame, key: list[str], index: str, mothers: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -197,12 +198,14 @@ def argmax_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested(spark, sf_dir).select("l_orderkey", F.get(F.filter("c", lambda x: x["f"].isin("A", "R")), F.lit(0))["p"].alias("best"))
 
 
-@query("mother_decode", "SELECT k, k % 7 AS a, k % 5 + 1 AS b FROM (SELECT unnest(range(100)) AS k)")
+MOTHERS = ["l_partkey % 999", "l_suppkey % 999", "l_orderkey % 999", "l_linenumber", "l_partkey % 7", "l_suppkey % 5"]
+
+
+@query("mother_decode", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [({'), ('.join(MOTHERS)})]::BIGINT[] AS mothers, {' + '.join(f'(({m})::BIGINT + 1) * {1000**k}' for k, m in enumerate(MOTHERS))} AS code FROM lineitem")
 def mother_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("id")
-    code = graph.encoded_mothers(F.array(k % 7, k % 5 + 1))
-    d = graph.decoded_mothers(code)
-    return spark.range(100).select(k.alias("k"), F.get(d, F.lit(0)).alias("a"), F.get(d, F.lit(1)).alias("b"))
+    """Six mother indices of each line as one number, and back."""
+    code = graph.encoded_mothers(F.array(*[F.expr(m).cast("long") for m in MOTHERS]))
+    return items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", code.alias("code")).withColumn("mothers", graph.decoded_mothers(F.col("code")))
 
 
 @query("array_checks", "SELECT vec_id, len(embedding) = 64 AS whole, list_position(list_transform(embedding, lambda x: x > 0), true)::BIGINT AS first_positive, len(list_filter(embedding, lambda x: abs(x) > 0.2)) AS over, len(list_filter(embedding, lambda x: x <> 0)) = 0 AS padding FROM embeddings")
@@ -274,28 +277,28 @@ TREE_SQL = "o AS (SELECT o_orderkey AS node, o_orderkey // 3 AS up, o_orderstatu
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 3").alias("up"), F.col("o_orderstatus").alias("kind"), (F.col("o_custkey") % 5 * 4 - 6).cast("int").alias("code"))
-    above = o.select(F.col("node").alias("parent"))
+    above = o.select(F.col("node").alias("parent"), F.col("kind").alias("above"))
     return o.join(above, (F.col("up") == F.col("parent")) & (F.col("node") != F.col("parent")), "left").drop("up")
 
 
 @query("terminal_copy_kinds", f"WITH RECURSIVE {TREE_SQL}, t(node, last) AS (SELECT node, node FROM n WHERE parent IS NULL OR above <> kind UNION ALL SELECT n.node, t.last FROM n JOIN t ON n.parent = t.node AND n.above = n.kind) SELECT node, last FROM t")
 def terminal_copy_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First copy of each particle: up the chain as long as the kind is its own."""
-    return graph.terminal_copies(tree(spark, sf_dir), kind="kind")
+    return graph.terminal_copies(tree(spark, sf_dir).drop("above"), kind="kind")
 
 
 @query(
     "final_state_daughters",
     f"""
-    WITH RECURSIVE {TREE_SQL}, t(root, node) AS (SELECT node, node FROM n WHERE parent IS NULL AND kind <> 'P' UNION SELECT t.root, n.node FROM t JOIN n ON n.parent = t.node WHERE n.kind <> 'P')
+    WITH RECURSIVE {TREE_SQL}, t(root, node) AS (SELECT node, node FROM n WHERE kind = 'F' AND above <> 'F' AND code <> 10 UNION SELECT t.root, n.node FROM t JOIN n ON n.parent = t.node WHERE n.code <> 10)
     SELECT root, count(*) AS n, sum(node)::BIGINT AS total, count(*) FILTER (code > 0) AS positive FROM t JOIN n USING (node) WHERE node NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND abs(code) <> 2 GROUP BY 1
     """,
 )
 def final_state_daughters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each root decays to, without one code, and without entering particles of one kind."""
+    """What each first copy of one kind decays to, without one code, and without entering particles of another."""
     n = tree(spark, sf_dir)
-    starts = n.where("parent is null").select(F.col("node").alias("root"), "node")
-    found = graph.final_daughters(starts, n.select(F.col("parent").alias("mother"), F.col("node").alias("daughter")), n, [2], n.where("kind = 'P'"))
+    starts = n.where("kind = 'F' and above <> 'F'").select(F.col("node").alias("root"), "node")
+    found = graph.final_daughters(starts, n.select(F.col("parent").alias("mother"), F.col("node").alias("daughter")), n, [2], n.where("code = 10"))
     return found.groupBy("root").agg(F.count("*").alias("n"), F.sum("node").alias("total"), F.count_if(F.col("code") > 0).alias("positive"))
 
 
@@ -369,10 +372,10 @@ def diff_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_interval(c).select("k", "passed", "total", *[r6(x, x) for x in ("efficiency", "low", "high")])
 
 
-@query("clopper_pearson", interval_sql("SELECT passed AS k, passed, 20::BIGINT AS total FROM (SELECT unnest(range(21)) AS passed)", "k"))
+@query("clopper_pearson", interval_sql("SELECT l_linenumber AS k, count(*) FILTER (l_discount > 0.05) AS passed, count(*) AS total FROM lineitem GROUP BY 1", "k"))
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.with_interval(spark.createDataFrame([(k, k, 20) for k in range(21)], "k bigint, passed bigint, total bigint"))
-    return found.select("k", "passed", "total", *[r6(c, c) for c in ("efficiency", "low", "high")])
+    counts = items(spark, sf_dir).groupBy(F.col("l_linenumber").alias("k")).agg(F.count_if(F.col("l_discount") > 0.05).alias("passed"), F.count("*").alias("total"))
+    return metrics.with_interval(counts).select("k", "passed", "total", *[r6(c, c) for c in ("efficiency", "low", "high")])
 
 
 @query(
@@ -427,26 +430,46 @@ def loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.round(F.avg(numeric.log_loss(F.col("quality"), p)), 6).alias("log_loss"), F.round(F.avg((F.col("truth") == (p > 0.5)).cast("int")), 6).alias("accuracy"))
 
 
-@query("crystal_ball")
+#: erfc(x) as a series; under 1e-6 beyond 3.5 on either side.
+ERFC_SQL = "CASE WHEN {x} > 3.5 THEN 0.0 WHEN {x} < -3.5 THEN 2.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(80), lambda n: (-1) ^ n * {x} ^ (2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) END"
+#: A peak: centre, width, alpha, power and norm.
+PEAK = (40.0, 2.0, 1.5, 3.0, 1.0)
+EDGE = PEAK[2] / PEAK[1]
+TAIL = math.exp(-EDGE * EDGE / 2) * PEAK[3] / (EDGE * (PEAK[3] - 1))
+
+
+@query(
+    "crystal_ball",
+    f"""
+    WITH v AS (SELECT o_orderkey, 1 + o_totalprice / 4000 AS m FROM orders), z AS (SELECT *, (m - {PEAK[0]}) / {PEAK[1]} AS z FROM v),
+    c AS (SELECT *, sqrt(pi() / 2) * ({ERFC_SQL.format(x=f"(-least(z, {EDGE}) / sqrt(2))")}) AS core, {TAIL!r} * (1 - (1 + {EDGE} * greatest(z - {EDGE}, 0) / {PEAK[3]}) ^ (1 - {PEAK[3]})) AS beyond, sqrt(pi() / 2) * ({ERFC_SQL.format(x=f"(-{EDGE} / sqrt(2))")}) + {TAIL!r} AS whole FROM z)
+    SELECT o_orderkey, round((core + beyond) / whole, 5) AS value FROM c
+    """,
+)
 def crystal_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a peak up to a price in units of four thousand."""
+
     @F.pandas_udf("double")
     def turn_on(m: pd.Series) -> pd.Series:
-        return m.map(lambda x: crystal_ball_integral(x, 40.0, 2.0, 1.5, 3.0, 1.0))
+        return pd.Series(crystal_ball_integral(m.to_numpy(float), *PEAK))
 
-    return spark.range(1, 100).select(F.col("id").cast("double").alias("m")).withColumn("value", turn_on("m"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(turn_on(1 + F.col("o_totalprice") / 4000), 5).alias("value"))
 
 
-def crystal_ball_integral(m: float, centre: float, width: float, alpha: float, power: float, norm: float) -> float:
+def crystal_ball_integral(m: np.ndarray | float, centre: float, width: float, alpha: float, power: float, norm: float) -> np.ndarray | float:
     """Share, times norm, of a crystal-ball peak up to m, which must be from 1 to 1000. In units of its width the density
     is exp(-z^2 / 2) up to the edge |alpha / width| and falls as a power from there, with value and slope continued; a
     negative alpha mirrors it."""
-    if m < 1 or m > 1000:
+    if np.any((np.asarray(m) < 1) | (np.asarray(m) > 1000)):
         raise ValueError(f"{m} is out of the range 1 to 1000")
-    z = math.copysign(1.0, alpha) * (m - centre) / abs(width)
+    z = math.copysign(1.0, alpha) * (np.asarray(m, float) - centre) / abs(width)
     edge = abs(alpha / width)
-    at_edge = math.exp(-edge * edge / 2)
-    core = math.sqrt(math.pi / 2) * math.erfc(-min(z, edge) / math.sqrt(2))
-    whole_tail = at_edge * power / (edge * (power - 1))
-    beyond = 1 - (1 + edge * max(z - edge, 0.0) / power) ** (1 - power)
+    whole_tail = math.exp(-edge * edge / 2) * power / (edge * (power - 1))
+    core = math.sqrt(math.pi / 2) * ERFC(-np.minimum(z, edge) / math.sqrt(2))
+    beyond = 1 - (1 + edge * np.maximum(z - edge, 0.0) / power) ** (1 - power)
     whole = math.sqrt(math.pi / 2) * math.erfc(-edge / math.sqrt(2)) + whole_tail
-    return norm * (core + whole_tail * beyond) / whole
+    found = norm * (core + whole_tail * beyond) / whole
+    return found if np.ndim(m) else float(found)
+
+
+ERFC = np.vectorize(math.erfc, otypes=[float])

@@ -287,10 +287,25 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.inventory(orders(spark, sf_dir)).select(F.regexp_extract("file", "(orders[^/]*)(?:/.*)?$", 1).alias("file"), "rows").groupBy("file").agg(F.sum("rows").alias("rows"))
 
 
-@query("ranges_and_grids", "SELECT x, y, x * 10 + y AS v FROM (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS x), (SELECT unnest([1.0, 2.0, 3.0]::DOUBLE[]) AS y)")
+#: Points of two axes, and a range with an open end.
+DISCOUNTS, QUANTITIES, PRICES = numeric.grid("0:0.1:0.02"), numeric.grid("1:41|5"), numeric.Interval.parse("[1000:40000)")
+
+
+@query(
+    "ranges_and_grids",
+    f"""
+    WITH g AS (SELECT i, j, ({DISCOUNTS!r}::DOUBLE[])[i] AS x, ({QUANTITIES!r}::DOUBLE[])[j] AS y FROM (SELECT unnest(range(1, {len(DISCOUNTS) + 1})) AS i), (SELECT unnest(range(1, {len(QUANTITIES) + 1})) AS j)),
+    c AS (SELECT len(list_filter({DISCOUNTS!r}::DOUBLE[], lambda e: e <= l_discount)) AS i, len(list_filter({QUANTITIES!r}::DOUBLE[], lambda e: e <= l_quantity)) AS j, count(*) AS n FROM lineitem WHERE l_extendedprice >= {PRICES.low} AND l_extendedprice < {PRICES.high} GROUP BY 1, 2)
+    SELECT x, y, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (i, j)
+    """,
+)
 def ranges_and_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = lambda text, name: F.explode(F.array(*map(F.lit, numeric.grid(text)))).alias(name)
-    return spark.range(1).select(axis("0:1:0.5", "x")).select("x", axis("1:3|3", "y")).select("x", "y", (F.col("x") * 10 + F.col("y")).alias("v"))
+    """Rows at each point of a grid of two axes, up to the next points, whose price is in a range; points without rows too."""
+    points = lambda values, name: F.posexplode(F.array(*map(F.lit, values))).alias(f"{name}_at", name)
+    grid = spark.range(1).select(points(DISCOUNTS, "x")).select("*", points(QUANTITIES, "y"))
+    rows = table(spark, sf_dir, "lineitem").where(PRICES.contains(F.col("l_extendedprice")))
+    counts = rows.groupBy((numeric.edge_bin(F.col("l_discount"), DISCOUNTS) - 1).alias("x_at"), (numeric.edge_bin(F.col("l_quantity"), QUANTITIES) - 1).alias("y_at")).agg(F.count("*").alias("n"))
+    return grid.join(counts, ["x_at", "y_at"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("ext_tumbling", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
