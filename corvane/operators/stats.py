@@ -80,7 +80,7 @@ def selected(rows: DataFrame, keys: list[str], wanted: Callable[[Column], list[C
 
 def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
     """Quantiles by linear interpolation between sorted values, with min, max and n, from the values that hold the two
-    places beside each quantile. Nulls are left out."""
+    places beside each quantile. Nulls are left out. Without keys an empty table gives one row of nulls."""
     rows = df.select(*keys, F.col(x).cast("double").alias("value")).where("value is not null")
 
     def wanted(n: Column) -> list[Column]:

@@ -135,4 +135,6 @@ def test_quantiles_by_selection(spark, monkeypatch):
     odd = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("nan"),)], "v double")
     r = stats.quantiles(odd, [], "v", {"q": 0.25, "m": 0.5}).first()
     assert (r["n"], r["min"], r["q"], r["m"]) == (5, float("-inf"), 1.0, 2.0) and np.isnan(r["max"])
-    assert stats.quantiles(odd.limit(0), [], "v", {"m": 0.5}).collect() == []
+    # Without rows there is no group; without keys there is one row, as of any aggregate.
+    assert stats.quantiles(odd.limit(0), [], "v", {"m": 0.5}).first()["m"] is None
+    assert stats.quantiles(odd.limit(0).withColumn("k", F.lit(1)), ["k"], "v", {"m": 0.5}).collect() == []
