@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.geometry import delta_phi, delta_r
 from corvane.operators.graph import components
-from corvane.operators.order import numbered
+from corvane.operators.order import numbered, same
 from corvane.sources import shared
 
 
@@ -156,13 +156,25 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return both.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
-    """left with the values of right's latest row at or before each row: one union and one window instead of a join."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str], width: float | None = None) -> DataFrame:
+    """left with the values of right's latest row at or before each row: one union and one window instead of a join. With
+    a width (seconds, where `at` is a time), a key's rows are cut into stretches of it, so that one key may hold any share
+    of all rows: a stretch has its own window, and takes the last row of those before it from one row for each stretch."""
     side = lambda df, k: df.withColumn("__side", F.lit(k))
     r = side(right.select(*keys, at, F.struct(*values).alias("__v")), 0)
     both = side(left, 1).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = [] if width is None else ["__stretch"]
+    if stretch:
+        plain = dict(both.dtypes)[at] == "timestamp_ntz"  # no zone, so no clock change
+        x = F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01', `{at}`)") if plain else F.col(at)
+        both = both.withColumn("__stretch", F.floor(x.cast("double") / width).cast("long"))
+    w = Window.partitionBy(*keys, *stretch).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__v", F.last("__v", True).over(w)).where("__side = 1")
+    if stretch:
+        ends = both.groupBy(*keys, "__stretch").agg(F.max_by(F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"))), F.when(F.col("__side") == 0, F.struct(F.col(at).isNotNull(), F.col(at)))).alias("__end"))
+        up = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__stretch")).rowsBetween(Window.unboundedPreceding, -1)
+        before = ends.select(*keys, "__stretch", F.last("__end.v", True).over(up).alias("__before"))
+        out = same(out, before, [*keys, "__stretch"]).withColumn("__v", F.coalesce("__v", "__before"))
     return out.select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 

@@ -44,14 +44,52 @@ def shuffled(df: DataFrame, seed: int, *key: Column) -> DataFrame:
     return df.withColumn("__u", uniform(seed, *key)).orderBy("__u", *key).drop("__u")
 
 
+#: Chances of a Poisson number of mean 1 to be at most 0, 1, 2, ...
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+
+
+def poisson(v: Column) -> Column:
+    """How often a row counts whose number is v, with a mean of 1."""
+    return sum((F.when(v >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
+
+
 def bootstrap(df: DataFrame, keys: list[str], key: Column, x: Column, trials: int, seed: int) -> DataFrame:
     """Mean of x in each resampling trial: a row counts as often as a Poisson number of mean 1 that hangs on trial and
     key, so trials are partial sums and no row is copied about."""
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    drawn = df.select(*keys, key.alias("__k"), x.alias("__x")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    v = uniform(seed, F.col("trial"), F.col("__k"))
-    count = sum((F.when(v >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return drawn.withColumn("__w", count).groupBy(*keys, "trial").agg(F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("mean"))
+    w = F.col("__w")
+    sums = trial_sums(df.withColumn("__x", x), keys, key, {"__n": w, "__s": w * F.col("__x")}, trials, seed).where("trial > 0")
+    return sums.select(*keys, "trial", F.try_divide("__s", "__n").alias("mean"))
+
+
+def trial_sums(df: DataFrame, keys: list[str], key: Column, sums: dict[str, Column], trials: int, seed: int) -> DataFrame:
+    """(keys, trial, sums): sums of expressions in the weight __w over each resampling trial, from 1, and in trial 0 over
+    the rows as they are. A row counts as often as a number says that hangs on seed, trial and key, so neither partitions
+    nor retries change a trial, and rows of one key are drawn together. Only sums are shuffled."""
+    rows = df.withColumn("__k", key).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    count = F.when(F.col("trial") == 0, 1).otherwise(poisson(uniform(seed, F.col("trial"), F.col("__k"))))
+    return rows.withColumn("__w", count).groupBy(*keys, "trial").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def resampled(parts: list[DataFrame], keys: list[str], value: Column, loss: float = 0.31731) -> DataFrame:
+    """(keys, value, down, up, trials): an estimator, which is an expression of sums, with its errors below and above by
+    resampling. parts are trial_sums() of one sample, or of several that are drawn apart, with different seeds and names.
+    The errors reach to the ends of the shortest interval between trials that leaves out floor(trials * loss) of them and
+    holds the value. Trials in which the estimator has no value do not count; a key whose value lies in no such interval,
+    or that has too few trials to leave one out on the narrower side, has null errors, as has a key without a value."""
+    if not 0 < loss < 1:
+        raise ValueError("loss lies between 0 and 1")
+    both = parts[0]
+    for p in parts[1:]:
+        both = order.same(both, p, [*keys, "trial"])
+    of = both.withColumn("__v", value.cast("double"))
+    found = of.groupBy(*keys).agg(F.max(F.when(F.col("trial") == 0, F.col("__v"))).alias("value"), F.array_sort(F.collect_list(F.when((F.col("trial") > 0) & ~F.isnan("__v"), F.col("__v")))).alias("__a"))
+    n, v = F.size("__a"), F.col("value")
+    out = F.floor(n * F.lit(loss)).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), out), lambda k: F.struct((F.get("__a", n - (out - k) - 1) - F.get("__a", k)).alias("width"), F.get("__a", k).alias("low"), F.get("__a", n - (out - k) - 1).alias("high")))
+    best = F.array_min(F.filter(ends, lambda e: (e["low"] <= v) & (v <= e["high"])))
+    enough = F.floor(n * F.lit(min(loss, 1 - loss))) >= 1
+    rows = found.select(*keys, "value", F.when(enough, best).alias("__b"), n.alias("trials"))
+    return rows.select(*keys, "value", (v - F.col("__b.low")).alias("down"), (F.col("__b.high") - v).alias("up"), "trials")
 
 
 def even_shares(files: DataFrame, kind: str) -> DataFrame:

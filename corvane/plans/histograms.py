@@ -299,8 +299,14 @@ def acceptance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-TRIAL_SQL = "(('0x' || substr(md5('17|' || trial || '|' || concat_ws('-', " + ", ".join(KEY) + ")), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+POISSON = sample.POISSON
+
+
+def trial_sql(seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || trial || '|' || concat_ws('-', {', '.join(KEY)})), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+
+
+TRIAL_SQL = trial_sql(17)
 
 
 @query(
@@ -314,3 +320,52 @@ def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     key = F.concat_ws("-", *KEY)
     return sample.bootstrap(i, ["l_returnflag"], key, F.col("l_quantity"), 20, 17).groupBy("l_returnflag").agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.stddev_samp("mean"), 6).alias("error"))
+
+
+TRIALS = 20
+
+
+def weighted_sql(name: str, seed: int, where: str, sums: dict[str, str]) -> str:
+    """Sums in the weight w of each trial; trial 0 is the rows as they are."""
+    count = " + ".join(f"(u >= {p!r})::INT" for p in POISSON)
+    made = ", ".join(f"sum({e}) AS {n}" for n, e in sums.items())
+    return f"""{name} AS (SELECT l_returnflag, trial, {made} FROM (SELECT *, CASE WHEN trial = 0 THEN 1 ELSE {count} END AS w FROM
+      (SELECT *, {trial_sql(seed)} AS u FROM lineitem, (SELECT unnest(range(0, {TRIALS + 1})) AS trial) WHERE {where})) GROUP BY ALL)"""
+
+
+def errors_sql(of: str) -> str:
+    """Value and errors from of: (l_returnflag, trial, v)."""
+    return f"""
+    a AS (SELECT l_returnflag, max(v) FILTER (WHERE trial = 0) AS c, list_sort(list(v) FILTER (WHERE trial > 0)) AS s FROM ({of}) GROUP BY 1), n AS (SELECT *, floor(len(s) * 0.31731)::INT AS gone FROM a),
+    e AS (SELECT l_returnflag, s[k + 1] AS low, s[len(s) - (gone - k)] AS high FROM (SELECT *, unnest(range(0, gone + 1)) AS k FROM n) WHERE c BETWEEN s[k + 1] AND s[len(s) - (gone - k)]),
+    b AS (SELECT l_returnflag, arg_min(low, (high - low, low)) AS low, arg_min(high, (high - low, low)) AS high FROM e GROUP BY 1)
+    SELECT l_returnflag, round(c, 6) AS value, round(c - low, 6) AS down, round(high - c, 6) AS up, len(s)::INT AS trials FROM n LEFT JOIN b USING (l_returnflag)
+    """
+
+
+def with_errors(parts: list[DataFrame], value: Column) -> DataFrame:
+    found = sample.resampled(parts, ["l_returnflag"], value)
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("value", "down", "up")], "trials")
+
+
+#: Sums that a correlation of quantity and price is made of, in Spark and DuckDB alike.
+MOMENTS = {"n": "w", "x": "w * l_quantity", "y": "w * l_extendedprice", "xx": "w * l_quantity * l_quantity", "yy": "w * l_extendedprice * l_extendedprice", "xy": "w * l_quantity * l_extendedprice"}
+CORRELATION = "(n * xy - x * y) / (sqrt(n * xx - x * x) * sqrt(n * yy - y * y))"
+
+
+@query("resampled_correlation", f"WITH {weighted_sql('t', 17, 'true', MOMENTS)}, {errors_sql(f'SELECT l_returnflag, trial, {CORRELATION} AS v FROM t')}")
+def resampled_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of quantity and price with errors by resampling both together."""
+    sums = {n: F.expr(e.replace("w", "__w", 1)) for n, e in MOMENTS.items()}
+    i = items(spark, sf_dir).select(*KEY, "l_returnflag", "l_quantity", "l_extendedprice")
+    return with_errors([sample.trial_sums(i, ["l_returnflag"], F.concat_ws("-", *KEY), sums, TRIALS, 17)], F.expr(CORRELATION))
+
+
+@query("resampled_difference", f"WITH {weighted_sql('p', 17, 'l_discount > 0.05', {'n': 'w', 'x': 'w * l_quantity'})}, {weighted_sql('q', 18, 'l_discount <= 0.05', {'o': 'w', 'y': 'w * l_quantity'})}, {errors_sql('SELECT l_returnflag, trial, x / n - y / o AS v FROM p JOIN q USING (l_returnflag, trial)')}")
+def resampled_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quantity of lines with a high discount less that of the others; the two samples are drawn apart."""
+    i = items(spark, sf_dir).select(*KEY, "l_returnflag", "l_quantity", "l_discount")
+    key, w = F.concat_ws("-", *KEY), F.col("__w")
+    high = sample.trial_sums(i.where("l_discount > 0.05"), ["l_returnflag"], key, {"n": w, "x": w * F.col("l_quantity")}, TRIALS, 17)
+    low = sample.trial_sums(i.where("l_discount <= 0.05"), ["l_returnflag"], key, {"o": w, "y": w * F.col("l_quantity")}, TRIALS, 18)
+    return with_errors([high, low], F.expr("try_divide(x, n) - try_divide(y, o)"))

@@ -167,7 +167,7 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
     p = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_purchase"))
-    return match.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), p, ["user_id"], "ts", ["last_purchase"]).select("event_id", "last_purchase")
+    return match.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), p, ["user_id"], "ts", ["last_purchase"], width=7 * 86400.0).select("event_id", "last_purchase")
 
 
 @query("match_outer_complete", "SELECT coalesce(o_custkey, c_custkey) AS id, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 450000) FULL JOIN customer ON o_custkey = c_custkey")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import cells, features
-from corvane.operators import tensor
+from corvane.operators import featureset, tensor
 from corvane.queries import query, table
+from corvane.sources import io
 
 #: A line's numbers, times factors that keep quotients off the middle between two rounded values.
 D, X, Q, N = "(l_discount * 1.0171359713)", "(l_tax * 0.9871126357)", "(l_quantity * 1.0073961391)", "l_linenumber"
@@ -247,3 +248,54 @@ def cell_tensor_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = F.size(F.filter("pf_charged", lambda x, i: (i % width == 0) & (x == 1))).cast("long")
     rows = tensor.dense(cell_rows(spark, sf_dir), ["l_orderkey"], WIDTHS)
     return rows.select("l_orderkey", "inner", F.size("pf_charged").alias("size"), F.round(total, 2).alias("global_sum"), valid.alias("valid"))
+
+
+#: A data set's configuration: lists by type, a name that the table lacks (charge), one taken out, and stand-ins.
+DATASET = """
+feature_names:
+  pfCand: [r, theta, rel_pt, particle_type, charge, vertex_dz, dxy, dxy_sig, track_ndof]
+  ele: [r, theta, rel_pt, particle_type, cc_valid, cc_ele_rel_energy, rel_ecalEnergy, ecalEnergy_sig, gsfTrack_pt_sig, r9, full5x5_r9]
+  muon: [dxy_sig, normalizedChi2_valid, normalizedChi2, pfEcalEnergy_valid, rel_pfEcalEnergy, r]
+  global: [particle_type, tau_pt, tau_eta, tau_mass, tau_n_charged_prongs, tau_n_neutral_prongs, rho, tau_dz_sig_valid, tau_dz_sig, tau_hasSecondaryVertex, tau_sv_minus_pv_z]
+disabled: {ele: [gsfTrack_pt_sig]}
+defaults: {ele: {ecalEnergy_sig: -1.5}}
+"""
+#: Columns of a candidate for the list above, made of an order's.
+WHOLE = ORDER | {"rho": "o_totalprice / 10007.3", "tau_mass": "CAST(o_custkey % 7 AS DOUBLE) / 3", "tau_decayMode": "CAST(o_custkey % 12 AS INT)", "tau_dz": "o_totalprice / 311111.7 - 0.3", "tau_dz_error": "CAST(o_custkey % 3 AS DOUBLE) / 7", "tau_hasSecondaryVertex": "CAST(o_custkey % 2 AS INT)", "tau_sv_z": "o_totalprice / 99877.3"}
+
+
+def rounded_list(names: str) -> str:
+    return "[" + ", ".join(f"round(({n})::DOUBLE, 6)" for n in names.split("; ")) + "]"
+
+
+def listed_sql(kind: str, k: int, columns: dict[str, str], names: str) -> str:
+    return f"{kind} AS (SELECT l_orderkey, list({rounded_list(names)} ORDER BY l_linenumber, l_partkey, l_suppkey) AS f FROM ({object_sql(columns)}) WHERE l_suppkey % 3 = {k} GROUP BY 1)"
+
+
+SIGNIFICANT = "CASE WHEN hasTrackDetails = 1 AND dxy_error <> 0 THEN abs(dxy) / dxy_error ELSE 0 END"
+
+
+@query(
+    "dataset_features",
+    f"""
+    WITH o AS (SELECT o_orderkey AS l_orderkey, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in WHOLE.items())} FROM orders),
+    {listed_sql("p", 0, PARTICLE, f"r; theta; rel_pt; particleType - 1; vertex_z - pv_z; CASE WHEN hasTrackDetails = 1 THEN dxy ELSE 0 END; {SIGNIFICANT}; CASE WHEN hasTrackDetails = 1 AND track_ndof > 0 THEN track_ndof ELSE 0 END")},
+    {listed_sql("e", 1, ELECTRON, "r; theta; rel_pt; 7; (cc_ele_energy >= 0)::INT; CASE WHEN cc_ele_energy >= 0 THEN cc_ele_energy / pt ELSE 0 END; ecalEnergy / pt; CASE WHEN ecalEnergy_error <> 0 THEN ecalEnergy / ecalEnergy_error ELSE -1.5 END; greatest(r9, -1); greatest(full5x5_r9, -1)")},
+    {listed_sql("m", 2, MUON, "CASE WHEN dxy_error <> 0 THEN abs(dxy) / dxy_error ELSE 0 END; (normalizedChi2 > 0)::INT; CASE WHEN normalizedChi2 > 0 THEN normalizedChi2 ELSE 0 END; (pfEcalEnergy >= 0)::INT; CASE WHEN pfEcalEnergy >= 0 THEN pfEcalEnergy / pt ELSE 0 END; r")}
+    SELECT l_orderkey, {rounded_list(f"9; tau_pt; tau_eta; tau_mass; floor(tau_decayMode / 5) + 1; tau_decayMode % 5; rho; ({NORMAL.format(v='tau_dz')} AND tau_dz_error > 0)::INT; CASE WHEN {NORMAL.format(v='tau_dz')} AND tau_dz_error > 0 THEN abs(tau_dz) / tau_dz_error ELSE 0 END; tau_hasSecondaryVertex; CASE WHEN tau_hasSecondaryVertex <> 0 THEN tau_sv_z - pv_z ELSE 0 END")} AS "global",
+      {", ".join(f"coalesce(len({k}.f), 0)::INT AS n_{n}, coalesce(flatten({k}.f), []) AS {n}" for k, n in (("p", "pfCand"), ("e", "ele"), ("m", "muon")))}
+    FROM o LEFT JOIN p USING (l_orderkey) LEFT JOIN e USING (l_orderkey) LEFT JOIN m USING (l_orderkey)
+    """,
+)
+def dataset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each candidate and of its objects of three types, as a configuration lists them; an order is a candidate."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), *[F.expr(e).cast("double").alias(n) for n, e in WHOLE.items()])
+    held = {}
+    for k, (kind, columns) in enumerate((("pfCand", PARTICLE), ("ele", ELECTRON), ("muon", MUON))):
+        obj = F.struct(*KEY[1:], *[F.expr(e).cast("double").alias(n) for n, e in columns.items()])
+        held[kind] = F.array_sort(F.collect_list(F.when(F.col("l_suppkey") % 3 == k, F.struct("l_linenumber", "l_partkey", "l_suppkey", *[obj[n].alias(n) for n in columns]))))
+    nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[c.alias(kind) for kind, c in held.items()])
+    rows = o.join(nested, "l_orderkey", "left")
+    found = featureset.vectors(rows, ["l_orderkey"], featureset.chosen(rows, io.settings(DATASET)), "double")
+    near = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return found.select("l_orderkey", near("global").alias("global"), *[c for kind in held for c in (F.size(kind).alias(f"n_{kind}"), near(F.flatten(kind)).alias(kind))])
