@@ -66,8 +66,9 @@ def trial_sums(df: DataFrame, keys: list[str], key: Column, sums: dict[str, Colu
     the rows as they are. A row counts as often as a number says that hangs on seed, trial and key, so neither partitions
     nor retries change a trial, and rows of one key are drawn together. Only sums are shuffled."""
     rows = df.withColumn("__k", key).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
-    count = F.when(F.col("trial") == 0, 1).otherwise(poisson(uniform(seed, F.col("trial"), F.col("__k"))))
-    return rows.withColumn("__w", count).groupBy(*keys, "trial").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # The number has its own step: inside a condition it would be computed once for each comparison.
+    numbers = rows.withColumn("__u", uniform(seed, F.col("trial"), F.col("__k"))).withColumn("__p", poisson(F.col("__u")))
+    return numbers.withColumn("__w", F.when(F.col("trial") == 0, 1).otherwise(F.col("__p"))).groupBy(*keys, "trial").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
 def resampled(parts: list[DataFrame], keys: list[str], value: Column, loss: float = 0.31731) -> DataFrame:

@@ -269,7 +269,7 @@ def rounded_list(names: str) -> str:
 
 
 def listed_sql(kind: str, k: int, columns: dict[str, str], names: str) -> str:
-    return f"{kind} AS (SELECT l_orderkey, list({rounded_list(names)} ORDER BY l_linenumber, l_partkey, l_suppkey) AS f FROM ({object_sql(columns)}) WHERE l_suppkey % 3 = {k} GROUP BY 1)"
+    return f"{kind} AS (SELECT l_orderkey, list({rounded_list(names)} ORDER BY l_linenumber, l_partkey, l_suppkey, pt, eta, phi) AS f FROM ({object_sql(columns)}) WHERE l_suppkey % 3 = {k} GROUP BY 1)"
 
 
 SIGNIFICANT = "CASE WHEN hasTrackDetails = 1 AND dxy_error <> 0 THEN abs(dxy) / dxy_error ELSE 0 END"
