@@ -50,6 +50,11 @@ def significance(x: Column, error: Column, default: float = 0.0) -> Column:
     return F.when(is_normal(error) & (error > 0), F.abs(x) / error).otherwise(F.lit(default))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from 0; a negative number that becomes 0 keeps its sign, as it does where rounding scales x."""
+    return F.signum(x) * F.round(F.abs(x), digits)
+
+
 def significant_digits(x: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits - 1}e", x).cast("double")
 

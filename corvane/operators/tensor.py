@@ -138,16 +138,16 @@ def split_by_file(df: DataFrame, file: str, share: float) -> DataFrame:
 
 def cell_vectors(objects: DataFrame, candidate: list[str], index: str, of: Callable[[str, Column, Column], Column], whole: Callable[[Column], Column], kinds: list[str], remove_inner: bool = False, inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
     """One row for each cell that holds an object: (candidate, inner, cell, global, and for each kind the features of its
-    object with the highest pt, the smaller index of equals, null where the cell has none). objects has the columns of
-    grids(), `kind`, an index and the struct `object`; of(kind, object, inner) makes the features of an object, whole(inner)
-    those that every cell has. Features are made before the grouping, whose partial results hold one object a kind."""
+    object with the highest pt, the smaller index of equals, null where the cell has none; kinds: how many it has). objects
+    has the columns of grids(), `kind`, an index and the struct `object`; of(kind, object, inner) makes the features of an
+    object, whole(inner) those that every cell has. Features are made before the grouping, whose partial results hold one
+    object a kind. Each kind has its own expression, so a kind that is not asked for is not computed."""
     rows = in_cells(objects, remove_inner, inner, outer)
-    made = F.lit(None).cast("array<float>")
-    for kind in kinds:
-        made = F.when(F.col("kind") == kind, of(kind, F.col("object"), F.col("inner"))).otherwise(made)
-    rows = rows.select(*candidate, "inner", "cell", "kind", F.struct("pt", (-F.col(index)).alias("i")).alias("__o"), made.alias("__f"), whole(F.col("inner")).alias("__g"))
-    best = [F.max_by("__f", F.when(F.col("kind") == k, F.col("__o"))).alias(k) for k in kinds]
-    return rows.groupBy(*candidate, "inner", "cell").agg(F.any_value("__g").alias("global"), *best)
+    made = [F.when(F.col("kind") == k, of(k, F.col("object"), F.col("inner"))).alias(f"__f_{k}") for k in kinds]
+    rows = rows.select(*candidate, "inner", "cell", "kind", F.struct("pt", (-F.col(index)).alias("i")).alias("__o"), *made, whole(F.col("inner")).alias("__g"))
+    best = [F.max_by(f"__f_{k}", F.when(F.col("kind") == k, F.col("__o"))).alias(k) for k in kinds]
+    held = sum((F.max(F.when(F.col("kind") == k, 1).otherwise(0)) for k in kinds), F.lit(0))
+    return rows.groupBy(*candidate, "inner", "cell").agg(F.any_value("__g").alias("global"), *best, held.alias("kinds"))
 
 
 def dense(cells: DataFrame, candidate: list[str], widths: dict[str, int], inner: tuple[int, float] = INNER, outer: tuple[int, float] = OUTER) -> DataFrame:
