@@ -152,9 +152,11 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join_theta", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 500 GROUP BY 1")
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = suppliers(spark, sf_dir).select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 500).alias("low"), (F.col("s_acctbal") + 500).alias("high"))
+    """The range is a little wider than the condition, which is then tested as it stands: the sum of a balance and 500 is
+    rounded otherwise than the difference of two balances."""
+    s = suppliers(spark, sf_dir).select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("y"), (F.col("s_acctbal") - 501).alias("low"), (F.col("s_acctbal") + 501).alias("high"))
     c = customers(spark, sf_dir).select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("x"))
-    return match.range_join(c, s, "x", "low", "high", 1000.0, ["nation"]).where("x > low").groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return match.range_join(c, s, "x", "low", "high", 1000.0, ["nation"]).where(F.abs(F.col("y") - F.col("x")) < 500).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 @query("join_range", "SELECT k, count(*) AS n FROM events JOIN (VALUES (1, 0.0::DOUBLE, 12.5::DOUBLE), (2, 10.0, 55.0), (3, 50.0, 51.0)) AS r(k, lo, hi) ON value >= lo AND value < hi GROUP BY 1")
