@@ -55,6 +55,13 @@ def rounded(x: Column, digits: int) -> Column:
     return F.signum(x) * F.round(F.abs(x), digits)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles that does not hang on the order of the rows: they are added as decimals, which hold ten digits after
+    the point. Where a group has one that no such decimal holds, as NaN, or the total has no room, it is the plain sum."""
+    parts = x.try_cast("decimal(38,10)")
+    return F.coalesce(F.when(F.count(parts) == F.count(x), F.try_sum(parts).cast("double")), F.sum(x))
+
+
 def significant_digits(x: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits - 1}e", x).cast("double")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.functions.numeric import clamp_scale, edge_bin
+from corvane.functions.numeric import clamp_scale, edge_bin, exact_sum
 from corvane.operators import hist, match, metrics, order, stats, tensor
 from corvane.plans.histograms import COUNT_SQL, axes, counted
 from corvane.plans.nested import DPHI_SQL, NESTED_SQL, POINT_SQL, nested, points, r6
@@ -187,7 +187,7 @@ def regression_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of charged and neutral products, pt and squared mass of rows that pass the selection."""
     rows = table(spark, sf_dir, "lineitem").where("l_discount < 0.09").groupBy("l_orderkey")
     n = lambda f: F.count_if(F.col("l_returnflag") == f)
-    g = rows.agg(n("A").alias("charged"), n("N").alias("neutral"), F.hypot(F.sum("l_quantity"), F.sum("l_tax")).alias("pt"), (F.pow(F.sum("l_extendedprice"), F.lit(2.0)) / 1e6).alias("m2"))
+    g = rows.agg(n("A").alias("charged"), n("N").alias("neutral"), F.hypot(F.sum("l_quantity"), F.sum("l_tax")).alias("pt"), (F.pow(exact_sum(F.col("l_extendedprice")), F.lit(2.0)) / 1e6).alias("m2"))
     return g.select("l_orderkey", tensor.regression_targets(F.col("charged"), F.col("neutral"), F.round("pt", 6), F.round("m2", 6)).alias("y"))
 
 
