@@ -44,6 +44,23 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n", keys: list[str
     return out.withColumn(name, F.col("__b") + F.col(AT)).drop("__b", PART, AT)
 
 
+def numbered_by_parts(df: DataFrame, order: list[Column], part: Column, name: str, keys: list[str]) -> DataFrame:
+    """As numbered() within keys, where a number of few values is known that rises with the order: rows are sorted only
+    within their part, and no table is written. df is read twice, so it must give the same rows each time."""
+    rows = df.withColumn(PART, part)
+    sizes = part_sizes(rows, keys)
+    w = Window.partitionBy(*keys, PART).orderBy(*order)
+    placed = same(rows.withColumn(AT, F.row_number().over(w)), F.broadcast(sizes.drop("__c")), [*keys, PART])
+    return placed.withColumn(name, F.col("__b") + F.col(AT) - 1).drop("__b", PART, AT)
+
+
+def part_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part, __c, __b): the rows of each part, and those of the parts before it."""
+    up = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, PART).agg(F.count("*").alias("__c"))
+    return sizes.withColumn("__b", F.coalesce(F.sum("__c").over(up), F.lit(0).cast("bigint")))
+
+
 def tiles(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
     """df with the number of its tile: n equal runs of rows in order, with none left over."""
     placed = numbered(df, order, "__n", total="__t")

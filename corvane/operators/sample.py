@@ -100,8 +100,9 @@ def even_shares(files: DataFrame, kind: str) -> DataFrame:
     return files.join(F.broadcast(own.join(kinds)), kind).withColumn("share", 1 / (F.col("__n") * F.col("__k"))).drop("__n", "__k")
 
 
-#: Sources of a mixing loop, at most; their bounds are part of the plan.
-SOURCES = 1_000
+#: Sources of a mixing loop, at most; their bounds are part of the plan. Steps of a part, and rows of a source in a part, of
+#: which one is sorted at a time; they change no result.
+SOURCES, STEPS, ROWS = 1_000, 1 << 22, 1 << 19
 
 
 def drawn(spark: SparkSession, sizes: list[tuple[str, int]], seed: int, shares: dict[str, float] | None = None) -> DataFrame:
@@ -116,13 +117,22 @@ def drawn(spark: SparkSession, sizes: list[tuple[str, int]], seed: int, shares:
         uppers.append(sum(chances[: k + 1]) / whole)
     if not whole:
         return spark.createDataFrame([], "step bigint, source string, turn bigint")
-    u = uniform(seed, F.col("step"))
-    chosen = F.get(F.array(*[F.lit(s) for s, _ in sizes]), F.size(F.filter(F.array(*map(F.lit, uppers)), lambda e: e <= u)))
-    steps = spark.range(total + 1).select(F.col("id").alias("step")).select("step", chosen.alias("source"))
-    placed = order.numbered(steps, [F.col("step")], "turn", ["source"])
-    rows = F.create_map(*[F.lit(x) for pair in sizes for x in pair])
-    end = placed.where(F.col("turn") == F.try_element_at(rows, F.col("source"))).agg(F.min("step")).first()[0]
-    return placed.where(F.col("step") < end)
+    # The number has its own step, as in trial_sums(), and the source is never null: a join's test for null would be pushed
+    # below that step, where the number is computed once for each bound.
+    passed = sum(((F.col("__u") >= e).cast("int") for e in uppers), F.lit(0))
+    steps = spark.range(total + 1).select(F.col("id").alias("step"), uniform(seed, F.col("id")).alias("__u"))
+    steps = steps.select("step", F.coalesce(F.get(F.array(*[F.lit(s) for s, _ in sizes]), passed), F.lit("")).alias("source"))
+    part = F.floor(F.col("step") / STEPS).cast("int")
+    rows = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes for x in pair]), F.col("source"))
+    # The last draw lies in the first part in which a source is drawn once more than it has rows: that part alone is searched.
+    draws = order.part_sizes(steps.withColumn(order.PART, part), ["source"])
+    last = draws.where((F.col("__b") <= rows) & (rows < F.col("__b") + F.col("__c"))).agg(F.min(order.PART)).first()[0]
+    upto = steps.where(F.col("step") < (last + 1) * STEPS)
+    before = draws.where(F.col(order.PART) == last).select("source", F.col("__b").alias("before"))
+    there = upto.where(F.col("step") >= last * STEPS).join(F.broadcast(before), "source")
+    there = there.withColumn("turn", F.col("before") + F.row_number().over(Window.partitionBy("source").orderBy("step")) - 1)
+    end = there.where(F.col("turn") == rows).agg(F.min("step")).first()[0]
+    return order.numbered_by_parts(steps.where(F.col("step") < end), [F.col("step")], part, "turn", ["source"])
 
 
 def mixed(df: DataFrame, source: Column, key: list[Column], seed: int, shares: dict[str, float] | None = None) -> DataFrame:
@@ -131,5 +141,6 @@ def mixed(df: DataFrame, source: Column, key: list[Column], seed: int, shares: d
     one that has no share, are never taken."""
     rows = df.withColumns({"source": source.cast("string"), "__u": uniform(seed + 1, *key)}).where("source is not null")
     sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(SOURCES + 1).collect()]
-    placed = order.numbered(rows, [F.col("__u"), *key], "turn", ["source"]).drop("__u")
+    parts = max((n for _, n in sizes), default=0) // ROWS + 1
+    placed = order.numbered_by_parts(rows, [F.col("__u"), *key], F.floor(F.col("__u") * parts).cast("int"), "turn", ["source"]).drop("__u")
     return placed.join(drawn(df.sparkSession, sizes, seed, shares), ["source", "turn"]).drop("turn")
