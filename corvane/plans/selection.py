@@ -3,6 +3,8 @@ them, candidates."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +49,31 @@ def tag_sql(name: str, pt: float) -> str:
     return f"{name} AS (SELECT *, 'muon' AS tag FROM mu WHERE {lepton(pt, 2.1, 0.15, f'medium AND {VERTEX}')} QUALIFY row_number() OVER (PARTITION BY ev ORDER BY iso, pt DESC, idx) = 1)"
 
 
+#: What a line's columns above are made of.
+LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.struct(F.expr(MET["met_pt"]).alias("pt"), F.expr(MET["met_phi"]).alias("phi")).alias("met"))
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", *[F.expr(e).alias(n) for n, e in FIELDS.items() if n != "ev"], F.expr(LABEL).alias("label"))
-    f = F.col
+    """Orders with their arrays. Lines are dealt by order as they are read, and an order's lines and the order meet before
+    anything is derived: the shuffle, the grouping and the join carry seven narrow columns instead of the structs."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in MET.items()])
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE).repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(*LINE)).alias("lines"))
+    both = lines.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    derived = ", ".join(f"{e} AS {n}" for n, e in (FIELDS | {"label": LABEL}).items() if n != "ev")
+    both = both.withColumn("l", F.expr(f"transform(lines, x -> struct({re.sub(r'\bl_', 'x.l_', derived)}))"))
     of = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
-    p = {n: f(n) for n in ("pt", "eta", "phi")}
-    track = p | {n: f(n) for n in ("charge", "iso", "dz", "dxy")}
-    tau = F.when(f("has_tau"), of(**p, charge=f("charge"), mode=f("mode"), found=f("loose"), vs_jet=f("vs_jet"), vs_jet_raw=f("raw"), dz=f("dz")))
-    lepton_of = F.when(f("has_lepton"), of(**p, kind=f("kind")))
-    candidate = of(index=f("idx"), tau=tau, lepton=lepton_of, gen_jet=F.when(f("has_gen_jet"), of(eta=f("eta"))), jet=F.when(f("has_jet"), of(**p)))
+    place = lambda x: {n: x[n] for n in ("pt", "eta", "phi")}
+    track = lambda x: {"idx": x["idx"]} | {n: x[n] for n in ("pt", "eta", "phi", "charge", "iso", "dz", "dxy")}
+    tau = lambda x: of(**place(x), charge=x["charge"], mode=x["mode"], found=x["loose"], vs_jet=x["vs_jet"], vs_jet_raw=x["raw"], dz=x["dz"])
+    candidate = lambda x: of(index=x["idx"], tau=F.when(x["has_tau"], tau(x)), lepton=F.when(x["has_lepton"], of(**place(x), kind=x["kind"])), gen_jet=F.when(x["has_gen_jet"], of(eta=x["eta"])), jet=F.when(x["has_jet"], of(**place(x))))
+    flagged = lambda flag: F.filter("l", lambda x: x["flag"] == flag)
     parts = {
-        "muons": F.when(f("flag") == "A", of(idx=f("idx"), **track, loose=f("loose"), medium=f("medium"), tight=f("tight"))), "electrons": F.when(f("flag") == "R", of(idx=f("idx"), **track, mva=f("medium"), veto=f("loose"))),
-        "triggers": F.when(f("flag") == "N", of(idx=f("idx"), eta=f("eta"), phi=f("phi"), labels=F.array("label"))), "candidates": candidate,
+        "muons": F.transform(flagged("A"), lambda x: of(**track(x), loose=x["loose"], medium=x["medium"], tight=x["tight"])), "electrons": F.transform(flagged("R"), lambda x: of(**track(x), mva=x["medium"], veto=x["loose"])),
+        "triggers": F.transform(flagged("N"), lambda x: of(idx=x["idx"], eta=x["eta"], phi=x["phi"], labels=F.array(x["label"]))), "candidates": F.transform("l", candidate),
     }
-    return line.groupBy("l_orderkey").agg(*[F.sort_array(F.collect_list(c)).alias(n) for n, c in parts.items()]).join(o, "l_orderkey").withColumnRenamed("l_orderkey", "ev")
+    met = F.struct(F.col("met_pt").alias("pt"), F.col("met_phi").alias("phi")).alias("met")
+    # one generated row for each order: filters that a selector puts on the arrays do not make them a second time below
+    return both.select(F.col("l_orderkey").alias("ev"), met, F.inline(F.array(F.struct(*[F.sort_array(c).alias(n) for n, c in parts.items()]))))
 
 
 def chosen(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
