@@ -58,8 +58,9 @@ def grids(objects: DataFrame, candidate: list[str], by: list[Column], kind: str
     cone in the inner grid (column inner), those inside the isolation cone in the outer one, which may leave out the
     signal cone. objects: candidate keys, kind, pt, eta, phi, and the candidate's tau_pt, tau_eta and tau_phi."""
     rows = in_cells(objects, remove_inner, inner, outer)
-    w = Window.partitionBy(*candidate, kind, "inner", "cell")
-    return rows.withColumns({"n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(*by))}).where("__k = 1").drop("__k")
+    w = Window.partitionBy(*candidate, kind, "inner", "cell").orderBy(*by)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # counted in the order of the choice, so rows are sorted once
+    return rows.withColumns({"n": F.count("*").over(whole), "__k": F.row_number().over(w)}).where("__k = 1").drop("__k")
 
 
 def padded(values: Column, length: int, fill: float = 0.0) -> Column:
