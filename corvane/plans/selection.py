@@ -52,32 +52,35 @@ def tag_sql(name: str, pt: float) -> str:
 #: What a line's columns above are made of.
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their arrays. Lines are dealt by order as they are read, and an order's lines and the order meet before
-    anything is derived: the shuffle, the grouping and the join carry seven narrow columns instead of the structs."""
+#: Arrays of an event by the flag of their lines, structs of a candidate by the field that says whether it is there, and
+#: what they hold of a line's columns: names, or a name here and one above.
+TRACK = "idx pt eta phi charge iso dz dxy"
+ARRAYS = {"muons": ("A", f"{TRACK} loose medium tight"), "electrons": ("R", f"{TRACK} mva:medium veto:loose"), "triggers": ("N", "idx eta phi labels")}
+OBJECTS = {"tau": ("has_tau", "pt eta phi charge mode found:loose vs_jet vs_jet_raw:raw dz"), "lepton": ("has_lepton", "pt eta phi kind"), "gen_jet": ("has_gen_jet", "eta"), "jet": ("has_jet", "pt eta phi")}
+#: What a selector looks at beside the candidates' numbers.
+USED = {"None": [], "MuTau": ["muons", "electrons", "triggers", "tau"], "genTauTau": ["lepton"], "TauJetTag": ["lepton", "gen_jet", "jet"], "TagAndProbe": ["muons", "electrons", "lepton", "gen_jet", "jet"]}
+
+
+def events(spark: SparkSession, sf_dir: str, used: list[str]) -> DataFrame:
+    """Orders with the arrays and candidates' structs that are used. Lines are dealt by order as they are read, and an order's
+    lines and the order meet before anything is derived: the shuffle and the join carry narrow columns instead of the structs.
+    An order's lines are sorted by idx once, and so are all arrays, which are made from the lines and not from each other.
+    Fractions are divided as doubles, as in the SQL."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in MET.items()])
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE).repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(*LINE)).alias("lines"))
+    raw = F.sort_array(F.collect_list(F.struct(F.expr(FIELDS["idx"]).alias("idx"), *LINE)))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE).repartition("l_orderkey").groupBy("l_orderkey").agg(raw.alias("lines"))
     both = lines.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
-    derived = ", ".join(f"{e} AS {n}" for n, e in (FIELDS | {"label": LABEL}).items() if n != "ev")
-    both = both.withColumn("l", F.expr(f"transform(lines, x -> struct({re.sub(r'\bl_', 'x.l_', derived)}))"))
-    of = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
-    place = lambda x: {n: x[n] for n in ("pt", "eta", "phi")}
-    track = lambda x: {"idx": x["idx"]} | {n: x[n] for n in ("pt", "eta", "phi", "charge", "iso", "dz", "dxy")}
-    tau = lambda x: of(**place(x), charge=x["charge"], mode=x["mode"], found=x["loose"], vs_jet=x["vs_jet"], vs_jet_raw=x["raw"], dz=x["dz"])
-    candidate = lambda x: of(index=x["idx"], tau=F.when(x["has_tau"], tau(x)), lepton=F.when(x["has_lepton"], of(**place(x), kind=x["kind"])), gen_jet=F.when(x["has_gen_jet"], of(eta=x["eta"])), jet=F.when(x["has_jet"], of(**place(x))))
-    flagged = lambda flag: F.filter("l", lambda x: x["flag"] == flag)
-    parts = {
-        "muons": F.transform(flagged("A"), lambda x: of(**track(x), loose=x["loose"], medium=x["medium"], tight=x["tight"])), "electrons": F.transform(flagged("R"), lambda x: of(**track(x), mva=x["medium"], veto=x["loose"])),
-        "triggers": F.transform(flagged("N"), lambda x: of(idx=x["idx"], eta=x["eta"], phi=x["phi"], labels=F.array(x["label"]))), "candidates": F.transform("l", candidate),
-    }
+    of = {n: re.sub(r"(\d\.\d+)", r"\1D", re.sub(r"\bl_", "x.l_", e)) for n, e in (FIELDS | {"labels": f"array({LABEL})"}).items()} | {"idx": "x.idx"}
+    struct = lambda names: "struct(" + ", ".join(f"{of[n.split(':')[-1]]} AS {n.split(':')[0]}" for n in names.split()) + ")"
+    objects = "".join(f", CASE WHEN {of[there]} THEN {struct(names)} END AS {n}" for n, (there, names) in OBJECTS.items() if n in used)
+    parts = {n: f"transform(filter(lines, x -> x.l_returnflag = '{flag}'), x -> {struct(names)})" for n, (flag, names) in ARRAYS.items() if n in used}
+    parts["candidates"] = f"transform(lines, x -> struct(x.idx AS index{objects}))"
     met = F.struct(F.col("met_pt").alias("pt"), F.col("met_phi").alias("phi")).alias("met")
-    # one generated row for each order: filters that a selector puts on the arrays do not make them a second time below
-    return both.select(F.col("l_orderkey").alias("ev"), met, F.inline(F.array(F.struct(*[F.sort_array(c).alias(n) for n, c in parts.items()]))))
+    return both.select(F.col("l_orderkey").alias("ev"), met, *[F.expr(e).alias(n) for n, e in parts.items()])
 
 
 def chosen(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return select.select(events(spark, sf_dir), name).select("ev", "tag", F.explode("selected").alias("s")).select("ev", "tag", "s.index", "s.type")
+    return select.select(events(spark, sf_dir, USED[name]), name).select("ev", "tag", F.explode("selected").alias("s")).select("ev", "tag", "s.index", "s.type")
 
 
 @query("selector_all", "SELECT l_orderkey AS ev, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
